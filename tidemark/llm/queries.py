@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.llm import mixing, quality_rules, token_count
+from tidemark.llm import mixing, quality_rules, simhash, token_count
 
 QUERIES = {
+    "op5_simhash_near_dedup": simhash.query,
     "op6_quality_rules": quality_rules.query,
     "op8_mixing": mixing.query,
     "op10_token_count": token_count.query,
