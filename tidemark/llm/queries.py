@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tidemark.llm import mixing, quality_rules, simhash, token_count
+from tidemark.llm import decontaminate, mixing, quality_rules, simhash, substring_dedup, token_count
 
 QUERIES = {
+    "op3_decontaminate": decontaminate.query,
     "op5_simhash_near_dedup": simhash.query,
     "op6_quality_rules": quality_rules.query,
+    "op7_substring_dedup": substring_dedup.query,
     "op8_mixing": mixing.query,
     "op10_token_count": token_count.query,
 }
