@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontaminate, mixing, quality_rules, simhash, substring_dedup, token_count
+from tidemark.llm import decontaminate, mixing, pii, quality_rules, simhash, substring_dedup, token_count
 
 QUERIES = {
+    "op1_pii": pii.query,
     "op3_decontaminate": decontaminate.query,
     "op5_simhash_near_dedup": simhash.query,
     "op6_quality_rules": quality_rules.query,
