@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontaminate, mixing, pii, quality_rules, simhash, substring_dedup, token_count
+from tidemark.llm import decontaminate, lm_score, mixing, pii, quality_rules, simhash, substring_dedup, token_count
 
 QUERIES = {
     "op1_pii": pii.query,
     "op3_decontaminate": decontaminate.query,
+    "op4_lm_score": lm_score.query,
     "op5_simhash_near_dedup": simhash.query,
     "op6_quality_rules": quality_rules.query,
     "op7_substring_dedup": substring_dedup.query,
