@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontaminate, lm_score, mixing, pii, quality_rules, simhash, substring_dedup, token_count
+from tidemark.llm import decontaminate, language_id, lm_score, mixing, pii, quality_classifier, quality_rules, simhash, substring_dedup, token_count
 
 QUERIES = {
     "op1_pii": pii.query,
+    "op2_language_id": language_id.query,
     "op3_decontaminate": decontaminate.query,
     "op4_lm_score": lm_score.query,
     "op5_simhash_near_dedup": simhash.query,
     "op6_quality_rules": quality_rules.query,
     "op7_substring_dedup": substring_dedup.query,
     "op8_mixing": mixing.query,
+    "op9_quality_classifier": quality_classifier.query,
     "op10_token_count": token_count.query,
 }
 ORACLES = {"op6_quality_rules": quality_rules.ORACLE, "op8_mixing": mixing.ORACLE}
