@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 #: A word of the contracts: a run without ASCII white space. bytes.split() cuts at the same bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that Python code handles at once.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,12 +50,17 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
             at = to
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; one of our own where that is unset."""
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
 def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
     """The rows, written to the checkpoint folder that the executors share, without their lineage."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager)
 
 
@@ -122,3 +128,10 @@ class Words:
 
     def slice(self, word: int, k: int) -> bytes:
         return self.buffer[self.start[word] : self.end[word + k - 1]]
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written as Parquet under the checkpoint folder that all executors share, and read again."""
+    path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

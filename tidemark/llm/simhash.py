@@ -224,6 +224,84 @@ def near_duplicates(df: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS,
     return grouped(fingerprints(df, shingle, **kw), radius)
 
 
+# --- groups of similar texts --------------------------------------------------------------------------
+
+
+def _classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, th, cls (digest of the words), fp (of the set of words) of every row."""
+
+    def run(batches):
+        for b in chunks(batches):
+            texts = b.column("text").to_pylist()
+            cls = [xxhash.xxh3_128_hexdigest(b" ".join((t or b"").lower().split())) for t in texts]
+            fp = text_fingerprints(texts, 1, True)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(cls), pa.array(fp.view(np.int64))], names=["doc_id", "th", "cls", "fp"])
+
+    rows = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("binary").alias("text"))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, th long, cls string, fp long")
+
+
+def shingle_set(text: bytes | None, size: int) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of a text; a text of fewer words is one shingle."""
+    w = Words([(text or b"").lower().split()])
+    k = int(min(size, w.n[0]))
+    return np.unique(w.hashes(w.runs(k), k)) if k else np.empty(0, np.uint64)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
+
+
+def representatives(df: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, th (xxhash64 of the text) of the row that stands for each group of similar texts.
+
+    Texts of the same words are one class. Classes whose word sets have fingerprints within the radius are
+    candidates, found as above; the Jaccard similarity of their sets of `shingle` words decides. A group is a
+    component of the links that pass; its smallest id stands for it, a null id only where there is no other.
+    """
+    rows = checkpointed(_classes(df, id_col, text_col))
+    key = lambda: F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th"))
+    classes = checkpointed(rows.groupBy("cls", "fp").agg(key().alias("first")))
+    heads = classes.groupBy("fp").agg(F.min("cls").alias("head"))
+    near = links(heads.select("fp"), radius)
+    named = lambda c: heads.select(F.col("fp").alias(c), F.col("head").alias(f"cls_{c}"))
+    pairs = near.join(named("a"), "a").join(named("b"), "b").select("cls_a", "cls_b")
+    same = classes.join(heads, "fp").where("cls <> head").select(F.col("head").alias("cls_a"), F.col("cls").alias("cls_b"))
+    pairs = checkpointed(pairs.union(same))
+    wanted = pairs.select(F.col("cls_a").alias("cls")).union(pairs.select("cls_b")).distinct().join(classes, "cls")
+    wanted = wanted.select("cls", F.col("first.doc_id").alias("of"), F.col("first.th").alias("t"))
+    texts = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(text_col).alias("th"))
+    texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("th") == F.col("t"))).select("cls", "text")
+
+    def sets(batches):
+        for b in chunks(batches):
+            out = [shingle_set(t, shingle).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("cls"), pa.array(out, pa.binary())], names=["cls", "s"])
+
+    known = texts.mapInArrow(sets, "cls string, s binary").groupBy("cls").agg(F.first("s").alias("s"))
+    known = checkpointed(known)
+    both = pairs.join(known.withColumnsRenamed({"cls": "cls_a", "s": "sa"}), "cls_a").join(known.withColumnsRenamed({"cls": "cls_b", "s": "sb"}), "cls_b")
+
+    def verify(batches):
+        for b in batches:
+            ok = [jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= similarity for x, y in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("cls_a"), b.column("cls_b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    roots = components(both.select("cls_a", "cls_b", "sa", "sb").mapInArrow(verify, "a string, b string"))
+    groups = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    return groups.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.th")
+
+
+def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+    """The rows that stand for their groups, one of repeated rows; all columns kept."""
+    stay = representatives(df, id_col=id_col, text_col=text_col, **kw)
+    stay = checkpointed(stay).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
+    rows = df.join(stay, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__th")), "left_semi")
+    repeated = df.groupBy(F.col(id_col), F.xxhash64(text_col)).count().where("count > 1")
+    return rows if repeated.isEmpty() else rows.dropDuplicates([id_col, text_col])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = near_duplicates(load(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
