@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Words, checkpointed, chunks, load
+from tidemark.llm.common import Words, chunks, load
 
 WINDOW = 50
 #: Slots of the filter, as a power of two: 2 x 16 MB.
@@ -113,11 +113,13 @@ def deduplicated(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id", te
     """doc_id, kept (the words that stay, one space apart), n_words, n_removed of every row."""
     sc = df.sparkSession.sparkContext
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    docs = docs.withColumn("th", F.xxhash64("text"))
+    # rows that share an id are told apart by a hash of the text; where ids are unique that column is a constant
+    shared_ids = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+    docs = docs.withColumn("th", F.xxhash64("text") if shared_ids else F.lit(0).cast("long"))
     shared = sc.broadcast(filter_of(block_hashes(docs, window // 2)))
-    found = checkpointed(candidate_windows(docs, window, shared))
-    shared.unpersist()
-    least = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+    # read twice rather than kept: the windows take more room than the second reading takes time
+    found = candidate_windows(docs, window, shared)
+    least = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"))
     gone = found.join(least, ["h1", "h2"]).where("doc_id > least").groupBy("doc_id", "th").agg(F.collect_set("at").alias("gone"))
     rows = docs.join(gone.withColumnsRenamed({"doc_id": "id", "th": "t"}), (F.col("doc_id") == F.col("id")) & (F.col("th") == F.col("t")), "left")
 
