@@ -1 +1,5 @@
-"""Functions of the library."""
+"""Column functions of the library."""
+
+from tidemark.functions import text, times
+
+__all__ = ["text", "times"]

@@ -5,9 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tidemark.sources import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -17,6 +14,8 @@ def query(name: str, sql: str | None = None):
     """Register a query under `name`, with its oracle."""
 
     def add(f):
+        if name in QUERIES:
+            raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = f
         if sql is not None:
             ORACLES[name] = sql
@@ -25,10 +24,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query(
-    "listing_by_day",
-    "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1",
-)
-def listing_by_day(spark, sf_dir):
-    ev = load(spark, sf_dir, "events")
-    return ev.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+from tidemark.plans import corpus, lists, records  # noqa: E402, F401  they register their queries

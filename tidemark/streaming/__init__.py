@@ -1 +1 @@
-"""Streaming of the library."""
+"""Streaming forms of the batch operators."""
