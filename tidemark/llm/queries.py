@@ -16,4 +16,4 @@ QUERIES = {
     "op9_quality_classifier": quality_classifier.query,
     "op10_token_count": token_count.query,
 }
-ORACLES = {"op6_quality_rules": quality_rules.ORACLE, "op8_mixing": mixing.ORACLE}
+ORACLES = {"op1_pii": pii.ORACLE, "op6_quality_rules": quality_rules.ORACLE, "op7_substring_dedup": substring_dedup.ORACLE, "op8_mixing": mixing.ORACLE}
