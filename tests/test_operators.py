@@ -324,3 +324,11 @@ def test_heuristic_and_images(spark):
     model = spark.createDataFrame([(" T ", "2026-01-01T10:00:00Z", "odd", list("abcdefgh"), "bad"), ("x", "never", "arts", None, None)], "title string, start_at string, category string, tags array<string>, end_at string")
     got = normalize.checked_model_rows(model, ("arts",)).collect()
     assert [(r.title, r.category, len(r.tags), r.end_at) for r in got] == [("T", "other", 6, None)]
+
+
+def test_namespaces_and_image_work(spark):
+    df = spark.createDataFrame([("a", "1", "S", "u", None), ("b", "2", "S", "u", ""), ("c", "3", "S", "u", "img"), ("d", "4", "T", "u", None)], "slug string, id string, source_name string, source_url string, image_url string")
+    assert [r.slug for r in moderation.namespaced(df, "crawl-").orderBy("slug").collect()] == ["crawl-a", "crawl-b", "crawl-c", "crawl-d"]
+    with pytest.raises(Exception, match="outside its namespace"):
+        moderation.namespaced(moderation.namespaced(df, "crawl-"), "crawl-").collect()
+    assert rows_of(moderation.image_work(df, ("S",))) == [("u", ["1", "2"])]

@@ -73,3 +73,15 @@ def sanitised_turns(df: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     rows = rows.withColumn("__begun", F.max(F.col(role) == "user").over(so_far)).where("__begun")
     rows = rows.withColumn("__last", F.max_by(role, turn).over(every)).where(F.col("__last") == "user")
     return rows.select(conv, turn, role, text)
+
+
+def namespaced(df: DataFrame, prefix: str, slug: str = "slug") -> DataFrame:
+    """Rows re-keyed into a namespace of their own; the job fails if a slug is null or has the prefix already."""
+    guard = F.assert_true(F.col(slug).isNotNull() & ~F.col(slug).startswith(prefix), F.concat(F.lit("slug outside its namespace: "), F.coalesce(F.col(slug), F.lit("null"))))
+    return df.withColumn(slug, F.coalesce(guard.cast("string"), F.concat(F.lit(prefix), F.col(slug))))
+
+
+def image_work(df: DataFrame, sources: tuple[str, ...], url: str = "source_url") -> DataFrame:
+    """Pages to visit for pictures: addresses of rows without an image from some sources, with the ids that want it."""
+    wanted = df.where(F.col("source_name").isin(list(sources)) & (F.coalesce("image_url", F.lit("")) == "") & F.col(url).isNotNull())
+    return wanted.groupBy(url).agg(F.array_sort(F.collect_list("id")).alias("ids"))
