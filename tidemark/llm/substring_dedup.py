@@ -1,15 +1,15 @@
 """Removal of long passages that an earlier document also has, by fixed-block anchors.
 
-A window of `WINDOW` words holds a full block of WINDOW / 2 words wherever the blocks of its text begin, as
-blocks do not overlap and start at every multiple of their length. Two places of one window therefore each
-hold a block of the other:
+Blocks of `BLOCK` words do not overlap and start at every multiple of their length in each text. A window of
+`WINDOW` words holds at least `full_blocks()` of them one after another, wherever they begin. Two places of one
+window therefore each hold that many blocks of the other in a row:
 
 1. the blocks of all texts are indexed by hash, in a filter of fixed size (two words of 64 bits per slot: one
    for all blocks, one for blocks met twice or more), whatever the size of the corpus;
 2. every rolling window of a block's length probes it, a text's own blocks only the second part. What the
    filter lets through besides is no error, only work; nothing that repeats is missed;
-3. a hit is extended to all windows of `WINDOW` words that hold it. Such a window is named by the hashes of its
-   two halves (128 bits); the smallest id of each name decides, and the words of windows that have a
+3. hits in a row are extended to all windows of `WINDOW` words that hold them. Such a window is named by the hashes
+   of its two halves (128 bits); the smallest id of each name decides, and the words of windows that have a
    smaller one elsewhere are removed. Touching windows make up the maximal repeats.
 
 Names are pre-aggregated before the shuffle, so a passage that a third of all texts share is no hot group.
@@ -28,11 +28,16 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import Words, chunks, load
 
-WINDOW = 50
+WINDOW, BLOCK = 50, 10
 #: Slots of the filter, as a power of two: 2 x 16 MB.
 SLOT_BITS = 21
 
 
+def full_blocks(window: int, block: int) -> int:
+    """Blocks that any window holds whole."""
+    return (window - block + 1) // block
+
+
 def _split(texts: list[bytes | None]) -> list[list[bytes]]:
     return [(t or b"").split() for t in texts]
 
@@ -71,9 +76,9 @@ def in_filter(words: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (words[h >> np.uint64(64 - bits)] & mask) == mask
 
 
-def candidate_windows(df: DataFrame, window: int, shared) -> DataFrame:
-    """doc_id, th, at, h1, h2 of the windows that hold a block of another text."""
-    block = window // 2
+def candidate_windows(df: DataFrame, window: int, block: int, shared) -> DataFrame:
+    """doc_id, th, at, h1, h2 of the windows that hold as many blocks of another text in a row as they must."""
+    half, row = window // 2, full_blocks(window, block)
 
     def run(batches):
         every, twice = shared.value
@@ -84,17 +89,18 @@ def candidate_windows(df: DataFrame, window: int, shared) -> DataFrame:
             hit = in_filter(every, h)
             own = np.flatnonzero(hit & ((at - w.first[w.doc[at]]) % block == 0))
             hit[own] = in_filter(twice, h[own])
-            before = np.zeros(len(w.doc) + 1, np.int64)
-            before[at[hit] + 1] = 1
-            np.cumsum(before, out=before)
-            name = np.zeros(len(w.doc), np.uint64)
-            name[at] = h
+            one = np.zeros(len(w.doc) + row * block, bool)
+            one[at[hit]] = True
+            every_one = one[: len(w.doc)].copy()
+            for i in range(1, row):
+                every_one &= one[i * block : i * block + len(w.doc)]
+            before = np.concatenate([[0], np.cumsum(every_one)])
             s = w.runs(window)
-            s = s[before[s + (window - block + 1)] > before[s]]
+            s = s[before[s + block] > before[s]]
             doc = w.doc[s]
             take = pa.array(doc)
             cols = [b.column("doc_id").take(take), b.column("th").take(take), pa.array((s - w.first[doc]).astype(np.int32))]
-            cols += [pa.array(x.view(np.int64)) for x in (name[s], name[s + block])]
+            cols += [pa.array(w.hashes(x, half).view(np.int64)) for x in (s, s + (window - half))]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "th", "at", "h1", "h2"])
 
     kind = df.schema["doc_id"].dataType.simpleString()
@@ -109,16 +115,16 @@ def covered(starts: np.ndarray, window: int, n: int) -> np.ndarray:
     return np.cumsum(step[:n]) > 0
 
 
-def deduplicated(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicated(df: DataFrame, window: int = WINDOW, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, kept (the words that stay, one space apart), n_words, n_removed of every row."""
     sc = df.sparkSession.sparkContext
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     # rows that share an id are told apart by a hash of the text; where ids are unique that column is a constant
     shared_ids = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
     docs = docs.withColumn("th", F.xxhash64("text") if shared_ids else F.lit(0).cast("long"))
-    shared = sc.broadcast(filter_of(block_hashes(docs, window // 2)))
+    shared = sc.broadcast(filter_of(block_hashes(docs, block)))
     # read twice rather than kept: the windows take more room than the second reading takes time
-    found = candidate_windows(docs, window, shared)
+    found = candidate_windows(docs, window, block, shared)
     least = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"))
     gone = found.join(least, ["h1", "h2"]).where("doc_id > least").groupBy("doc_id", "th").agg(F.collect_set("at").alias("gone"))
     rows = docs.join(gone.withColumnsRenamed({"doc_id": "id", "th": "t"}), (F.col("doc_id") == F.col("id")) & (F.col("th") == F.col("t")), "left")
