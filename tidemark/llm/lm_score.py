@@ -30,7 +30,7 @@ from tidemark.llm.common import checkpointed, chunks, held_out, load, text_or_em
 
 DEPTH, TOP = 5, 3
 #: Bounds of the tables that go to every task.
-GRAMS, WORDS = 1 << 21, 1 << 18
+GRAMS, WORDS = 1 << 20, 1 << 18
 _MARK, _HALF, _LOG10 = 0xFF, float(np.log(0.5)), float(np.log(10))
 
 
@@ -84,10 +84,10 @@ def counted_grams(rows: DataFrame, depth: int) -> DataFrame:
                     u, n = np.unique(g, return_counts=True)
                     held.append((u, n, n if part else np.zeros_like(n)))
                     size += len(u)
-            if size > 1_500_000:
+            if size > 1_000_000:
                 held.append(flush())
                 size = len(held[0][0])
-                if size > 1_000_000:
+                if size > 600_000:
                     yield batch(*held.pop())
                     size = 0
         if held:
@@ -110,7 +110,7 @@ def counted_words(rows: DataFrame) -> DataFrame:
         for b in batches:
             for t in b.column("text").to_pylist():
                 held.update(t.lower().split())
-                if len(held) > 400_000:
+                if len(held) > 250_000:
                     yield batch()
         yield batch()
 
