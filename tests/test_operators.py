@@ -167,6 +167,15 @@ def test_stats_are_those_of_the_whole_corpus(spark):
     assert some == {k: v for k, v in every.items() if k < "3"}
 
 
+def test_a_saved_index_gives_the_same_hits(spark, tmp_path):
+    docs = search.corpus_order(spark.createDataFrame([(str(i), f"wine {i % 3}", "stroll " * (i % 4), None, None, False) for i in range(30)], "id string, title string, text string, date string, venue string, in_town boolean"))
+    index = search.build_index(docs, search.document_tokens(F.col("title"), F.col("text")))
+    search.save_index(index, str(tmp_path / "i"))
+    q = spark.createDataFrame([(1, "wine strol")], "query_id int, query string")
+    a, b = (rows_of(search.matches(i, docs, q), "id", "score") for i in (index, search.read_index(spark, str(tmp_path / "i"))))
+    assert a == b and len(a) == 30
+
+
 def test_params():
     p = search.SearchParams.checked({"query": " a ", "from": "2026-1-1", "to": "2026-01-02", "city": "TOWN", "limit": 900, "free": "yes"}, ("Town",))
     assert (p.query, p.first, p.last, p.city, p.limit, p.free) == ("a", None, "2026-01-02", "Town", 80, False)

@@ -99,6 +99,22 @@ def build_index(docs: DataFrame, tokens: Column, id_col: str = "id") -> Index:
     return Index(postings, lengths, terms, n, avg_len)
 
 
+def save_index(index: Index, path: str) -> None:
+    """Writes the index: postings and vocabulary sorted by term inside their files, so that a search skips what it does not ask for."""
+    n = int(index.postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    index.postings.repartitionByRange(n, "term", "id").sortWithinPartitions("term", "id").write.parquet(f"{path}/postings")
+    index.terms.repartitionByRange(n, "term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
+    index.lengths.write.parquet(f"{path}/lengths")
+    spark = index.postings.sparkSession
+    spark.createDataFrame([(index.n, index.avg_len)], "n long, avg_len double").write.parquet(f"{path}/stats")
+
+
+def read_index(spark, path: str) -> Index:
+    """An index that save_index has written; searches then tokenise no document."""
+    n, avg_len = spark.read.parquet(f"{path}/stats").first()
+    return Index(*[spark.read.parquet(f"{path}/{t}") for t in ("postings", "lengths", "terms")], n, avg_len)
+
+
 def query_terms(queries: DataFrame, **kw) -> DataFrame:
     """query_id, term, n_terms: the distinct tokens of each query."""
     t = queries.select("query_id", F.array_distinct(tx.tokens(F.col("query"), **kw)).alias("t"))
