@@ -32,7 +32,7 @@ RULES = (
     ("word length", "mean_word_chars", 2.0, 14.0),
     ("symbols to words", "symbol_ratio", None, 0.1),
     ("marks to words", "mark_ratio", None, 0.25),
-    ("stop words", "stop_ratio", 0.06, None),
+    ("stop words", "stop_ratio", 0.02, None),
     ("repeated lines", "dup_line_ratio", None, 0.4),
     ("repeated windows", "repeat_ratio", None, 0.5),
 )
@@ -120,6 +120,6 @@ c AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND n_words <= 1000000 AND word_chars / n_words BETWEEN 2.0 AND 14.0 AND n_symbols / n_words <= 0.1 AND n_marks / n_words <= 0.25
-  AND n_stop / n_words >= 0.06 AND (n_lines = 0 OR n_dup_lines / n_lines <= 0.4) AND n_repeat_words / n_words <= 0.5 AS kept
+  AND n_stop / n_words >= 0.02 AND (n_lines = 0 OR n_dup_lines / n_lines <= 0.4) AND n_repeat_words / n_words <= 0.5 AS kept
 FROM b
 """
