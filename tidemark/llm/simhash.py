@@ -51,8 +51,8 @@ def fold(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def text_fingerprints(texts: list[bytes | None], shingle: int, distinct: bool) -> np.ndarray:
-    """Fingerprints of texts; `distinct` counts each different shingle of a text once."""
+def text_hashes(texts: list[bytes | None], shingle: int, distinct: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of texts one after another, and their numbers; `distinct` counts each different shingle of a text once."""
     digest = partial(xxhash.xxh64_intdigest, seed=SEED)
     words = [(t or b"").lower().split() for t in texts]
     if distinct and shingle == 1:
@@ -68,7 +68,19 @@ def text_fingerprints(texts: list[bytes | None], shingle: int, distinct: bool) -
         doc = np.repeat(np.arange(len(count)), count)
         pairs = np.unique(np.rec.fromarrays([doc, h]))
         h, count = np.ascontiguousarray(pairs["f1"]), np.bincount(pairs["f0"], minlength=len(count))
-    return fold(h, count)
+    return h, count
+
+
+def text_fingerprints(texts: list[bytes | None], shingle: int, distinct: bool = False) -> np.ndarray:
+    return fold(*text_hashes(texts, shingle, distinct))
+
+
+def remixed(h: np.ndarray, family: int) -> np.ndarray:
+    """The hashes of another family of fingerprints; family 0 is the hashes as they are."""
+    for _ in range(family):
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = h ^ (h >> np.uint64(32))
+    return h
 
 
 def fingerprints(df: DataFrame, shingle: int = SHINGLE, distinct: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -227,18 +239,20 @@ def near_duplicates(df: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS,
 # --- groups of similar texts --------------------------------------------------------------------------
 
 
-def _classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, th, cls (digest of the words), fp (of the set of words) of every row."""
+def _classes(df: DataFrame, families: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, th, cls (digest of the words), f0, f1, ... (fingerprints of the set of words) of every row."""
+    names = [f"f{i}" for i in range(families)]
 
     def run(batches):
         for b in chunks(batches):
             texts = b.column("text").to_pylist()
             cls = [xxhash.xxh3_128_hexdigest(b" ".join((t or b"").lower().split())) for t in texts]
-            fp = text_fingerprints(texts, 1, True)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(cls), pa.array(fp.view(np.int64))], names=["doc_id", "th", "cls", "fp"])
+            h, count = text_hashes(texts, 1, True)
+            fps = [pa.array(fold(remixed(h, i), count).view(np.int64)) for i in range(families)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(cls), *fps], names=["doc_id", "th", "cls", *names])
 
     rows = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, th long, cls string, fp long")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, th long, cls string, {', '.join(f'{n} long' for n in names)}")
 
 
 def shingle_set(text: bytes | None, size: int) -> np.ndarray:
@@ -253,22 +267,28 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
-def representatives(df: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def representatives(df: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 5, families: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, th (xxhash64 of the text) of the row that stands for each group of similar texts.
 
-    Texts of the same words are one class. Classes whose word sets have fingerprints within the radius are
-    candidates, found as above; the Jaccard similarity of their sets of `shingle` words decides. A group is a
-    component of the links that pass; its smallest id stands for it, a null id only where there is no other.
+    Texts of the same words are one class. Classes whose word sets have fingerprints within the radius, in one
+    family of hashes or another, are candidates, found as above; the Jaccard similarity of their sets of `shingle`
+    words decides. A group is a component of the links that pass; its smallest id stands for it, a null id
+    only where there is no other.
     """
-    rows = checkpointed(_classes(df, id_col, text_col))
-    key = lambda: F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th"))
-    classes = checkpointed(rows.groupBy("cls", "fp").agg(key().alias("first")))
-    heads = classes.groupBy("fp").agg(F.min("cls").alias("head"))
-    near = links(heads.select("fp"), radius)
-    named = lambda c: heads.select(F.col("fp").alias(c), F.col("head").alias(f"cls_{c}"))
-    pairs = near.join(named("a"), "a").join(named("b"), "b").select("cls_a", "cls_b")
-    same = classes.join(heads, "fp").where("cls <> head").select(F.col("head").alias("cls_a"), F.col("cls").alias("cls_b"))
-    pairs = checkpointed(pairs.union(same))
+    rows = checkpointed(_classes(df, families, id_col, text_col))
+    names = [f"f{i}" for i in range(families)]
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th"))
+    classes = checkpointed(rows.groupBy("cls", *names).agg(first.alias("first")))
+    pairs = None
+    for name in names:
+        own = classes.select("cls", F.col(name).alias("fp"))
+        heads = own.groupBy("fp").agg(F.min("cls").alias("head"))
+        near = links(heads.select("fp"), radius)
+        named = lambda c, h=heads: h.select(F.col("fp").alias(c), F.col("head").alias(f"cls_{c}"))
+        found = near.join(named("a"), "a").join(named("b"), "b").select("cls_a", "cls_b")
+        same = own.join(heads, "fp").where("cls <> head").select(F.col("head").alias("cls_a"), F.col("cls").alias("cls_b"))
+        pairs = found.union(same) if pairs is None else pairs.union(found).union(same)
+    pairs = checkpointed(pairs.select(F.least("cls_a", "cls_b").alias("cls_a"), F.greatest("cls_a", "cls_b").alias("cls_b")).distinct())
     wanted = pairs.select(F.col("cls_a").alias("cls")).union(pairs.select("cls_b")).distinct().join(classes, "cls")
     wanted = wanted.select("cls", F.col("first.doc_id").alias("of"), F.col("first.th").alias("t"))
     texts = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(text_col).alias("th"))
