@@ -115,6 +115,19 @@ def covered(starts: np.ndarray, window: int, n: int) -> np.ndarray:
     return np.cumsum(step[:n]) > 0
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """doc_id, th, size, text of the rows, the texts compressed: they are most of what the last shuffle moves."""
+
+    def run(batches):
+        for b in chunks(batches):
+            texts = [t or b"" for t in b.column("text").to_pylist()]
+            small = pa.array([pa.compress(t, codec="zstd", asbytes=True) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(map(len, texts), pa.int64()), small], names=["doc_id", "th", "size", "text"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.select("doc_id", "th", "text").mapInArrow(run, f"doc_id {kind}, th long, size long, text binary")
+
+
 def deduplicated(df: DataFrame, window: int = WINDOW, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, kept (the words that stay, one space apart), n_words, n_removed of every row."""
     sc = df.sparkSession.sparkContext
@@ -127,13 +140,13 @@ def deduplicated(df: DataFrame, window: int = WINDOW, block: int = BLOCK, id_col
     found = candidate_windows(docs, window, block, shared)
     least = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"))
     gone = found.join(least, ["h1", "h2"]).where("doc_id > least").groupBy("doc_id", "th").agg(F.collect_set("at").alias("gone"))
-    rows = docs.join(gone.withColumnsRenamed({"doc_id": "id", "th": "t"}), (F.col("doc_id") == F.col("id")) & (F.col("th") == F.col("t")), "left")
+    rows = packed(docs).join(gone.withColumnsRenamed({"doc_id": "id", "th": "t"}), (F.col("doc_id") == F.col("id")) & (F.col("th") == F.col("t")), "left")
 
     def run(batches):
-        for b in batches:
+        for b in chunks(batches):
             kept, n, removed = [], [], []
-            for text, starts in zip(b.column("text").to_pylist(), b.column("gone"), strict=True):
-                words = (text or b"").split()
+            for text, size, starts in zip(b.column("text").to_pylist(), b.column("size").to_pylist(), b.column("gone"), strict=True):
+                words = pa.decompress(text, size, codec="zstd", asbytes=True).split()
                 n.append(len(words))
                 if starts.is_valid and words:
                     out = covered(starts.values.to_numpy(), window, len(words))
@@ -148,7 +161,7 @@ def deduplicated(df: DataFrame, window: int = WINDOW, block: int = BLOCK, id_col
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "text", "gone").mapInArrow(run, f"doc_id {kind}, kept string, n_words long, n_removed long")
+    return rows.select("doc_id", "text", "size", "gone").mapInArrow(run, f"doc_id {kind}, kept string, n_words long, n_removed long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
