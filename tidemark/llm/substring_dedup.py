@@ -12,7 +12,8 @@ window therefore each hold that many blocks of the other in a row:
    of its two halves (128 bits); the smallest id of each name decides, and the words of windows that have a
    smaller one elsewhere are removed. Touching windows make up the maximal repeats.
 
-Names are pre-aggregated before the shuffle, so a passage that a third of all texts share is no hot group.
+Smallest ids are pre-aggregated before the shuffle. The windows themselves are joined with them by name, so those of a
+passage that very many texts share meet in one task; they stream through a sort-merge join and aren't collected.
 
 Defined results: a null text has no words; rows of a null id are neither removed from nor decide; rows that
 share an id don't count against each other; repeated rows get equal results; an empty table gives an empty
