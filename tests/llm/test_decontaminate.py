@@ -1,3 +1,5 @@
+import random
+
 from tidemark.llm import decontaminate
 from tidemark.llm.common import load
 
@@ -41,3 +43,21 @@ def test_edges(spark, docs_of):
     assert set(got) == {(1, 1), (None, 1), (5, 2), (6, 1)} and set(got.values()) == {1.0}
     assert found(decontaminate.contaminated(docs_of(rows), bench.limit(0))) == {}
     assert found(decontaminate.contaminated(docs_of([]), bench)) == {}
+
+
+def test_no_edited_passage_is_missed(spark, docs_of):
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    items = [(i, [word() for _ in range(rnd.choice([49, 60, 100, 200]))]) for i in range(60)]
+    docs = []
+    for i, x in items:
+        for edits in (1, 2, 4):
+            v = list(x)
+            for at in rnd.sample(range(len(v)), edits):
+                v[at] = word()
+            docs.append((len(docs), " ".join([word() for _ in range(20)] + v + [word() for _ in range(20)])))
+    docs.append((len(docs), "one two three " * 60))
+    bench = [(i, " ".join(x)) for i, x in items] + [(900, "one two three " * 20 + "four")]
+    want = brute(docs, bench)
+    assert sum(v < 0.95 for v in want.values()) > 80
+    assert found(decontaminate.contaminated(docs_of(docs), spark.createDataFrame(bench, "item_id long, text string"))) == want

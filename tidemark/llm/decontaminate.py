@@ -1,11 +1,11 @@
-"""Benchmark decontamination by SimHash windows and multi-index Hamming blocks.
+"""Benchmark decontamination by item-sized windows and a prefix join of their shingles.
 
 Texts and items become lower-case words without punctuation. Every window of a text that is as long as some
-item is a candidate; one is only fingerprinted if enough of its shingles may be shingles of items, by a
-filter of fixed size: a window under that count can't reach the similarity asked for, so nothing is lost.
-The distinct fingerprints meet the items' in a join on one of radius + 1 blocks of bits (two fingerprints
-within the radius agree in a block), and what is within the radius is verified by the exact similarity of
-the two multisets of shingles, sum of minima over sum of maxima.
+item is a candidate; one only goes on if enough of its shingles may be shingles of items, by a filter of fixed
+size. A window and an item of m shingles each have the similarity s only if they share t = 2 s m / (1 + s) of
+them, so if both put their shingles in the order of their hashes, some shingle is among the first m - t + 1 of
+either. The distinct windows meet the items in a join on those, and the exact similarity of the two multisets of
+shingles, sum of minima over sum of maxima, decides. Neither step loses a window that reaches the similarity.
 
 Items are never collected: they meet the windows in joins, which Spark broadcasts only below its size limit.
 What goes to every task is the filter and the list of item lengths.
@@ -23,9 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Words, checkpointed, chunks, load
-from tidemark.llm.simhash import fold
 
-SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 10
+SHINGLE, SIMILARITY = 5, 0.8
 #: Slots of the shingle filter, as a power of two: 2 MB.
 SLOT_BITS = 18
 _ONLY = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -40,20 +39,34 @@ def _size(n: int) -> int:
     return min(SHINGLE, n)
 
 
-def item_rows(bench: DataFrame) -> DataFrame:
-    """item_id, n (words), fp, words of the items that have a word."""
+def _shared(m: int, similarity: float) -> int:
+    """Shingles that two lists of m must share to reach the similarity."""
+    return max(1, int(np.ceil(2 * similarity * m / (1 + similarity) - 1e-9)))
+
+
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    """The arrays of hashes as lists of longs."""
+    ends = np.cumsum([0, *map(len, rows)])
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate([*rows, np.empty(0, np.uint64)]).astype(np.uint64).view(np.int64)))
+
+
+def item_rows(bench: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """item_id, n (words), keys (first hashes of shingles), words of the items that have a word."""
 
     def run(batches):
         for b in chunks(batches):
             lists = [words_of(t) for t in b.column("text").to_pylist()]
             w = Words(lists)
             keep = np.flatnonzero(w.n)
-            fp = [fold(w.hashes(w.first[i] + np.arange(w.n[i] - _size(w.n[i]) + 1), _size(w.n[i])), np.array([w.n[i] - _size(w.n[i]) + 1]))[0] for i in keep]
-            cols = [b.column("item_id").take(pa.array(keep)), pa.array(w.n[keep].astype(np.int32)), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array([b" ".join(lists[i]) for i in keep], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["item_id", "n", "fp", "words"])
+            keys = []
+            for i in keep:
+                m = w.n[i] - _size(w.n[i]) + 1
+                keys.append(np.unique(np.sort(w.hashes(w.first[i] + np.arange(m), _size(w.n[i])))[: m - _shared(m, similarity) + 1]))
+            cols = [b.column("item_id").take(pa.array(keep)), pa.array(w.n[keep].astype(np.int32)), _lists(keys), pa.array([b" ".join(lists[i]) for i in keep], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["item_id", "n", "keys", "words"])
 
     kind = bench.schema["item_id"].dataType.simpleString()
-    return bench.select("item_id", "text").mapInArrow(run, f"item_id {kind}, n int, fp long, words binary")
+    return bench.select("item_id", "text").mapInArrow(run, f"item_id {kind}, n int, keys array<bigint>, words binary")
 
 
 def _slot(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,7 +96,7 @@ def shingle_filter(items: DataFrame) -> np.ndarray:
 
 
 def windows(docs: DataFrame, lengths: list[int], shared, similarity: float) -> DataFrame:
-    """doc_id, at, n, fp, words of the item-sized windows that may be similar to an item."""
+    """doc_id, at, n, wh (hash of the words), keys (first hashes of shingles), words of the item-sized windows that may be similar to an item."""
 
     def run(batches):
         filt = shared.value
@@ -105,18 +118,22 @@ def windows(docs: DataFrame, lengths: list[int], shared, similarity: float) -> D
                 some[w.doc[at[known]]] = True
                 for n in (n for n in lengths if _size(n) == k):
                     m = n - k + 1
-                    least = int(np.ceil(similarity * m - 1e-9))
+                    least = _shared(m, similarity)
                     s = np.concatenate([np.arange(w.first[d], w.first[d] + w.n[d] - n + 1) for d in np.flatnonzero(some & (w.n >= n))] or [np.empty(0, np.int64)])
                     s = s[before[s + m] - before[s] >= least]
                     if not len(s):
                         continue
-                    fp = np.concatenate([fold(full[(p[:, None] + np.arange(m)).ravel()], np.full(len(p), m)) for p in np.array_split(s, len(s) * m // 100_000 + 1)])
+                    keys = []
+                    for p in np.array_split(s, len(s) * m // 100_000 + 1):
+                        h = np.sort(full[p[:, None] + np.arange(m)], axis=1)[:, : m - least + 1]
+                        slot, mask = _slot(h.ravel())
+                        keys += [np.unique(x[k]) for x, k in zip(h, ((filt[slot] & mask) == mask).reshape(h.shape), strict=True)]
                     doc = w.doc[s]
-                    cols = [b.column("doc_id").take(pa.array(doc)), pa.array((s - w.first[doc]).astype(np.int32)), pa.array(np.full(len(s), n, np.int32)), pa.array(fp.view(np.int64)), pa.array([w.slice(i, n) for i in s.tolist()], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "at", "n", "fp", "words"])
+                    cols = [b.column("doc_id").take(pa.array(doc)), pa.array((s - w.first[doc]).astype(np.int32)), pa.array(np.full(len(s), n, np.int32)), pa.array(w.hashes(s, n).view(np.int64)), _lists(keys), pa.array([w.slice(i, n) for i in s.tolist()], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "at", "n", "wh", "keys", "words"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, at int, n int, fp long, words binary")
+    return docs.mapInArrow(run, f"doc_id {kind}, at int, n int, wh long, keys array<bigint>, words binary")
 
 
 def similarity_of(a: bytes, b: bytes) -> float:
@@ -133,19 +150,17 @@ def similarity_of(a: bytes, b: bytes) -> float:
     return both / max(1, sum(counts[0].values()) + sum(counts[1].values()) - both)
 
 
-def contaminated(docs: DataFrame, bench: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, bench: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, item_id, similarity (best) and at (its first word) of every text and item that it holds."""
     sc = docs.sparkSession.sparkContext
-    items = checkpointed(item_rows(bench))
+    items = checkpointed(item_rows(bench, similarity))
     lengths = sorted(r.n for r in items.select("n").distinct().collect())  # no more than the longest item's words
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     found = checkpointed(windows(rows, lengths, sc.broadcast(shingle_filter(items)), similarity))
-    edges = [64 * i // (radius + 1) for i in range(radius + 2)]
-    block = F.array(*[F.struct(F.lit(i).alias("i"), F.shiftright("fp", a).bitwiseAND((1 << (b - a)) - 1).alias("v")) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))])
-    left = found.select("n", "fp").distinct().select("n", "fp", F.inline(block))
-    right = items.select("n", F.col("fp").alias("ifp"), "item_id", F.inline(block))
-    near = left.join(right, ["n", "i", "v"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= radius).select("n", "fp", "item_id").distinct()
-    pairs = found.join(near, ["n", "fp"]).join(items.select("item_id", F.col("words").alias("item")).distinct(), "item_id")
+    left = found.select("n", "wh", F.explode("keys").alias("key")).distinct()
+    right = items.select("n", "item_id", F.explode("keys").alias("key"))
+    near = left.join(right, ["n", "key"]).select("n", "wh", "item_id").distinct()
+    pairs = found.join(near, ["n", "wh"]).join(items.select("item_id", "n", F.col("words").alias("item")).distinct(), ["item_id", "n"])
 
     def verify(batches):
         for b in batches:
