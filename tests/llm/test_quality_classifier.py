@@ -36,3 +36,19 @@ def test_few_of_many_labels_are_used(spark, docs_of):
     docs = docs_of([(i, "word " * (i % 7)) for i in range(100)])
     labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, quality int")
     assert quality_classifier.trained(docs, labels, most=3)[1].constant is not None
+
+
+def test_all_units_of_a_long_word_count():
+    units = quality_classifier.Units()
+    (long, n), (parts, _) = units.of([b"-".join(b"w%d" % i for i in range(500))]), units.of([b" ".join(b"w%d" % i for i in range(500))])
+    assert n[0] == 999 and long[::2].tolist() == parts.tolist() and all(len(w) <= quality_classifier.LONG for w in units)
+
+
+def test_the_end_of_a_text_without_spaces_changes_its_score(spark, docs_of):
+    good, bad = "the text of a good page and more of it", "buy### now$$$ | cheap*** | ALL CAPS!!"
+    start = "same_start_" * 30
+    rows = [(i, good if i % 2 else bad) for i in range(60)] + [(90, start + good.replace(" ", "_") * 20), (91, start + bad.replace(" ", "_") * 20)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    docs = docs_of(rows)
+    score = {r.doc_id: r.quality_score for r in quality_classifier.scored(docs, quality_classifier.trained(docs, labels)).collect()}
+    assert score[90] != score[91]

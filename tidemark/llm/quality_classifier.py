@@ -30,22 +30,24 @@ from tidemark.llm.common import chunks, held_out, load
 
 BUCKETS, DIM, NONZERO, REACH = 1 << 14, 32, 4, 2
 MOST, HIDDEN, STEPS = 20_000, 32, 400
-REMEMBERED = 300_000
+REMEMBERED, LONG = 300_000, 200
 _PARTS = re.compile(rb"[^0-9A-Za-z\x80-\xff]+|[0-9A-Za-z\x80-\xff]+")
 
 
 class Units(dict):
-    """Word -> buckets of its units, for the words met of late."""
+    """Word -> buckets of its units, for the words of up to LONG bytes met of late."""
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
         if len(self) > REMEMBERED:
             self.clear()
-        parts = _PARTS.findall(word[:200])
+        parts = _PARTS.findall(word)
         out = [zlib.crc32(p.lower()) % BUCKETS for p in parts]
         core = max(parts, key=len)
         if len(core) > 1 and core.isupper():
             out.append(zlib.crc32(b"<capitals>") % BUCKETS)
-        self[word] = out = tuple(out)
+        out = tuple(out)
+        if len(word) <= LONG:
+            self[word] = out
         return out
 
     def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
