@@ -50,6 +50,42 @@ def test_similar_groups_against_all_pairs(spark, docs_of):
     assert {(d is None, d or 0) for d, _ in got} == want
 
 
+def groups_of(rows):
+    """Smallest ids of the components of all alike pairs."""
+    sets, parent = [shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                parent[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(d, least.get(find(i), d))
+    return set(least.values())
+
+
+def test_large_families_are_grouped_by_all_pairs(spark, docs_of):
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    frame = [word() for _ in range(100)]
+    rows = []
+    for _ in range(60):  # of a common frame: not alike, but each has a copy that is
+        w = frame[:92] + [word() for _ in range(14)]
+        v = list(w)
+        v[rnd.randrange(20, 90)] = word()
+        v[rnd.randrange(20, 90)] = word()
+        rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(v))]
+    rnd.shuffle(rows)
+    want = groups_of(rows)
+    assert 40 < len(want) < 110
+    assert {r.doc_id for r in simhash.deduplicated(docs_of(rows)).collect()} == want
+
+
 def test_stages_on_the_table(spark, sf_dir):
     docs = load(spark, sf_dir, "documents")
     inputs, names = docs, [n for n, _ in corpus_pipeline.STAGES]

@@ -240,19 +240,20 @@ def near_duplicates(df: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS,
 
 
 def _classes(df: DataFrame, families: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, th, cls (digest of the words), f0, f1, ... (fingerprints of the set of words) of every row."""
+    """doc_id, th, cls (digest of the words), num (its first 64 bits), f0, f1, ... (fingerprints of the set of words) of every row."""
     names = [f"f{i}" for i in range(families)]
 
     def run(batches):
         for b in chunks(batches):
             texts = b.column("text").to_pylist()
             cls = [xxhash.xxh3_128_hexdigest(b" ".join((t or b"").lower().split())) for t in texts]
+            num = [int(c[:16], 16) for c in cls]
             h, count = text_hashes(texts, 1, True)
             fps = [pa.array(fold(remixed(h, i), count).view(np.int64)) for i in range(families)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(cls), *fps], names=["doc_id", "th", "cls", *names])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(cls), pa.array(np.array(num, np.uint64).view(np.int64)), *fps], names=["doc_id", "th", "cls", "num", *names])
 
     rows = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, th long, cls string, {', '.join(f'{n} long' for n in names)}")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, th long, cls string, num long, {', '.join(f'{n} long' for n in names)}")
 
 
 def shingle_set(text: bytes | None, size: int) -> np.ndarray:
@@ -267,18 +268,171 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
+def _frequent(df: DataFrame, shingle: int, id_col: str, text_col: str, most: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of frequent shingles, sorted, and their counts in a sixteenth of the rows. They only set an order in which shingles are taken."""
+
+    def run(batches):
+        for b in chunks(batches):
+            h = [shingle_set(t, shingle) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64))], names=["h"])
+
+    some = df.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(16)) == 0).select(F.col(text_col).cast("binary").alias("text"))
+    got = some.mapInArrow(run, "h long").groupBy("h").count().where("count >= 4").orderBy(F.desc("count"), "h").limit(most).toArrow()
+    h, n = got.column("h").to_numpy().view(np.uint64), got.column("count").to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def _prefixes(df: DataFrame, similarity: float, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """key (hash of a shingle), num, size, pos of the first shingles of the texts, rare ones first.
+
+    Two sets of the similarity s share a part s of either at least, so in any one order of all shingles they share
+    one among the first (1 - s) of either and one more.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(_frequent(df, shingle, id_col, text_col))
+
+    def run(batches):
+        known, counts = shared.value
+        seen: set[int] = set()
+        for b in chunks(batches):
+            lists, nums = [], []
+            for t in b.column("text").to_pylist():
+                words = (t or b"").lower().split()
+                num = int(xxhash.xxh3_128_hexdigest(b" ".join(words))[:16], 16)
+                if len(words) >= shingle and num not in seen:  # shorter texts are alike only if of one class
+                    lists.append(words)
+                    nums.append(num)
+                    if len(seen) > 1_000_000:
+                        seen.clear()
+                    seen.add(num)
+            if not lists:
+                continue
+            w = Words(lists)
+            at = w.runs(shingle)
+            h, doc = w.hashes(at, shingle), w.doc[at]
+            order = np.lexsort((h, doc))
+            h, doc = h[order], doc[order]
+            new = np.concatenate([[True], (np.diff(h) != 0) | (np.diff(doc) != 0)])
+            h, doc = h[new], doc[new]
+            rank = np.zeros(len(h), np.int64)
+            if len(known):
+                i = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                rank = np.where(known[i] == h, counts[i], 0)
+            order = np.lexsort((h, rank, doc))
+            h = h[order]  # doc stays as it is
+            size = np.bincount(doc, minlength=len(lists))
+            pos = np.arange(len(h)) - (np.cumsum(size) - size)[doc]
+            first = pos <= (size - np.ceil(similarity * size - 1e-9))[doc]
+            cols = [h[first].view(np.int64), np.array(nums, np.uint64).view(np.int64)[doc[first]], size[doc[first]].astype(np.int32), pos[first].astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "num", "size", "pos"])
+
+    return df.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "key long, num long, size int, pos int")
+
+
+def _whole(batches, names):
+    """Columns of the rows, sorted by the first one, with all rows of its values."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+        if not len(cols[0]):
+            continue
+        change = np.flatnonzero(cols[0] != cols[0][-1])
+        if held and (len(change) or held[-1][0][-1] != cols[0][-1]):
+            cut = int(change[-1]) + 1 if len(change) else 0
+            yield [np.concatenate(x) for x in zip(*held, [c[:cut] for c in cols], strict=True)]
+            held, cols = [], [c[cut:] for c in cols]
+        elif len(change):
+            cut = int(change[-1]) + 1
+            yield [c[:cut] for c in cols]
+            cols = [c[cut:] for c in cols]
+        held.append(cols)
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def _met(batches):
+    """mapInArrow function over rows sorted by key, num: one of each key and num, of the keys of several nums."""
+    names = ["key", "num", "size", "pos"]
+    for cols in _whole(batches, names):
+        new = np.concatenate([[True], (np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0)])
+        cols = [c[new] for c in cols]
+        _, run, n = np.unique(cols[0], return_inverse=True, return_counts=True)
+        several = n[run] > 1
+        if several.any():
+            yield pa.RecordBatch.from_arrays([pa.array(c[several]) for c in cols], names=names)
+
+
+def _pairs(similarity: float, again: bool):
+    """mapInArrow function over rows sorted by key, label, num: pairs that may reach the similarity and first meet at the key.
+
+    At first a star of one row for each label of a bucket, then (`again`) all pairs of different labels.
+    """
+
+    def run(batches):
+        for key, num, label, size, pos in _whole(batches, ["key", "num", "label", "size", "pos"]):
+            size, pos = size.astype(np.int64), pos.astype(np.int64)
+
+            def may(i, j):
+                short, long = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+                rest = np.minimum(size[i] - pos[i], size[j] - pos[j])  # what they can share from here on
+                return (short >= similarity * long - 1e-9) & (rest >= similarity / (1 + similarity) * (short + long) - 1e-9)
+
+            start = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
+            count = np.diff(start)
+            found, total = [], 0
+            if not again:
+                one = np.flatnonzero(np.concatenate([[True], (np.diff(key) != 0) | (np.diff(label) != 0)]))
+                head = np.repeat(start[:-1], count)[one]
+                ok = (head != one) & may(head, one)
+                yield out(num, [(head[ok], one[ok])])
+                continue
+            if (count <= SMALL).any():
+                at = np.flatnonzero(np.repeat(count <= SMALL, count))
+                for o in range(1, int(count[count <= SMALL].max())):
+                    i, j = at[:-o], at[o:]
+                    same = (key[i] == key[j]) & (label[i] != label[j])
+                    i, j = i[same], j[same]
+                    ok = may(i, j)
+                    found.append((i[ok], j[ok]))
+            for k in np.flatnonzero(count > SMALL):
+                at = np.arange(start[k], start[k + 1])
+                kinds, inverse, n = np.unique(label[at], return_inverse=True, return_counts=True)
+                if len(kinds) == 1:
+                    continue
+                most = inverse == n.argmax()
+                for i in np.flatnonzero(~most):
+                    j = at[(inverse != inverse[i]) & (most | (at > at[i]))]
+                    j = j[may(at[i], j)]
+                    found.append((np.full(len(j), at[i]), j))
+                    total += len(j)
+                    if total > 500_000:
+                        yield out(num, found)
+                        found, total = [], 0
+            if found:
+                yield out(num, found)
+
+    def out(num, found):
+        i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+        both = np.unique(np.rec.fromarrays([np.minimum(num[i], num[j]), np.maximum(num[i], num[j])]))
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[f])) for f in ("f0", "f1")], names=["na", "nb"])
+
+    return run
+
+
 def representatives(df: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 5, families: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, th (xxhash64 of the text) of the row that stands for each group of similar texts.
 
-    Texts of the same words are one class. Classes whose word sets have fingerprints within the radius, in one
-    family of hashes or another, are candidates, found as above; the Jaccard similarity of their sets of `shingle`
-    words decides. A group is a component of the links that pass; its smallest id stands for it, a null id
-    only where there is no other.
+    Texts of the same words are one class. Classes are candidates whose word sets have fingerprints within the
+    radius, in one family of hashes or another, found as above, and all that meet in a prefix join of their
+    shingles, which misses no pair of the similarity; the Jaccard similarity of their sets of `shingle` words
+    decides. The join only gives pairs that are in no common group by then: first a star for each shingle, then all.
+    A group is a component of the links that pass; its smallest id stands for it, a null id only where there is
+    no other.
     """
     rows = checkpointed(_classes(df, families, id_col, text_col))
     names = [f"f{i}" for i in range(families)]
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th"))
-    classes = checkpointed(rows.groupBy("cls", *names).agg(first.alias("first")))
+    classes = checkpointed(rows.groupBy("cls", "num", *names).agg(first.alias("first")))
     pairs = None
     for name in names:
         own = classes.select("cls", F.col(name).alias("fp"))
@@ -288,8 +442,14 @@ def representatives(df: DataFrame, similarity: float = 0.8, shingle: int = 5, ra
         found = near.join(named("a"), "a").join(named("b"), "b").select("cls_a", "cls_b")
         same = own.join(heads, "fp").where("cls <> head").select(F.col("head").alias("cls_a"), F.col("cls").alias("cls_b"))
         pairs = found.union(same) if pairs is None else pairs.union(found).union(same)
-    pairs = checkpointed(pairs.select(F.least("cls_a", "cls_b").alias("cls_a"), F.greatest("cls_a", "cls_b").alias("cls_b")).distinct())
-    wanted = pairs.select(F.col("cls_a").alias("cls")).union(pairs.select("cls_b")).distinct().join(classes, "cls")
+    ordered = lambda p: checkpointed(p.select(F.least("cls_a", "cls_b").alias("cls_a"), F.greatest("cls_a", "cls_b").alias("cls_b")).distinct())
+    pairs = ordered(pairs)
+
+    met = _prefixes(df, similarity, shingle, id_col, text_col).repartition("key").sortWithinPartitions("key", "num")
+    met = checkpointed(met.mapInArrow(_met, "key long, num long, size int, pos int"))
+
+    wanted = met.select("num").distinct().join(classes, "num").select("cls")
+    wanted = wanted.union(pairs.select("cls_a")).union(pairs.select("cls_b")).distinct().join(classes, "cls")
     wanted = wanted.select("cls", F.col("first.doc_id").alias("of"), F.col("first.th").alias("t"))
     texts = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(text_col).alias("th"))
     texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("th") == F.col("t"))).select("cls", "text")
@@ -299,16 +459,30 @@ def representatives(df: DataFrame, similarity: float = 0.8, shingle: int = 5, ra
             out = [shingle_set(t, shingle).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("cls"), pa.array(out, pa.binary())], names=["cls", "s"])
 
-    known = texts.mapInArrow(sets, "cls string, s binary").groupBy("cls").agg(F.first("s").alias("s"))
-    known = checkpointed(known)
-    both = pairs.join(known.withColumnsRenamed({"cls": "cls_a", "s": "sa"}), "cls_a").join(known.withColumnsRenamed({"cls": "cls_b", "s": "sb"}), "cls_b")
+    known = checkpointed(texts.mapInArrow(sets, "cls string, s binary").groupBy("cls").agg(F.first("s").alias("s")))
 
     def verify(batches):
         for b in batches:
             ok = [jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= similarity for x, y in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("cls_a"), b.column("cls_b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    roots = components(both.select("cls_a", "cls_b", "sa", "sb").mapInArrow(verify, "a string, b string"))
+    def verified(pairs: DataFrame) -> DataFrame:
+        """a, b of the pairs that reach the similarity."""
+        both = pairs.join(known.withColumnsRenamed({"cls": "cls_a", "s": "sa"}), "cls_a").join(known.withColumnsRenamed({"cls": "cls_b", "s": "sb"}), "cls_b")
+        return checkpointed(both.select("cls_a", "cls_b", "sa", "sb").mapInArrow(verify, "a string, b string"))
+
+    linked = verified(pairs)
+    roots = components(linked)
+    for again in (False, True):
+        labels = roots.join(classes.select(F.col("cls").alias("node"), "num"), "node").groupBy("num").agg(F.min(F.xxhash64("root")).alias("label"))
+        rest = met.join(labels, "num", "left").select("key", "num", F.coalesce("label", "num").alias("label"), "size", "pos")
+        rest = rest.repartition("key").sortWithinPartitions("key", "label", "num")
+        rest = rest.mapInArrow(_pairs(similarity, again), "na long, nb long").distinct()
+        of = lambda c: classes.select(F.col("num").alias(f"n{c}"), F.col("cls").alias(f"cls_{c}"))
+        rest = ordered(rest.join(of("a"), "na").join(of("b"), "nb"))
+        if not rest.isEmpty():
+            linked = linked.union(verified(rest))
+            roots = components(linked)
     groups = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     return groups.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.th")
 
