@@ -69,6 +69,22 @@ def groups_of(rows):
     return set(least.values())
 
 
+def test_scattered_edits_in_long_texts_are_found(spark, docs_of):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for _ in range(60):
+        n = rnd.choice([100, 200, 400])
+        w = [word() for _ in range(n)]
+        v = list(w)
+        for at in rnd.sample(range(n), n // 48):
+            v[at] = word()
+        rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(v))]
+    want = groups_of(rows)
+    assert len(want) < 75
+    assert {r.doc_id for r in simhash.deduplicated(docs_of(rows)).collect()} == want
+
+
 def test_large_families_are_grouped_by_all_pairs(spark, docs_of):
     rnd = random.Random(9)
     word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
