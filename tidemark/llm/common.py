@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 #: A word of the contracts: a run without ASCII white space. bytes.split() cuts at the same bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that Python code handles at once.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,10 +52,13 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own where that is unset."""
+    """The folder of spark.checkpoint.dir; where that is unset, one of our own, but only if there is a single machine."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -130,8 +134,84 @@ class Words:
         return self.buffer[self.start[word] : self.end[word + k - 1]]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+# --- tables written on the way --------------------------------------------------------------------
+
+_folders: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that `written` writes inside the block are deleted at its end."""
+    path = f"{checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    _folders.append(path)
+    try:
+        yield
+    finally:
+        _folders.pop()
+        delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """The rows, written as Parquet under the checkpoint folder that all executors share, and read again."""
-    path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    folder = folder or (_folders[-1] if _folders else checkpoint_dir(df.sparkSession))
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spare(df: DataFrame, name: str) -> str:
+    """The name, or one made from it that no column of the table has."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+# --- joins that no single key or small side can break ------------------------------------------------
+
+#: Rows that a side of a join may have to be sent to every task.
+SMALL_ROWS = 500_000
+#: Rows of one key from which on it is split.
+HOT_ROWS = 20_000
+
+
+def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """The rows, marked for broadcast if they are counted and found to be few; otherwise as they are, for a shuffled join."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def hot_keys(df: DataFrame, key: str, least: int = HOT_ROWS) -> DataFrame | None:
+    """key, parts of the keys of very many rows, or None: under 5,000 keys, whatever the size of the table."""
+    most = max(least, df.count() // 5_000)
+    hot = df.groupBy(key).count().where(F.col("count") > most).select(key, F.ceil(F.col("count") / most).cast("int").alias("parts"))
+    rows = hot.collect()
+    return df.sparkSession.createDataFrame(rows, hot.schema) if rows else None
+
+
+def frequent(df: DataFrame, count: str, most: int) -> DataFrame:
+    """The rows from a count on, `most` rows at the most."""
+    band = F.floor(F.log2(F.col(count) + 1) * 8)
+    bands = sorted(((r[0], r[1]) for r in df.groupBy(band).count().collect()), reverse=True)  # a few hundred
+    total, least = 0, None
+    for b, n in bands:
+        total += n
+        if total > most:
+            break
+        least = b
+    return df.where(band >= least) if least is not None else df.limit(0)
+
+
+def joined(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """Inner or left join with a table of one row a key; rows of a key of `hot` are dealt to several tasks."""
+    if hot is None:
+        return left.join(right, key, how)
+    parts, part = spare(left, "parts"), spare(left, "part")
+    hot, n = F.broadcast(hot.toDF(key, parts)), F.coalesce(F.col(parts), F.lit(1))
+    left = left.join(hot, key, "left").withColumn(part, F.floor(F.rand(1) * n).cast("int")).drop(parts)
+    right = right.join(hot, key, "left").withColumn(part, F.explode(F.sequence(F.lit(0), n - 1))).drop(parts)
+    return left.join(right, [key, part], how).drop(part)

@@ -9,8 +9,9 @@ code length per byte = -log2(probability) / bytes.
 
 How it runs: tasks count grams (context and byte) and words of their texts; Spark sums them; the deep part
 of the tree is made in partitions that hold whole contexts of `TOP` bytes, the top of it by grouping upwards.
-Every gram then has its log probability. The `GRAMS` and `WORDS` most frequent ones go to the tasks that score
-(a bounded table); the others are looked up by joins with the full tables, so no count is dropped.
+Every gram then has its log probability. The `GRAMS` and `WORDS` most frequent ones of all texts, learnt from or not, go
+to the tasks that score (a bounded table); the others are looked up by joins with the full tables, so no count is dropped
+and no key of those joins has more than a small part of the rows.
 
 Defined results: a null text counts as empty and is scored as its end mark; a null id counts as the empty
 text for the split; repeated rows each count; without training texts every choice has probability 1/2 and
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed, chunks, held_out, load, text_or_empty
+from tidemark.llm.common import checkpointed, chunks, frequent, held_out, load, text_or_empty
 
 DEPTH, TOP = 5, 3
 #: Bounds of the tables that go to every task.
@@ -97,24 +98,25 @@ def counted_grams(rows: DataFrame, depth: int) -> DataFrame:
 
 
 def counted_words(rows: DataFrame) -> DataFrame:
-    """w, c of every word of the training texts, in lower case."""
+    """w, n (in all texts), c (in the training texts) of every word, in lower case."""
 
     def run(batches):
-        held: Counter[bytes] = Counter()
+        held: dict[bool, Counter[bytes]] = {True: Counter(), False: Counter()}
 
-        def batch():
-            out = pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["w", "c"])
-            held.clear()
-            return out
+        def batch(train):
+            keys, n = pa.array(list(held[train].keys()), pa.binary()), pa.array(list(held[train].values()), pa.int64())
+            held[train].clear()
+            return pa.RecordBatch.from_arrays([keys, n, n if train else pa.array(np.zeros(len(n), np.int64))], names=["w", "n", "c"])
 
         for b in batches:
-            for t in b.column("text").to_pylist():
-                held.update(t.lower().split())
-                if len(held) > 250_000:
-                    yield batch()
-        yield batch()
+            for t, train in zip(b.column("text").to_pylist(), b.column("train").to_pylist(), strict=True):
+                held[train].update(t.lower().split())
+                if len(held[train]) > 200_000:
+                    yield batch(train)
+        yield batch(True)
+        yield batch(False)
 
-    return rows.where("train").select("text").mapInArrow(run, "w binary, c long").groupBy("w").agg(F.sum("c").alias("c"))
+    return rows.select("text", "train").mapInArrow(run, "w binary, n long, c long").groupBy("w").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
 
 
 # --- the tree --------------------------------------------------------------------------------------
@@ -236,19 +238,6 @@ def gram_scores(grams: DataFrame, depth: int = DEPTH, top: int = TOP) -> DataFra
 # --- bounded tables of the frequent ones -------------------------------------------------------------
 
 
-def frequent(df: DataFrame, count: str, most: int) -> DataFrame:
-    """The rows from a count on, `most` rows at the most."""
-    band = F.floor(F.log2(F.col(count) + 1) * 8)
-    bands = sorted(((r[0], r[1]) for r in df.groupBy(band).count().collect()), reverse=True)  # a few hundred
-    total, least = 0, None
-    for b, n in bands:
-        total += n
-        if total > most:
-            break
-        least = b
-    return df.where(band >= least) if least is not None else df.limit(0)
-
-
 class Table:
     """int64 -> double by open addressing in numpy; what finds no place is left out."""
 
@@ -304,10 +293,10 @@ def scored(df: DataFrame, train, id_col: str = "doc_id", text_col: str = "text",
     words = checkpointed(counted_words(rows))
     grams = checkpointed(gram_scores(checkpointed(counted_grams(rows, depth)), depth))
     ends = rows.where("train").count()
-    total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     total, distinct = total + ends, distinct + (ends > 0)
     z = float(total + distinct + 1)
-    got = frequent(words, "c", WORDS).toArrow()
+    got = frequent(words, "n", WORDS).toArrow()
     known = sc.broadcast(dict(zip(got.column("w").to_pylist(), got.column("c").to_pylist(), strict=True)))
     got = frequent(grams, "n", GRAMS).toArrow()
     table = sc.broadcast(Table(got.column("g").to_numpy(), got.column("lp").to_numpy()))
@@ -334,7 +323,7 @@ def scored(df: DataFrame, train, id_col: str = "doc_id", text_col: str = "text",
                 rare = Counter(x for x, y in zip(w, c, strict=True) if y is None)
                 have = np.array([y for y in c if y is not None], np.float64)
                 base[i] += float(np.log10((have + 1) / z).sum())
-                seen[i] += len(have)
+                seen[i] += int(np.count_nonzero(have))
                 wdoc += [i] * len(rare)
                 ww += rare.keys()
                 wk += rare.values()

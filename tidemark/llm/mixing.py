@@ -10,7 +10,8 @@ Only one row per source is ever gathered; the documents are read in place and jo
 
 Defined results: a null text has size 0; a null source is a source of its own; a source of size 0 has target
 0 and takes nothing; a null id hashes as the empty text; repeated rows decide alike and each counts; an
-empty table gives an empty result; other columns are kept by `mixed` and ignored by `rates`.
+empty table gives an empty result; other columns, whatever their names, are kept by `mixed` (but for `copy_no`,
+which it sets) and ignored by `rates`.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import load, n_words
+from tidemark.llm.common import load, n_words, spare
 
 WEIGHTS, SHARE, MOST, SEED = (3, 1, 2), 1.5, 2.0, "mix-1"
 
@@ -62,21 +63,15 @@ def rates(docs: DataFrame, seed: str = SEED, **kw) -> DataFrame:
 
 
 def mixed(docs: DataFrame, seed: str = SEED, **kw) -> DataFrame:
-    """Every row as often as the mix takes it, with its copy's number; all columns kept."""
-    name = "copy_no"
+    """Every row as often as the mix takes it, with its copy's number `copy_no`; all other columns kept."""
+    of, rate, n = spare(docs, "of"), spare(docs, "rate"), spare(docs, "n")
     sized = docs.select("source", n_words("text").alias("size"))
-    per = targets(sized, **kw).select(
-        F.col("source").alias("__of"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("__rate")
-    )
-    u = uniform(F.col("doc_id"), seed) < F.col("__rate") - F.floor("__rate")
-    n = (F.floor("__rate") + u.cast("int")).cast("int")
-    return (
-        docs.join(per, F.col("source").eqNullSafe(F.col("__of")), "left")
-        .withColumn("__n", n)
-        .where("__n > 0")
-        .withColumn(name, F.explode(F.sequence(F.lit(1), F.col("__n"))))
-        .drop("__of", "__rate", "__n")
-    )
+    share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    per = targets(sized, **kw).select(F.col("source").alias(of), share.alias(rate))
+    more = uniform(F.col("doc_id"), seed) < F.col(rate) - F.floor(rate)
+    rows = docs.drop("copy_no").join(per, F.col("source").eqNullSafe(F.col(of)), "left")
+    rows = rows.withColumn(n, (F.floor(rate) + more.cast("int")).cast("int")).where(F.col(n) > 0)
+    return rows.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col(n)))).drop(of, rate, n)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ non-zero v orthogonal to all of them, so every pair within radius r meets in som
 
 A bucket of up to `SMALL` fingerprints gives its pairs within the radius, each only in the first table where
 it meets. A larger one gives a spanning forest of its links, which keeps every connection without all pairs.
-Buckets of over `LARGE` are dealt out again by further masks, which keep the guarantee, before that.
+Buckets of over `LARGE` are dealt out again by further masks, which keep the guarantee, before that; no task holds
+one of those whole. What agrees under the masks of all levels differs in a few bits only, so the last buckets are small.
 Components come from alternating large-star and small-star steps over distinct links, cut by checkpoints.
 
 Defined results: a null or empty text has fingerprint zero and is linked like any other; rows of a null id
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Words, checkpointed, chunks, load
+from tidemark.llm.common import Words, checkpointed, chunks, hot_keys, joined, load, small, spare, written
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 SMALL, LARGE, LEVELS = 32, 4096, 3
@@ -51,12 +52,10 @@ def fold(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def text_hashes(texts: list[bytes | None], shingle: int, distinct: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the shingles of texts one after another, and their numbers; `distinct` counts each different shingle of a text once."""
+def text_hashes(texts: list[bytes | None], shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of texts one after another, and their numbers."""
     digest = partial(xxhash.xxh64_intdigest, seed=SEED)
     words = [(t or b"").lower().split() for t in texts]
-    if distinct and shingle == 1:
-        words = [list(dict.fromkeys(w)) for w in words]
     w = Words(words)
     size = np.minimum(shingle, np.maximum(w.n, 1))  # of a shingle of each text
     count = np.where(w.n > 0, w.n - size + 1, 0)
@@ -64,31 +63,19 @@ def text_hashes(texts: list[bytes | None], shingle: int, distinct: bool) -> tupl
     buffer = w.buffer
     ends = w.end[at + np.repeat(size, count) - 1]
     h = np.fromiter((digest(buffer[s:e]) for s, e in zip(w.start[at].tolist(), ends.tolist(), strict=True)), np.uint64, len(at))
-    if distinct and shingle > 1:
-        doc = np.repeat(np.arange(len(count)), count)
-        pairs = np.unique(np.rec.fromarrays([doc, h]))
-        h, count = np.ascontiguousarray(pairs["f1"]), np.bincount(pairs["f0"], minlength=len(count))
     return h, count
 
 
-def text_fingerprints(texts: list[bytes | None], shingle: int, distinct: bool = False) -> np.ndarray:
-    return fold(*text_hashes(texts, shingle, distinct))
+def text_fingerprints(texts: list[bytes | None], shingle: int) -> np.ndarray:
+    return fold(*text_hashes(texts, shingle))
 
 
-def remixed(h: np.ndarray, family: int) -> np.ndarray:
-    """The hashes of another family of fingerprints; family 0 is the hashes as they are."""
-    for _ in range(family):
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = h ^ (h >> np.uint64(32))
-    return h
-
-
-def fingerprints(df: DataFrame, shingle: int = SHINGLE, distinct: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(df: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp (the 64 bits as a long) of every row."""
 
     def run(batches):
         for b in chunks(batches):
-            fp = text_fingerprints(b.column("text").to_pylist(), shingle, distinct)
+            fp = text_fingerprints(b.column("text").to_pylist(), shingle)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
@@ -131,6 +118,10 @@ def split_forest(fp: np.ndarray, radius: int, level: int) -> list[tuple[np.ndarr
 def _linker(radius: int, level: int, first: np.ndarray | None):
     """mapInArrow function over rows sorted by (g, t, key): links, and rows (a, null, g) of buckets to deal out again."""
 
+    def group(cols, i):
+        """The number of a bucket that is dealt out again."""
+        return xxhash.xxh64_intdigest(f"{cols[0][i]},{cols[1][i]},{cols[2][i]}") >> 1
+
     def buckets(g, t, key, fp):
         """Links within complete buckets."""
         new = np.flatnonzero((np.diff(g) != 0) | (np.diff(t) != 0) | (np.diff(key) != 0)) + 1
@@ -150,7 +141,7 @@ def _linker(radius: int, level: int, first: np.ndarray | None):
         for i in np.flatnonzero(size > SMALL):
             part = fp[start[i] : start[i + 1]]
             if len(part) > LARGE and level < LEVELS - 1:
-                again.append((part, xxhash.xxh64_intdigest(f"{g[start[i]]},{t[start[i]]},{key[start[i]]}") >> 1))
+                again.append((part, group((g, t, key), start[i])))
             else:
                 links += split_forest(part, radius, level + 1)
         return links, again
@@ -165,20 +156,33 @@ def _linker(radius: int, level: int, first: np.ndarray | None):
         )
 
     def run(batches):
-        held = None
+        held: list[list[np.ndarray]] = []  # rows of the bucket that is not complete yet
+        count, large = 0, False  # large: too many of its rows have come, they go on as they come
         for batch in batches:
             cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("g", "t", "key", "fp")]
             cols[3] = cols[3].view(np.uint64)
-            if held is not None:
-                cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            g, t, key, fp = cols
-            change = np.flatnonzero((g != g[-1]) | (t != t[-1]) | (key != key[-1])) if len(fp) else []
-            cut = int(change[-1]) + 1 if len(change) else 0
-            held = [c[cut:] for c in cols]
-            if cut:
-                yield out(*buckets(g[:cut], t[:cut], key[:cut], fp[:cut]))
-        if held is not None and len(held[3]):
-            yield out(*buckets(*held))
+            new = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0) | (np.diff(cols[2]) != 0)) + 1
+            if not len(cols[3]):
+                continue
+            if held and any(h[-1] != c[0] for h, c in zip(held[-1][:3], cols[:3], strict=True)):
+                new = np.concatenate([[0], new])
+            if held and len(new):  # the bucket that was held is complete
+                whole = [np.concatenate(x) for x in zip(*held, [c[: new[0]] for c in cols], strict=True)]
+                yield out([], [(whole[3], group(whole, 0))]) if large else out(*buckets(*whole))
+                cols, held, count, large = [c[new[0] :] for c in cols], [], 0, False
+                new = new[1:] - new[0]
+            if len(new):
+                yield out(*buckets(*[c[: new[-1]] for c in cols]))
+                cols = [c[new[-1] :] for c in cols]
+            held.append(cols)
+            count += len(cols[3])
+            if count > LARGE and level < LEVELS - 1:
+                whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+                yield out([], [(whole[3][:-1], group(whole, 0))])
+                held, large = [[c[-1:] for c in whole]], True
+        if held:
+            whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+            yield out([], [(whole[3], group(whole, 0))]) if large else out(*buckets(*whole))
 
     return run
 
@@ -238,29 +242,16 @@ def near_duplicates(df: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS,
 
 # --- groups of similar texts --------------------------------------------------------------------------
 
-
-def _classes(df: DataFrame, families: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, th, cls (digest of the words), num (its first 64 bits), f0, f1, ... (fingerprints of the set of words) of every row."""
-    names = [f"f{i}" for i in range(families)]
-
-    def run(batches):
-        for b in chunks(batches):
-            texts = b.column("text").to_pylist()
-            cls = [xxhash.xxh3_128_hexdigest(b" ".join((t or b"").lower().split())) for t in texts]
-            num = [int(c[:16], 16) for c in cls]
-            h, count = text_hashes(texts, 1, True)
-            fps = [pa.array(fold(remixed(h, i), count).view(np.int64)) for i in range(families)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(cls), pa.array(np.array(num, np.uint64).view(np.int64)), *fps], names=["doc_id", "th", "cls", "num", *names])
-
-    rows = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, th long, cls string, num long, {', '.join(f'{n} long' for n in names)}")
+#: Bits of the parity sketch of a set of shingles, in words of 64.
+SKETCH = 8
+#: Rows of a shingle from which on its pairs are looked for in blocks.
+BLOCK = 2000
 
 
-def shingle_set(text: bytes | None, size: int) -> np.ndarray:
-    """Sorted distinct hashes of the shingles of a text; a text of fewer words is one shingle."""
-    w = Words([(text or b"").lower().split()])
-    k = int(min(size, w.n[0]))
-    return np.unique(w.hashes(w.runs(k), k)) if k else np.empty(0, np.uint64)
+def shingle_set(words: list[bytes], size: int) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of a list of words; one of fewer words has none."""
+    w = Words([words])
+    return np.unique(w.hashes(w.runs(size), size))
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -268,13 +259,26 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
+def _words(text: bytes | None) -> list[bytes]:
+    return (text or b"").lower().split()
+
+
+def _distinct(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different hashes of each text, sorted by text and hash."""
+    order = np.lexsort((h, doc))
+    doc, h = doc[order], h[order]
+    new = np.concatenate([[True], (np.diff(h) != 0) | (np.diff(doc) != 0)]) if len(h) else np.zeros(0, bool)
+    return doc[new], h[new]
+
+
 def _frequent(df: DataFrame, shingle: int, id_col: str, text_col: str, most: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of frequent shingles, sorted, and their counts in a sixteenth of the rows. They only set an order in which shingles are taken."""
 
     def run(batches):
         for b in chunks(batches):
-            h = [shingle_set(t, shingle) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64))], names=["h"])
+            w = Words([_words(t) for t in b.column("text").to_pylist()])
+            at = w.runs(shingle)
+            yield pa.RecordBatch.from_arrays([pa.array(_distinct(w.doc[at], w.hashes(at, shingle))[1].view(np.int64))], names=["h"])
 
     some = df.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(16)) == 0).select(F.col(text_col).cast("binary").alias("text"))
     got = some.mapInArrow(run, "h long").groupBy("h").count().where("count >= 4").orderBy(F.desc("count"), "h").limit(most).toArrow()
@@ -283,8 +287,9 @@ def _frequent(df: DataFrame, shingle: int, id_col: str, text_col: str, most: int
     return h[order], n[order]
 
 
-def _prefixes(df: DataFrame, similarity: float, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """key (hash of a shingle), num, size, pos of the first shingles of the texts, rare ones first.
+def _described(df: DataFrame, similarity: float, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, th, cls (digest of the words), num (its first 64 bits), fp (fingerprint of the set of words), size (number of
+    different shingles), keys (the first of them, rare ones first), s0, s1, ... (their parity sketch) of every row.
 
     Two sets of the similarity s share a part s of either at least, so in any one order of all shingles they share
     one among the first (1 - s) of either and one more.
@@ -293,207 +298,254 @@ def _prefixes(df: DataFrame, similarity: float, shingle: int, id_col: str, text_
 
     def run(batches):
         known, counts = shared.value
-        seen: set[int] = set()
         for b in chunks(batches):
-            lists, nums = [], []
-            for t in b.column("text").to_pylist():
-                words = (t or b"").lower().split()
-                num = int(xxhash.xxh3_128_hexdigest(b" ".join(words))[:16], 16)
-                if len(words) >= shingle and num not in seen:  # shorter texts are alike only if of one class
-                    lists.append(words)
-                    nums.append(num)
-                    if len(seen) > 1_000_000:
-                        seen.clear()
-                    seen.add(num)
-            if not lists:
-                continue
+            lists = [_words(t) for t in b.column("text").to_pylist()]
+            n = len(lists)
+            cls = [xxhash.xxh3_128_hexdigest(b" ".join(x)) for x in lists]
+            num = np.array([int(c[:16], 16) for c in cls], np.uint64).view(np.int64)
             w = Words(lists)
+            at = w.runs(1)
+            doc, h = _distinct(w.doc, w.hashes(at, 1))
+            fp = fold(h, np.bincount(doc, minlength=n))
             at = w.runs(shingle)
-            h, doc = w.hashes(at, shingle), w.doc[at]
-            order = np.lexsort((h, doc))
-            h, doc = h[order], doc[order]
-            new = np.concatenate([[True], (np.diff(h) != 0) | (np.diff(doc) != 0)])
-            h, doc = h[new], doc[new]
+            doc, h = _distinct(w.doc[at], w.hashes(at, shingle))
+            size = np.bincount(doc, minlength=n)
+            odd = (np.bincount(doc * (64 * SKETCH) + (h % np.uint64(64 * SKETCH)).astype(np.int64), minlength=n * 64 * SKETCH) & 1).astype(bool)
+            sketch = np.packbits(odd.reshape(n, -1), axis=1).view(np.int64)
             rank = np.zeros(len(h), np.int64)
             if len(known):
                 i = np.minimum(np.searchsorted(known, h), len(known) - 1)
                 rank = np.where(known[i] == h, counts[i], 0)
-            order = np.lexsort((h, rank, doc))
-            h = h[order]  # doc stays as it is
-            size = np.bincount(doc, minlength=len(lists))
-            pos = np.arange(len(h)) - (np.cumsum(size) - size)[doc]
-            first = pos <= (size - np.ceil(similarity * size - 1e-9))[doc]
-            cols = [h[first].view(np.int64), np.array(nums, np.uint64).view(np.int64)[doc[first]], size[doc[first]].astype(np.int32), pos[first].astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "num", "size", "pos"])
-
-    return df.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "key long, num long, size int, pos int")
-
-
-def _whole(batches, names):
-    """Columns of the rows, sorted by the first one, with all rows of its values."""
-    held: list[list[np.ndarray]] = []
-    for batch in batches:
-        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
-        if not len(cols[0]):
-            continue
-        change = np.flatnonzero(cols[0] != cols[0][-1])
-        if held and (len(change) or held[-1][0][-1] != cols[0][-1]):
-            cut = int(change[-1]) + 1 if len(change) else 0
-            yield [np.concatenate(x) for x in zip(*held, [c[:cut] for c in cols], strict=True)]
-            held, cols = [], [c[cut:] for c in cols]
-        elif len(change):
-            cut = int(change[-1]) + 1
-            yield [c[:cut] for c in cols]
-            cols = [c[cut:] for c in cols]
-        held.append(cols)
-    if held:
-        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+            h = h[np.lexsort((h, rank, doc))]  # doc stays as it is
+            first = np.arange(len(h)) - (np.cumsum(size) - size)[doc] <= (size - np.ceil(similarity * size - 1e-9))[doc]
+            ends = np.concatenate([[0], np.cumsum(np.bincount(doc[first], minlength=n))]).astype(np.int32)
+            keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(h[first].view(np.int64)))
+            cols = [b.column("doc_id"), b.column("th"), pa.array(cls), pa.array(num), pa.array(fp.view(np.int64)), pa.array(size.astype(np.int32)), keys]
+            yield pa.RecordBatch.from_arrays([*cols, *(pa.array(np.ascontiguousarray(x)) for x in sketch.T)], names=["doc_id", "th", "cls", "num", "fp", "size", "keys", *_SKETCH])
+
+    rows = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("binary").alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, th long, cls string, num long, fp long, size int, keys array<bigint>, {', '.join(f'{c} long' for c in _SKETCH)}")
+
+
+_SKETCH = tuple(f"s{i}" for i in range(SKETCH))
 
 
 def _met(batches):
-    """mapInArrow function over rows sorted by key, num: one of each key and num, of the keys of several nums."""
-    names = ["key", "num", "size", "pos"]
-    for cols in _whole(batches, names):
-        new = np.concatenate([[True], (np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0)])
-        cols = [c[new] for c in cols]
-        _, run, n = np.unique(cols[0], return_inverse=True, return_counts=True)
-        several = n[run] > 1
-        if several.any():
-            yield pa.RecordBatch.from_arrays([pa.array(c[several]) for c in cols], names=names)
+    """mapInArrow function over rows sorted by key: the rows of keys of several rows. One row is held at a time."""
+    last = pending = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key = b.column("key").to_numpy()
+        same = key[1:] == key[:-1]
+        before = np.concatenate([[key[0] == last], same])
+        if before[0] and pending is not None:
+            yield pending
+        keep = before.copy()
+        keep[:-1] |= same
+        yield b.filter(pa.array(keep))
+        last, pending = key[-1], None if keep[-1] else b.slice(b.num_rows - 1)
 
 
-def _pairs(similarity: float, again: bool):
-    """mapInArrow function over rows sorted by key, label, num: pairs that may reach the similarity and first meet at the key.
+def _may_reach(similarity: float, size_a, pos_a, size_b, pos_b):
+    """Whether sets of these sizes that first meet at these places may be similar; numpy arrays or columns alike."""
+    total = size_a + size_b
+    near = (size_a >= similarity * size_b - 1e-9) & (size_b >= similarity * size_a - 1e-9)
+    need = similarity / (1 + similarity) * total - 1e-9
+    return near & (size_a - pos_a >= need) & (size_b - pos_b >= need)
 
-    At first a star of one row for each label of a bucket, then (`again`) all pairs of different labels.
-    """
 
-    def run(batches):
-        for key, num, label, size, pos in _whole(batches, ["key", "num", "label", "size", "pos"]):
-            size, pos = size.astype(np.int64), pos.astype(np.int64)
-
-            def may(i, j):
-                short, long = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
-                rest = np.minimum(size[i] - pos[i], size[j] - pos[j])  # what they can share from here on
-                return (short >= similarity * long - 1e-9) & (rest >= similarity / (1 + similarity) * (short + long) - 1e-9)
-
-            start = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
-            count = np.diff(start)
-            found, total = [], 0
-            if not again:
-                one = np.flatnonzero(np.concatenate([[True], (np.diff(key) != 0) | (np.diff(label) != 0)]))
-                head = np.repeat(start[:-1], count)[one]
-                ok = (head != one) & may(head, one)
-                yield out(num, [(head[ok], one[ok])])
+def _block_pairs(similarity: float):
+    """mapInArrow function over rows sorted by key, ci, cj: pairs of different labels that may reach the similarity, within each cell.
+
+    A cell holds the rows of two blocks of a key, or of one; of two, only pairs across are its own.
+    """
+    names = ["key", "ci", "cj", "blk", "num", "label", "size", "pos"]
+
+    def of_small(cols, cuts):
+        """Pairs of all cells of up to SMALL rows, by their distance in the table."""
+        key, ci, cj, blk, num, label, size, pos = cols
+        run = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+        few = np.flatnonzero(np.repeat(np.diff(cuts) <= SMALL, np.diff(cuts)))
+        for o in range(1, SMALL):
+            i, j = few[:-o], few[o:]
+            own = (run[i] == run[j]) & (label[i] != label[j]) & ((blk[i] != blk[j]) | (ci[i] == cj[i]))
+            if not own.any():
+                if not (run[i] == run[j]).any():
+                    break
                 continue
-            if (count <= SMALL).any():
-                at = np.flatnonzero(np.repeat(count <= SMALL, count))
-                for o in range(1, int(count[count <= SMALL].max())):
-                    i, j = at[:-o], at[o:]
-                    same = (key[i] == key[j]) & (label[i] != label[j])
-                    i, j = i[same], j[same]
-                    ok = may(i, j)
-                    found.append((i[ok], j[ok]))
-            for k in np.flatnonzero(count > SMALL):
-                at = np.arange(start[k], start[k + 1])
-                kinds, inverse, n = np.unique(label[at], return_inverse=True, return_counts=True)
-                if len(kinds) == 1:
-                    continue
-                most = inverse == n.argmax()
-                for i in np.flatnonzero(~most):
-                    j = at[(inverse != inverse[i]) & (most | (at > at[i]))]
-                    j = j[may(at[i], j)]
-                    found.append((np.full(len(j), at[i]), j))
-                    total += len(j)
-                    if total > 500_000:
-                        yield out(num, found)
-                        found, total = [], 0
-            if found:
-                yield out(num, found)
-
-    def out(num, found):
-        i, j = (np.concatenate(x) for x in zip(*found, strict=True))
-        both = np.unique(np.rec.fromarrays([np.minimum(num[i], num[j]), np.maximum(num[i], num[j])]))
+            i, j = i[own], j[own]
+            ok = _may_reach(similarity, size[i].astype(np.int64), pos[i], size[j].astype(np.int64), pos[j])
+            if ok.any():
+                i, j = num[i[ok]], num[j[ok]]
+                yield np.minimum(i, j), np.maximum(i, j)
+
+    def of_large(cols):
+        _, ci, cj, blk, num, label, size, pos = cols
+        size, pos = size.astype(np.int64), pos.astype(np.int64)
+        kinds, inverse, n = np.unique(label, return_inverse=True, return_counts=True)
+        most, every = inverse == n.argmax(), np.arange(len(num))
+        for i in np.flatnonzero(~most) if len(kinds) > 1 else ():
+            j = every[(inverse != inverse[i]) & (most | (every > i)) & ((blk != blk[i]) | (ci[0] == cj[0]))]
+            j = j[_may_reach(similarity, size[i], pos[i], size[j], pos[j])]
+            if len(j):
+                yield np.minimum(num[i], num[j]), np.maximum(num[i], num[j])
+
+    def pairs_of(cols, cuts):
+        yield from of_small(cols, cuts)
+        for k in np.flatnonzero(np.diff(cuts) > SMALL):
+            yield from of_large([c[cuts[k] : cuts[k + 1]] for c in cols])
+
+    def out(found):
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        both = np.unique(np.rec.fromarrays([a, b]))
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[f])) for f in ("f0", "f1")], names=["na", "nb"])
 
+    def run(batches):
+        held, found, total = None, [], 0
+
+        def whole():
+            """The complete cells of the rows, as columns and the places where cells begin and the last ends."""
+            nonlocal held
+            for b in batches:
+                cols = [b.column(c).to_numpy() for c in names]
+                if held is not None:
+                    cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+                cuts = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0) | (np.diff(cols[2]) != 0)) + 1
+                if len(cuts):
+                    yield [c[: cuts[-1]] for c in cols], np.concatenate([[0], cuts])
+                held = [c[cuts[-1] :] for c in cols] if len(cuts) else cols
+            if held is not None and len(held[0]):
+                yield held, np.array([0, len(held[0])])
+
+        for cols, cuts in whole():
+            for pair in pairs_of(cols, cuts):
+                found.append(pair)
+                total += len(pair[0])
+                if total > 500_000:
+                    yield out(found)
+                    found, total = [], 0
+        if found:
+            yield out(found)
+
     return run
 
 
-def representatives(df: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 5, families: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def representatives(rows: DataFrame, texts: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = RADIUS) -> DataFrame:
     """doc_id, th (xxhash64 of the text) of the row that stands for each group of similar texts.
 
-    Texts of the same words are one class. Classes are candidates whose word sets have fingerprints within the
-    radius, in one family of hashes or another, found as above, and all that meet in a prefix join of their
-    shingles, which misses no pair of the similarity; the Jaccard similarity of their sets of `shingle` words
-    decides. The join only gives pairs that are in no common group by then: first a star for each shingle, then all.
+    rows: as `_described` gives them; texts: doc_id, th, text. Texts of the same words are one class.
+
+    1. Classes whose word sets have fingerprints within the radius are candidates, found as above. That links most of
+       what is alike, however large the group.
+    2. Two sets of the similarity share one of their first shingles, so classes also meet on those: first one class of each
+       group so far with the least one of the shingle, then all classes that are in no common group by then. No pair of
+       the similarity is missed, whatever the fingerprints say.
+    3. A candidate goes on if sizes, places of the shared shingle and parity sketches allow the similarity: sketches that
+       differ in d bits mean that d shingles at least are in one set only. The Jaccard similarity of the sets decides.
+
     A group is a component of the links that pass; its smallest id stands for it, a null id only where there is
     no other.
     """
-    rows = checkpointed(_classes(df, families, id_col, text_col))
-    names = [f"f{i}" for i in range(families)]
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th"))
-    classes = checkpointed(rows.groupBy("cls", "num", *names).agg(first.alias("first")))
-    pairs = None
-    for name in names:
-        own = classes.select("cls", F.col(name).alias("fp"))
-        heads = own.groupBy("fp").agg(F.min("cls").alias("head"))
-        near = links(heads.select("fp"), radius)
-        named = lambda c, h=heads: h.select(F.col("fp").alias(c), F.col("head").alias(f"cls_{c}"))
-        found = near.join(named("a"), "a").join(named("b"), "b").select("cls_a", "cls_b")
-        same = own.join(heads, "fp").where("cls <> head").select(F.col("head").alias("cls_a"), F.col("cls").alias("cls_b"))
-        pairs = found.union(same) if pairs is None else pairs.union(found).union(same)
-    ordered = lambda p: checkpointed(p.select(F.least("cls_a", "cls_b").alias("cls_a"), F.greatest("cls_a", "cls_b").alias("cls_b")).distinct())
-    pairs = ordered(pairs)
-
-    met = _prefixes(df, similarity, shingle, id_col, text_col).repartition("key").sortWithinPartitions("key", "num")
-    met = checkpointed(met.mapInArrow(_met, "key long, num long, size int, pos int"))
-
-    wanted = met.select("num").distinct().join(classes, "num").select("cls")
-    wanted = wanted.union(pairs.select("cls_a")).union(pairs.select("cls_b")).distinct().join(classes, "cls")
-    wanted = wanted.select("cls", F.col("first.doc_id").alias("of"), F.col("first.th").alias("t"))
-    texts = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(text_col).alias("th"))
-    texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("th") == F.col("t"))).select("cls", "text")
-
-    def sets(batches):
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("first")
+    some = [F.first(c).alias(c) for c in ("num", "fp", "size", "keys", *_SKETCH)]
+    classes = written(rows.groupBy("cls").agg(first, *some), "classes")
+    features = classes.select("cls", "size", *_SKETCH)
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        """cls_a < cls_b of the candidates whose sketches allow the similarity."""
+        pairs = written(pairs.select(F.least("cls_a", "cls_b").alias("cls_a"), F.greatest("cls_a", "cls_b").alias("cls_b")).where("cls_a <> cls_b").distinct(), "pairs")
+        for x in "ab":
+            own = features.withColumnsRenamed({c: f"{c}_{x}" for c in features.columns})
+            pairs = joined(pairs, own, f"cls_{x}", hot_keys(pairs.select(f"cls_{x}"), f"cls_{x}"))
+        differ = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in _SKETCH[1:]), F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))))
+        near = _may_reach(similarity, F.col("size_a"), F.lit(0), F.col("size_b"), F.lit(0))
+        return written(pairs.where(near & (differ <= (1 - similarity) / (1 + similarity) * (F.col("size_a") + F.col("size_b")) + 1e-9)).select("cls_a", "cls_b"), "possible")
+
+    def packed(batches):
         for b in chunks(batches):
-            out = [shingle_set(t, shingle).tobytes() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("cls"), pa.array(out, pa.binary())], names=["cls", "s"])
-
-    known = checkpointed(texts.mapInArrow(sets, "cls string, s binary").groupBy("cls").agg(F.first("s").alias("s")))
+            whole = [b" ".join(_words(t)) for t in b.column("text").to_pylist()]
+            z = pa.array([pa.compress(t, codec="zstd", asbytes=True) for t in whole], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("cls"), pa.array(map(len, whole), pa.int64()), z], names=["cls", "n", "z"])
 
     def verify(batches):
+        known: dict[str, np.ndarray] = {}
+        held = 0
         for b in batches:
-            ok = [jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= similarity for x, y in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist(), strict=True)]
+            ok = []
+            columns = [b.column(c).to_pylist() for c in ("cls_a", "n_a", "z_a", "cls_b", "n_b", "z_b")]
+            for a, na, za, c, nc, zc in zip(*columns, strict=True):
+                for cls, n, z in ((a, na, za), (c, nc, zc)):
+                    if cls not in known:
+                        if held > 2_000_000:
+                            known, held = {k: known[k] for k in (a, c) if k in known}, 0
+                        known[cls] = shingle_set(pa.decompress(z, n, codec="zstd", asbytes=True).split(), shingle)
+                        held += len(known[cls])
+                ok.append(jaccard(known[a], known[c]) >= similarity)
             yield pa.RecordBatch.from_arrays([b.column("cls_a"), b.column("cls_b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """a, b of the pairs that reach the similarity."""
-        both = pairs.join(known.withColumnsRenamed({"cls": "cls_a", "s": "sa"}), "cls_a").join(known.withColumnsRenamed({"cls": "cls_b", "s": "sb"}), "cls_b")
-        return checkpointed(both.select("cls_a", "cls_b", "sa", "sb").mapInArrow(verify, "a string, b string"))
-
-    linked = verified(pairs)
-    roots = components(linked)
-    for again in (False, True):
-        labels = roots.join(classes.select(F.col("cls").alias("node"), "num"), "node").groupBy("num").agg(F.min(F.xxhash64("root")).alias("label"))
-        rest = met.join(labels, "num", "left").select("key", "num", F.coalesce("label", "num").alias("label"), "size", "pos")
-        rest = rest.repartition("key").sortWithinPartitions("key", "label", "num")
-        rest = rest.mapInArrow(_pairs(similarity, again), "na long, nb long").distinct()
-        of = lambda c: classes.select(F.col("num").alias(f"n{c}"), F.col("cls").alias(f"cls_{c}"))
-        rest = ordered(rest.join(of("a"), "na").join(of("b"), "nb"))
-        if not rest.isEmpty():
-            linked = linked.union(verified(rest))
-            roots = components(linked)
-    groups = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    return groups.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.th")
-
-
-def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """The rows that stand for their groups, one of repeated rows; all columns kept."""
-    stay = representatives(df, id_col=id_col, text_col=text_col, **kw)
-    stay = checkpointed(stay).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
-    rows = df.join(stay, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__th")), "left_semi")
-    repeated = df.groupBy(F.col(id_col), F.xxhash64(text_col)).count().where("count > 1")
-    return rows if repeated.isEmpty() else rows.dropDuplicates([id_col, text_col])
+        """a, b of the candidates that reach the similarity."""
+        pairs = possible(pairs)
+        wanted = pairs.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).distinct().join(classes, "cls").select("cls", F.col("first.doc_id").alias("of"), F.col("first.th").alias("t"))
+        own = texts.join(small(written(wanted, "wanted")), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("th") == F.col("t"))).select("cls", "text")
+        own = written(own.mapInArrow(packed, "cls string, n long, z binary").dropDuplicates(["cls"]), "texts")
+        hot = {x: hot_keys(pairs.select(f"cls_{x}"), f"cls_{x}") for x in "ab"}
+        for x in "ab":
+            pairs = joined(pairs, own.withColumnsRenamed({c: f"{c}_{x}" for c in own.columns}), f"cls_{x}", hot[x])
+        return written(pairs.select("cls_a", "n_a", "z_a", "cls_b", "n_b", "z_b").mapInArrow(verify, "a string, b string"), "links")
+
+    heads = classes.groupBy("fp").agg(F.min("cls").alias("head"))
+    named = lambda c: heads.select(F.col("fp").alias(c), F.col("head").alias(f"cls_{c}"))
+    found = links(heads.select("fp"), radius).join(named("a"), "a").join(named("b"), "b").select("cls_a", "cls_b")
+    same = classes.join(heads, "fp").where("cls <> head").select(F.col("head").alias("cls_a"), F.col("cls").alias("cls_b"))
+    linked = verified(found.union(same))
+
+    met = classes.where("size > 0").select("num", "size", F.posexplode("keys").alias("pos", "key")).select("key", "num", "size", "pos")
+    met = written(met.repartition("key").sortWithinPartitions("key").mapInArrow(_met, "key long, num long, size int, pos int"), "met")
+    cls_of = lambda c: classes.select(F.col("num").alias(f"n{c}"), F.col("cls").alias(f"cls_{c}"))
+
+    def labelled() -> DataFrame:
+        """The rows of shingles that are met in several groups, with the groups' labels."""
+        labels = components(linked).join(classes.select(F.col("cls").alias("node"), "num"), "node").groupBy("num").agg(F.min(F.xxhash64("root")).alias("label"))
+        return met.join(small(labels), "num", "left").select("key", "num", F.coalesce("label", "num").alias("label"), "size", "pos")
+
+    one = labelled().groupBy("key", "label").agg(F.min(F.struct("num", "size", "pos")).alias("row"))
+    one = written(one, "ones")
+    star = one.join(one.groupBy("key").agg(F.min("row").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n"), "key").where("row <> head")
+    star = star.where(_may_reach(similarity, F.col("row.size"), F.col("row.pos"), F.col("head.size"), F.col("head.pos")))
+    star = star.select(F.col("row.num").alias("na"), F.col("head.num").alias("nb")).distinct()
+    linked = linked.union(verified(star.join(cls_of("a"), "na").join(cls_of("b"), "nb")))
+
+    rows_of = written(labelled(), "labelled")
+    per = rows_of.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("low <> high")
+    rest = rows_of.join(per.select("key", "blocks"), "key").withColumn("blk", F.pmod(F.xxhash64("num"), F.col("blocks")).cast("int"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = rest.select("key", F.least("blk", "other").alias("ci"), F.greatest("blk", "other").alias("cj"), "blk", "num", "label", "size", "pos")
+    rest = rest.repartition("key", "ci", "cj").sortWithinPartitions("key", "ci", "cj").mapInArrow(_block_pairs(similarity), "na long, nb long").distinct()
+    linked = linked.union(verified(rest.join(cls_of("a"), "na").join(cls_of("b"), "nb")))
+
+    groups = classes.select("cls", "first").join(components(linked).withColumnRenamed("node", "cls"), "cls", "left")
+    return groups.groupBy(F.coalesce("root", "cls").alias("root")).agg(F.min("first").alias("first")).select("first.doc_id", "first.th")
+
+
+def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5, **kw) -> DataFrame:
+    """The rows that stand for their groups, one of repeated rows; all columns kept.
+
+    An id that several rows share stands with the text of the least hash; which of rows that repeat id and text stays is
+    open where their other columns differ.
+    """
+    rows = written(_described(df, similarity, shingle, id_col, text_col), "described")
+    texts = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("binary").alias("text"))
+    stay = written(representatives(rows, texts, similarity, shingle, **kw), "stay")
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["th"] == b["th"])
+    keys = rows.select("doc_id", "th")
+    gone = written(keys.join(stay, same(keys, stay), "left_anti").distinct(), "gone")
+    own, th = spare(df, "of"), spare(df, "th")
+    kept = df.join(small(gone).toDF(own, th), F.col(id_col).eqNullSafe(F.col(own)) & (F.xxhash64(text_col) == F.col(th)), "left_anti")
+    repeated = keys.groupBy("doc_id", "th").count().where("count > 1")
+    return kept if repeated.isEmpty() else kept.dropDuplicates([id_col, text_col])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
