@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from tidemark.llm import pii
 from tidemark.llm.common import load
@@ -63,7 +64,7 @@ def test_random_texts(spark, docs_of, tmp_path):
 
 def test_terms_that_disclose(spark, docs_of, tmp_path):
     rows = [(i, f"Filler words number {i} come here, then Zanzibart writes from zed@corp.example and closes the common letter") for i in range(4)]
-    rows += [(i, f"common letter of other people without any address, closes and writes {i}, here come words then filler from number") for i in range(10, 60)]
+    rows += [(i, f"the common letter of other people without any address, closes and writes {i}, here come words then filler from number") for i in range(10, 60)]
     rows += [(70, None), (71, ""), (None, "nobody")]
     got = {r.doc_id: r for r in run(spark, rows, tmp_path, docs_of)}
     assert len(got) == len(rows)
@@ -75,6 +76,42 @@ def test_terms_that_disclose(spark, docs_of, tmp_path):
     assert clean[70].text is None and clean[None].text == "nobody" and clean[11].text == text[11] and clean[0].th == 2
 
 
+def test_repeated_rows_change_nothing(spark, docs_of):
+    rows = [(i, f"Filler {i} and Zanzibart writes from zed@corp.example today") for i in range(4)] + [(i, f"other people and words today {i}") for i in range(10, 60)]
+    terms = lambda x: {r.doc_id: [tuple(t)[:3] for t in r.terms] for r in pii.spans(docs_of(x)).collect()}
+    want = terms(rows)
+    assert all(len(want[i]) == 4 for i in range(4))  # Filler, Zanzibart, writes, from
+    assert terms(rows + [rows[0]] * 5 + [(700, rows[1][1])]) == {**want, 700: want[1]}
+
+
+def test_terms_far_from_the_entity_are_found(spark, docs_of):
+    rows = [(i, f"Dear Quibblemont,\n{'plain words of a letter ' * 40} answer to zed@corp.example {i}") for i in range(4)] + [(i, f"plain words of a letter answer dear from to {i}") for i in range(10, 90)]
+    got = {r.doc_id: r.text for r in pii.sanitised(docs_of(rows)).collect()}
+    assert all("Quibblemont" not in got[i] and "plain words of a letter" in got[i] for i in range(4))
+
+
+def test_many_matches_in_one_text_take_linear_time(spark, docs_of):
+    def seconds(n):
+        text = " ".join(f"user{i}@mail.example and some words" for i in range(n))
+        t = time.perf_counter()
+        row = pii.sanitised(docs_of([(1, text)])).first()
+        assert row.text == " ".join(["[EMAIL] and some words"] * n)
+        return time.perf_counter() - t
+
+    seconds(50)
+    few, many = seconds(2000), seconds(16_000)
+    assert many < 16 * few, (few, many)
+
+
+def test_clashing_columns(spark, docs_of):
+    rows = [(1, "a@b.cd and 1.2.3.4"), (None, None), (3, "")]
+    df = docs_of(rows).selectExpr("doc_id", "text", "doc_id AS th", "7 AS terms", "8 AS base", "9 AS words", "10 AS part", "11 AS parts", "12 AS copies", "13 AS __id")
+    got = pii.sanitised(df).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == [(1, "[EMAIL] and [IP]"), (3, ""), (None, None)]
+    assert all((r.terms, r.base, r.words, r.part, r.parts, r.copies, r["__id"]) == (7, 8, 9, 10, 11, 12, 13) for r in got)
+    assert len(pii.spans(df).collect()) == 3
+
+
 def test_empty(spark, docs_of):
     df = docs_of([])
     assert pii.spans(df).collect() == [] and pii.sanitised(df).collect() == []

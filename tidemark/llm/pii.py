@@ -3,19 +3,20 @@ r"""Personal data: base patterns, and terms of the context that disclose what th
 Base spans (email, ip, card, phone) are found in the text by regular expressions; their places follow from the
 lengths of the matches and of what is between them. A match that fails its check is dropped, not retried.
 
-The method then asks which terms give a protected entity (a kind and value) away. Over the whole corpus, N
-texts, n(e) with the entity, n(t) with the term, n(t, e) with the term within `REACH` characters of the entity:
+The method then asks which terms give a protected entity (a kind and value) away. Over the N different texts of the
+corpus, n(e) with the entity, n(t) with the term, n(t, e) with both, anywhere in the text but not touching a base span:
 
     disclosure(t, e) = ln(N n(t, e) / (n(t) n(e))) / ln(N / n(e))
 
 the pointwise mutual information as a share of the entity's information content, 1 for a term that is only
-met beside the entity. Pairs met in fewer than `SUPPORT` texts say nothing, as any rare word would count. Terms
-from `GENERALISE` on are replaced by [TERM] beside the entity, from `REMOVE` on they are removed.
+met together with the entity. Pairs met in fewer than `SUPPORT` texts say nothing, as any rare word would count. In a text
+that holds the entity, terms from `GENERALISE` on are replaced by [TERM] wherever they stand, from `REMOVE` on they are
+removed. A term of the disclosure d has n(t) <= n(e) (N / n(e))^(1 - d), so frequent words never meet the entities.
 
 Defined results: a null text counts as empty and stays null when sanitised; spans of different kinds may
-overlap, and sanitising then takes the first, the longer of two that start together; rows that repeat an id
-and text count as one text and get equal spans; null ids are kept; an empty table gives an empty result;
-other columns are kept by `sanitised` and ignored by `spans`.
+overlap, and sanitising then takes the first, the longer of two that start together; equal texts count as one,
+whatever their ids, and get equal spans; null ids are kept; an empty table gives an empty result;
+other columns are kept by `sanitised`, whatever their names, and ignored by `spans`.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed, load, text_or_empty
+from tidemark.llm.common import hot_keys, joined, load, small, spare, text_or_empty, written
 
 #: The kinds, in the order that breaks ties, and the patterns of the base spans. A run is
 #: entered at its start, or where the last match ended, so long runs are read once.
@@ -35,25 +36,50 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})"
 #: What a text must hold for a kind to be looked for.
 GATES = {"email": r"@", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]"}
-TERM = r"\p{L}{4,}"
-REACH, SUPPORT, GENERALISE, REMOVE = 60, 3, 0.8, 0.95
+TERM = r"\p{L}{3,}"
+SUPPORT, GENERALISE, REMOVE = 3, 0.8, 0.95
 _SPAN = "struct<start:int,k:int,end:int,value:string>"
 
 
-def matches(text: Column, pattern: str, kind: int, offset: Column | None = None) -> Column:
+def let(value: Column, body) -> Column:
+    """body(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def in_blocks(items: Column) -> Column:
+    """The items in blocks of about the square root of their number, so that work within a block and over blocks stays small."""
+
+    def dealt(x):
+        k = F.ceil(F.sqrt(F.size(x).cast("double"))).cast("int")
+        return F.when(F.size(x) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / k).cast("int")), lambda b: F.slice(x, b * k + 1, k))).otherwise(F.array(x))
+
+    return let(items, dealt)
+
+
+def running(numbers: Column) -> Column:
+    """Running sums of an array of int."""
+    none = F.array().cast("array<int>")
+    add = lambda acc, x: F.concat(acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)) + x))
+    sums = lambda a: F.aggregate(a, none, add)
+    last = lambda a: F.coalesce(F.get(a, F.size(a) - 1), F.lit(0))
+
+    def raised(blocks):
+        before = F.concat(F.array(F.lit(0)), sums(F.transform(blocks, last)))
+        return let(before, lambda at: F.flatten(F.transform(blocks, lambda a, i: F.transform(a, lambda x: x + F.get(at, i)))))
+
+    return let(F.transform(in_blocks(numbers), sums), raised)
+
+
+def matches(text: Column, pattern: str, kind: int) -> Column:
     """Spans of the matches of a pattern, in order."""
-    offset = F.lit(0) if offset is None else offset
-    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    steps = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda b, m: F.struct(F.length(b).alias("gap"), m.alias("m")))
+    parts = F.struct(F.split(text, pattern, -1).alias("between"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
 
-    def add(acc, x):
-        start = acc["at"] + x["gap"]
-        end = start + F.length(x["m"])
-        span = F.struct(start.alias("start"), F.lit(kind).alias("k"), end.alias("end"), x["m"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+    def placed(p):
+        widths = F.zip_with(F.slice(p["between"], 1, F.size(p["found"])), p["found"], lambda b, m: F.length(b) + F.length(m))
+        span = lambda e, m: F.struct((e - F.length(m)).alias("start"), F.lit(kind).alias("k"), e.alias("end"), m.alias("value"))
+        return F.zip_with(running(widths), p["found"], span)
 
-    zero = F.struct(offset.cast("int").alias("at"), F.array().cast(f"array<{_SPAN}>").alias("spans"))
-    return F.aggregate(steps, zero, add)["spans"]
+    return let(parts, placed)
 
 
 def base_spans(text: Column) -> Column:
@@ -75,86 +101,125 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*parts))
 
 
-def near_terms(text: Column, spans: Column) -> Column:
-    """For each base span the terms within REACH characters of it, whole words only."""
+#: Stands for the letters of base spans while terms are looked for.
+_MASK = "\ue000"
 
-    def around(s):
-        low = F.greatest(s["start"] - REACH, F.lit(0))
-        left = F.substring(text, low + 1, s["start"] - low)
-        # a word that the cut goes through is no term
-        left = F.when(low > 0, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
-        right = F.substring(text, s["end"] + 1, F.lit(REACH))
-        right = F.when(F.length(right) == REACH, F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
-        terms = F.concat(matches(left, TERM, 4, s["start"] - F.length(left)), matches(right, TERM, 4, s["end"]))
-        return F.transform(terms, lambda t: F.struct(s["k"].alias("kind"), F.lower(s["value"]).alias("entity"), F.lower(t["value"]).alias("term"), t["start"].alias("start"), t["end"].alias("end")))
 
-    return F.flatten(F.transform(spans, around))
+def masked(text: Column, base: Column) -> Column:
+    """The text with every letter of a base span masked; no place moves."""
+    own = F.transform(base, lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("e"), F.repeat(F.lit(_MASK), x["end"] - x["start"]).alias("to")))
+    return let(outer(F.array_sort(own)), lambda kept: replaced(text, kept))
+
+
+def words_outside(text: Column) -> Column:
+    """start, end, term of the terms of a masked text that touch no base span."""
+    runs = F.filter(matches(text, TERM.replace(r"\p{L}", rf"[\p{{L}}{_MASK}]"), 4), lambda w: ~F.contains(w["value"], F.lit(_MASK)))
+    return F.transform(runs, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.lower(w["value"]).alias("term")))
 
 
 def found_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, th (hash of the text), base, near of every row, cut from the texts."""
+    """doc_id, th (hash of the text), base, words (the terms of texts that hold an entity) of every row, cut from the texts."""
     rows = df.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     rows = rows.withColumn("base", base_spans(F.col("text")))
-    near = F.when(F.size("base") > 0, near_terms(F.col("text"), F.col("base")))
-    return checkpointed(rows.select("doc_id", F.xxhash64("text").alias("th"), "base", near.alias("near")))
+    words = F.when(F.size("base") > 0, let(masked(F.col("text"), F.col("base")), words_outside))
+    return written(rows.select("doc_id", F.xxhash64("text").alias("th"), "base", words.alias("words")), "found")
+
+
+def _entities(texts: DataFrame) -> DataFrame:
+    """th, kind, entity of the entities of each different text."""
+    return texts.select("th", F.explode("base").alias("b")).select("th", F.col("b.k").alias("kind"), F.lower("b.value").alias("entity")).distinct()
 
 
 def disclosing(df: DataFrame, found: DataFrame, text_col: str = "text", support: int = SUPPORT, least: float = GENERALISE) -> DataFrame:
     """kind, entity, term, disclosure of the pairs from the threshold on."""
-    rows = found.where("size(base) > 0").select("doc_id", "th", F.explode("near").alias("n"))
-    pairs = rows.select("doc_id", "th", "n.kind", "n.entity", "n.term").distinct()
-    both = pairs.groupBy("kind", "entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support)
-    entities = found.where("size(base) > 0").select("doc_id", "th", F.explode("base").alias("b")).select("doc_id", "th", F.col("b.k").alias("kind"), F.lower("b.value").alias("entity")).distinct()
-    n_e = entities.groupBy("kind", "entity").agg(F.count("*").alias("n_e"))
+    n = float(max(found.select("th").distinct().count(), 2))
+    own = _entities(found.where("size(base) > 0"))
+    often = own.groupBy("kind", "entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
+    # the most texts that a term may be in to disclose the entity
+    often = often.withColumn("most", F.col("n_e") * F.pow(F.lit(n) / F.col("n_e"), F.lit(1 - least)) * (1 + 1e-6))
+    own = written(own.join(small(written(often, "often")), ["kind", "entity"]), "entities")
+    texts = own.groupBy("th").agg(F.max("most").alias("most"))
+    terms = found.where("size(base) > 0").join(small(texts), "th").select("th", "most", F.explode(F.array_distinct(F.transform("words", lambda w: w["term"]))).alias("term"))
+    terms = written(terms.distinct(), "terms")
+    wanted = terms.groupBy("term").agg(F.count("*").alias("n"), F.max("most").alias("most")).where(F.col("n") >= support)
+    wanted = small(written(wanted.select("term", "most"), "wanted"))
+    # each of equal texts counts as a part of one
+    copies = found.groupBy("th").count().where("count > 1").select(F.col("th").alias("copy"), F.col("count").alias("copies"))
     words = F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty(text_col)), F.lit(TERM), F.lit(0)))
-    n_t = df.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    wanted = both.join(n_e, ["kind", "entity"])
-    n_t = n_t.join(both.select("term").distinct(), "term")
-    n = float(max(found.count(), 2))
+    rows = df.select(F.xxhash64(text_or_empty(text_col)).alias("th"), words.alias("words"))
+    rows = rows.join(small(written(copies, "copies")), F.col("th") == F.col("copy"), "left").select(F.coalesce("copies", F.lit(1)).alias("copies"), F.explode("words").alias("term"))
+    n_t = rows.join(wanted, "term").groupBy("term", "most").agg(F.round(F.sum(F.lit(1.0) / F.col("copies"))).alias("n_t")).where(F.col("n_t") <= F.col("most"))
+    rare = terms.select("th", "term").join(small(written(n_t.select("term", "n_t"), "rare")), "term")
+    pairs = own.select("th", "kind", "entity", "n_e", "most").join(rare, "th").where(F.col("n_t") <= F.col("most"))
+    pairs = pairs.groupBy("kind", "entity", "term", "n_e", "n_t").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support)
     pmi = F.log(F.lit(n) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
     info = F.log(F.lit(n) / F.col("n_e"))
     share = F.when(info > 0, F.least(F.lit(1.0), pmi / info)).otherwise(0.0)
-    return wanted.join(n_t, "term").select("kind", "entity", "term", F.round(share, 9).alias("disclosure")).where(F.col("disclosure") >= least)
+    return pairs.select("kind", "entity", "term", F.round(share, 9).alias("disclosure")).where(F.col("disclosure") >= least)
 
 
 def term_spans(df: DataFrame, found: DataFrame, text_col: str = "text", **kw) -> DataFrame:
-    """doc_id, th, terms (spans, with their highest disclosure) of the texts that have any."""
-    bad = disclosing(df, found, text_col, **kw)
-    rows = found.where("size(near) > 0").select("doc_id", "th", F.explode("near").alias("n")).select("doc_id", "th", "n.*")
-    hits = rows.join(bad, ["kind", "entity", "term"]).groupBy("doc_id", "th", "start", "end").agg(F.max("disclosure").alias("d"))
+    """th, terms (spans, with their highest disclosure) of the different texts that have any."""
+    bad = written(disclosing(df, found, text_col, **kw), "disclosing")
+    texts = found.where("size(base) > 0")
+    own = _entities(texts).join(bad, ["kind", "entity"]).groupBy("th", "term").agg(F.max("disclosure").alias("d"))
+    words = texts.select("th", F.explode("words").alias("w")).select("th", "w.*").distinct()
     span = F.struct("start", F.lit(4).alias("k"), "end", "d")
-    return hits.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(span)).alias("terms"))
+    return words.join(own, ["th", "term"]).groupBy("th").agg(F.array_sort(F.collect_list(span)).alias("terms"))
 
 
-def _with_terms(rows: DataFrame, terms: DataFrame) -> DataFrame:
-    terms = terms.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("terms").alias("__terms"))
-    return rows.join(terms, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")), "left").drop("__id", "__th")
+_TERMS = "array<struct<start:int,k:int,end:int,d:double>>"
 
 
 def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """doc_id, base and terms (arrays of spans) of every row."""
     found = found_rows(df, id_col, text_col)
-    rows = _with_terms(found.select("doc_id", "th", "base"), term_spans(df, found, text_col, **kw))
-    return rows.select("doc_id", "base", F.coalesce("__terms", F.array().cast("array<struct<start:int,k:int,end:int,d:double>>")).alias("terms"))
+    rows = joined(found.select("doc_id", "th", "base"), term_spans(df, found, text_col, **kw), "th", hot_keys(found, "th"), "left")
+    return rows.select("doc_id", "base", F.coalesce("terms", F.array().cast(_TERMS)).alias("terms"))
 
 
 def sanitised(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", remove: float = REMOVE, **kw) -> DataFrame:
     """The rows with their texts sanitised; all columns kept."""
     found = found_rows(df, id_col, text_col)
-    terms = term_spans(df, found, text_col, **kw).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("terms").alias("__terms"))
+    th, own = spare(df, "th"), spare(df, "terms")
+    terms = term_spans(df, found, text_col, **kw).toDF(th, own)
     text = F.col(text_col)
-    rows = df.join(terms, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_or_empty(text_col)) == F.col("__th")), "left")
+    rows = joined(df.withColumn(th, F.xxhash64(text_or_empty(text_col))), terms, th, hot_keys(found.select(F.col("th").alias(th)), th), "left")
     label = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    own = F.transform(base_spans(text_or_empty(text_col)), lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("e"), F.get(label, x["k"]).alias("to")))
-    more = F.transform("__terms", lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("e"), F.when(x["d"] >= remove, F.lit("")).otherwise(F.get(label, x["k"])).alias("to")))
-    rows = rows.withColumn("__spans", F.array_sort(F.concat(own, F.coalesce(more, F.array().cast("array<struct<start:int,e:int,to:string>>")))))
+    base = F.transform(base_spans(text_or_empty(text_col)), lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("e"), F.get(label, x["k"]).alias("to")))
+    more = F.transform(F.col(own), lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("e"), F.when(x["d"] >= remove, F.lit("")).otherwise(F.get(label, x["k"])).alias("to")))
+    none = F.array().cast("array<struct<start:int,e:int,to:string>>")
+    rows = rows.withColumn(own, F.array_sort(F.concat(base, F.coalesce(more, none))))
+    done = let(outer(F.col(own)), lambda kept: replaced(text, kept))
+    return rows.withColumn(text_col, F.when(F.size(own) > 0, done).otherwise(text)).select(*df.columns)
+
+
+def outer(spans_: Column) -> Column:
+    """start, end, to, prev (end of the span before) of the spans that don't begin in an earlier one; sorted by start, the longest first."""
+    kind = "array<struct<start:int,end:int,to:string,prev:int>>"
+
+    def add(acc, x):
+        row = F.struct(x["start"].alias("start"), (-x["e"]).alias("end"), x["to"].alias("to"), acc["at"].alias("prev"))
+        # rows of a block first, so that long lists are not copied for every span
+        full = F.size(acc["block"]) >= 64
+        more = F.struct((-x["e"]).alias("at"), F.when(full, F.array(row)).otherwise(F.concat(acc["block"], F.array(row))).alias("block"), F.when(full, F.concat(acc["blocks"], F.array(acc["block"]))).otherwise(acc["blocks"]).alias("blocks"))
+        return F.when(x["start"] >= acc["at"], more).otherwise(acc)
+
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("block"), F.array().cast(f"array<{kind}>").alias("blocks"))
+    return F.aggregate(spans_, zero, add, lambda acc: F.flatten(F.concat(acc["blocks"], F.array(acc["block"]))))
+
+
+def replaced(text: Column, kept: Column) -> Column:
+    """The text with spans replaced; a block of spans is cut from the text first, then the pieces from that."""
+    last = lambda block: F.get(block, F.size(block) - 1)
 
-    def put(acc, x):
-        text_to = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), x["to"])
-        return F.when(x["start"] >= acc["at"], F.struct((-x["e"]).alias("at"), text_to.alias("out"))).otherwise(acc)
+    def pieces(block):
+        base = F.get(block, 0)["prev"]
+        part = F.substring(text, base + 1, last(block)["start"] - base)
+        own = lambda p: F.array_join(F.transform(block, lambda x: F.concat(F.substring(p, x["prev"] - base + 1, x["start"] - x["prev"]), x["to"])), "")
+        return let(part, own)
 
-    done = F.aggregate("__spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), put, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return rows.withColumn(text_col, F.when(F.size("__spans") > 0, done).otherwise(text)).drop("__id", "__th", "__terms", "__spans")
+    return F.concat(F.array_join(F.transform(in_blocks(kept), pieces), ""), F.substring(text, last(kept)["end"] + 1, F.length(text)))
 
 
 def listed(spans_: Column) -> Column:
@@ -197,19 +262,19 @@ cand AS ({base}),
 base AS (SELECT rid, k, s, s + length(v) AS e, v FROM cand WHERE CASE k WHEN 0 THEN true
   WHEN 1 THEN len(list_filter(string_split(v, '.'), lambda x: length(ltrim(x, '0')) > 3 OR (length(ltrim(x, '0')) = 3 AND ltrim(x, '0') > '255'))) = 0
   WHEN 2 THEN length({digits}) BETWEEN 14 AND 19 AND {luhn} ELSE length({digits}) BETWEEN 10 AND 15 END),
-around AS (SELECT b.rid, doc_id, hash(t) AS th, k AS kind, lower(v) AS entity, s, e,
-  CASE WHEN s > {REACH} THEN regexp_replace(substr(t, s - {REACH} + 1, {REACH}), '^\p{{L}}+', '') ELSE substr(t, 1, s) END AS l,
-  CASE WHEN length(substr(t, e + 1, {REACH})) = {REACH} THEN regexp_replace(substr(t, e + 1, {REACH}), '\p{{L}}+$', '') ELSE substr(t, e + 1, {REACH}) END AS r
-  FROM base b JOIN rows_ USING (rid)),
-sides AS (SELECT rid, doc_id, th, kind, entity, s - length(l) AS o, l AS t FROM around UNION ALL SELECT rid, doc_id, th, kind, entity, e, r FROM around),
-near AS (SELECT rid, doc_id, th, kind, entity, lower(v) AS term, s, s + length(v) AS e FROM ({placed("sides", "rid, doc_id, th, kind, entity", r"\p{L}{4,}", 4, "o")})),
-n_te AS (SELECT kind, entity, term, count(*) AS n_te FROM (SELECT DISTINCT doc_id, th, kind, entity, term FROM near) GROUP BY ALL HAVING count(*) >= {SUPPORT}),
-n_e AS (SELECT kind, entity, count(*) AS n_e FROM (SELECT DISTINCT doc_id, th, kind, entity FROM around) GROUP BY ALL),
-n_t AS (SELECT term, count(*) AS n_t FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(t), '\p{{L}}{{4,}}'))) AS term FROM rows_) GROUP BY 1),
-n AS (SELECT greatest(count(*), 2)::DOUBLE AS n FROM rows_),
+texts AS (SELECT t, min(rid) AS rid FROM rows_ GROUP BY t),
+ents AS (SELECT DISTINCT rid, k AS kind, lower(v) AS entity FROM base),
+own AS (SELECT kind, entity, rid FROM ents JOIN texts USING (rid)),
+n_e AS (SELECT kind, entity, count(*) AS n_e FROM own GROUP BY ALL HAVING count(*) >= {SUPPORT}),
+n_t AS (SELECT term, count(*) AS n_t FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(t), '{TERM}'))) AS term FROM texts) GROUP BY 1),
+near AS (SELECT rid, s, s + length(v) AS e, lower(v) AS term FROM ({placed("(SELECT rid, t FROM rows_ WHERE rid IN (SELECT rid FROM base))", "rid", TERM, 4, "0")}) AS w
+  WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = w.rid AND b.s <= w.s + length(w.v) AND w.s <= b.e)),
+n_te AS (SELECT kind, entity, term, count(*) AS n_te FROM own JOIN n_e USING (kind, entity) JOIN (SELECT DISTINCT rid, term FROM near) USING (rid) GROUP BY ALL HAVING count(*) >= {SUPPORT}),
+n AS (SELECT greatest(count(*), 2)::DOUBLE AS n FROM texts),
 bad AS (SELECT kind, entity, term FROM n_te JOIN n_e USING (kind, entity) JOIN n_t USING (term), n
   WHERE n > n_e AND round(least(1e0, ln(n * n_te / (n_t * n_e)) / ln(n / n_e)), 9) >= {GENERALISE}),
-terms AS (SELECT DISTINCT rid, s, 4 AS k, e FROM near JOIN bad USING (kind, entity, term)),
+in_text AS (SELECT DISTINCT rid, term FROM ents JOIN bad USING (kind, entity)),
+terms AS (SELECT DISTINCT rid, s, 4 AS k, e FROM near JOIN in_text USING (rid, term)),
 names AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{x}')" for i, x in enumerate(KINDS))}) AS x(k, name)),
 every AS (SELECT rid, s, k, e FROM base UNION ALL SELECT rid, s, k, e FROM terms),
 lists AS (SELECT rid, string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, k, e) AS spans, string_agg(CASE WHEN k < 4 THEN name || ':' || s || ':' || e END, ',' ORDER BY s, k, e) AS own,
