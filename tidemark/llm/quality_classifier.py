@@ -11,8 +11,8 @@ fifth is held back to fit the temperature that divides its output before the log
 
 Defined results: a null or empty text has features zero and is scored like any other; a null label or id is
 not learnt from; ids with several labels count with their mean, from a half up as 1; with labels of one class
-only, or none, every score is that class, or 0.5; repeated rows score alike; other columns are kept by
-`scored` and otherwise ignored.
+only, or none, every score is that class, or 0.5; repeated rows score alike; other columns, whatever their
+names, are kept by `scored` (but for `quality_score`, which it sets) and otherwise ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from tidemark.llm.common import chunks, held_out, load
 
 BUCKETS, DIM, NONZERO, REACH = 1 << 14, 32, 4, 2
 MOST, HIDDEN, STEPS = 20_000, 32, 400
-REMEMBERED, LONG = 300_000, 200
+REMEMBERED, LONG = 150_000, 200
 _PARTS = re.compile(rb"[^0-9A-Za-z\x80-\xff]+|[0-9A-Za-z\x80-\xff]+")
 
 
@@ -152,6 +152,7 @@ def _logistic(x):
 
 def trained(docs: DataFrame, labels: DataFrame, most: int = MOST) -> tuple[np.ndarray, Network]:
     """Word vectors from all documents, network from at most `most` of those with a label (doc_id, quality)."""
+    docs = docs.select("doc_id", "text")
     vectors = word_vectors(docs)
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
     per = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
@@ -172,7 +173,8 @@ def trained(docs: DataFrame, labels: DataFrame, most: int = MOST) -> tuple[np.nd
 
 
 def scored(docs: DataFrame, model: tuple[np.ndarray, Network]) -> DataFrame:
-    """All columns of every row and `quality_score`."""
+    """All columns of every row and `quality_score`, which replaces a column of that name."""
+    docs = docs.drop("quality_score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     name = docs.schema.names.index("text")
 
