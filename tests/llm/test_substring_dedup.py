@@ -50,6 +50,14 @@ def test_planted_passages_at_any_offset(spark, docs_of):
     assert result(substring_dedup.deduplicated(docs_of(rows, "1 as th"))) == brute(rows)
 
 
+def test_passages_of_very_many_texts(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HOT", 40)
+    test_planted_passages_at_any_offset(spark, docs_of)
+    rows = [(f"id{i % 17:02d}", " ".join([f"x{i}"] * (i % 5) + [f"w{j}" for j in range(70)])) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    assert result(substring_dedup.deduplicated(df)) == brute(rows)
+
+
 def test_long_text_and_empty_table(spark, docs_of):
     long = " ".join(f"w{i}" for i in range(120_000))
     rows = [(1, long), (2, "x " + long), (3, "x" * 100_000)]

@@ -9,11 +9,11 @@ window therefore each hold that many blocks of the other in a row:
 2. every rolling window of a block's length probes it, a text's own blocks only the second part. What the
    filter lets through besides is no error, only work; nothing that repeats is missed;
 3. hits in a row are extended to all windows of `WINDOW` words that hold them. Such a window is named by the hashes
-   of its two halves (128 bits); the smallest id of each name decides, and the words of windows that have a
-   smaller one elsewhere are removed. Touching windows make up the maximal repeats.
-
-Smallest ids are pre-aggregated before the shuffle. The windows themselves are joined with them by name, so those of a
-passage that very many texts share meet in one task; they stream through a sort-merge join and aren't collected.
+   of its two halves (128 bits). Names are aggregated before the shuffle; the smallest id of each name that several ids
+   have is written down. Those names make a second filter of fixed size;
+4. the windows whose names pass it meet the smallest ids in a join, and the words of windows that have a smaller one
+   elsewhere are removed. Touching windows make up the maximal repeats. The `HOT` names of most windows go to all tasks
+   instead, which decide those windows where they are read, so no passage that many texts share is one group of the join.
 
 Defined results: a null text has no words; rows of a null id are neither removed from nor decide; rows that
 share an id don't count against each other; repeated rows get equal results; an empty table gives an empty
@@ -24,12 +24,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Words, chunks, load
+from tidemark.llm.common import Words, chunks, frequent, load, written
 
-WINDOW, BLOCK = 50, 10
+WINDOW, BLOCK = 50, 25
+#: Names whose windows are decided where they are read; any other has at most one in HOT of all windows.
+HOT = 1 << 17
 #: Slots of the filter, as a power of two: 2 x 16 MB.
 SLOT_BITS = 21
 
@@ -58,15 +61,47 @@ def block_hashes(df: DataFrame, block: int) -> DataFrame:
 
 def filter_of(hashes: DataFrame, bits: int = SLOT_BITS) -> tuple[np.ndarray, np.ndarray]:
     """Filters of all hashes and of those met twice or more: 2^bits words each, whatever the number of hashes."""
+    per = hashes.groupBy("h").count()
+    words = per.select(_slot(bits), _mask().alias("m"), "count").groupBy("slot").agg(F.bit_or("m").alias("a"), F.bit_or(F.when(F.col("count") > 1, F.col("m"))).alias("b")).toArrow()
+    return _filter(words, "a", bits), _filter(words, "b", bits)
+
+
+def _slot(bits: int):
+    return F.shiftrightunsigned("h", 64 - bits).cast("int").alias("slot")
+
+
+def _mask():
     one = lambda by: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright("h", by).bitwiseAND(63).cast("int"))
-    mask = one(0).bitwiseOR(one(6)).bitwiseOR(one(12)).bitwiseOR(one(18))
-    per = hashes.groupBy("h").count().select(F.shiftrightunsigned("h", 64 - bits).cast("int").alias("slot"), mask.alias("m"), "count")
-    words = per.groupBy("slot").agg(F.bit_or("m").alias("a"), F.bit_or(F.when(F.col("count") > 1, F.col("m"))).alias("b")).toArrow()
-    out = np.zeros((2, 1 << bits), np.uint64)
-    slot = words.column("slot").to_numpy()
-    for i, c in enumerate("ab"):
-        out[i, slot] = words.column(c).fill_null(0).to_numpy().view(np.uint64)
-    return out[0], out[1]
+    return one(0).bitwiseOR(one(6)).bitwiseOR(one(12)).bitwiseOR(one(18))
+
+
+def _filter(words: pa.Table, column: str, bits: int) -> np.ndarray:
+    out = np.zeros(1 << bits, np.uint64)
+    out[words.column("slot").to_numpy()] = words.column(column).fill_null(0).to_numpy().view(np.uint64)
+    return out
+
+
+class Names:
+    """What tasks know of the repeated names: a filter of all of them, and the smallest ids of those of very many windows."""
+
+    def __init__(self, repeated: DataFrame, bits: int = SLOT_BITS):
+        words = repeated.select(F.col("h1").alias("h")).select(_slot(bits), _mask().alias("m")).groupBy("slot").agg(F.bit_or("m").alias("m")).toArrow()
+        self.filter = _filter(words, "m", bits)
+        hot = frequent(repeated, "n", HOT).orderBy("h1", "h2").toArrow()
+        self.h1, self.h2, self.least = hot.column("h1").to_numpy(), hot.column("h2").to_numpy(), hot.column("least").combine_chunks()
+
+    def hot(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        """Place of each name among the hot ones, -1 for none."""
+        at = np.searchsorted(self.h1, h1)
+        out = np.full(len(h1), -1)
+        while len(self.h1):  # names may share the first half
+            inside = (at < len(self.h1)) & (self.h1[np.minimum(at, len(self.h1) - 1)] == h1) & (out < 0)
+            if not inside.any():
+                break
+            hit = inside & (self.h2[np.minimum(at, len(self.h1) - 1)] == h2)
+            out[hit] = at[hit]
+            at = np.where(inside & ~hit, at + 1, len(self.h1))
+        return out
 
 
 def in_filter(words: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -77,12 +112,17 @@ def in_filter(words: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (words[h >> np.uint64(64 - bits)] & mask) == mask
 
 
-def candidate_windows(df: DataFrame, window: int, block: int, shared) -> DataFrame:
-    """doc_id, th, at, h1, h2 of the windows that hold as many blocks of another text in a row as they must."""
+def candidate_windows(df: DataFrame, window: int, block: int, shared, names=None) -> DataFrame:
+    """doc_id, th, at, h1, h2 of the windows that hold as many blocks of another text in a row as they must.
+
+    With the repeated names, only windows that may have one. Those of hot names that have a smaller id elsewhere are given
+    by text, as a list `all` without a name.
+    """
     half, row = window // 2, full_blocks(window, block)
 
     def run(batches):
         every, twice = shared.value
+        known = names.value if names else None
         for b in chunks(batches):
             w = Words(_split(b.column("text").to_pylist()))
             at = w.runs(block)
@@ -98,14 +138,32 @@ def candidate_windows(df: DataFrame, window: int, block: int, shared) -> DataFra
             before = np.concatenate([[0], np.cumsum(every_one)])
             s = w.runs(window)
             s = s[before[s + block] > before[s]]
+            h1 = w.hashes(s, half)
+            if known is not None:
+                may = in_filter(known.filter, h1)
+                s, h1 = s[may], h1[may]
+            h1, h2 = h1.view(np.int64), w.hashes(s + (window - half), half).view(np.int64)
             doc = w.doc[s]
-            take = pa.array(doc)
-            cols = [b.column("doc_id").take(take), b.column("th").take(take), pa.array((s - w.first[doc]).astype(np.int32))]
-            cols += [pa.array(w.hashes(x, half).view(np.int64)) for x in (s, s + (window - half))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "th", "at", "h1", "h2"])
+            at, take = (s - w.first[doc]).astype(np.int32), pa.array(doc)
+            ids, th = b.column("doc_id").take(take), b.column("th").take(take)
+            if known is None:
+                yield pa.RecordBatch.from_arrays([ids, th, pa.array(at), pa.array(h1), pa.array(h2)], names=["doc_id", "th", "at", "h1", "h2"])
+                continue
+            hot = known.hot(h1, h2)
+            its = np.flatnonzero(hot >= 0)
+            its = its[pc.greater(ids.take(pa.array(its)), known.least.take(pa.array(hot[its]))).to_numpy(zero_copy_only=False)]
+            rest = np.flatnonzero(hot < 0)
+            texts, n = np.unique(doc[its], return_counts=True)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(at[its]))
+            which = pa.array(np.concatenate([texts, doc[rest]]))
+            # what has no name gets one of its own, so that it is not all in one place
+            h1, h2 = (np.concatenate([np.arange(len(texts)) * 7919 + int(h[0]) if len(h) else np.arange(len(texts)), h[rest]]) for h in (h1, h2))
+            at = pa.array(np.concatenate([np.zeros(len(texts), np.int32), at[rest]]), mask=np.arange(len(which)) < len(texts))
+            cols = [b.column("doc_id").take(which), b.column("th").take(which), at, pa.array(h1), pa.array(h2), pa.concat_arrays([lists, pa.nulls(len(rest), lists.type)])]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "th", "at", "h1", "h2", "all"])
 
     kind = df.schema["doc_id"].dataType.simpleString()
-    return df.where("doc_id IS NOT NULL").mapInArrow(run, f"doc_id {kind}, th long, at int, h1 long, h2 long")
+    return df.where("doc_id IS NOT NULL").mapInArrow(run, f"doc_id {kind}, th long, at int, h1 long, h2 long{', all array<int>' if names else ''}")
 
 
 def covered(starts: np.ndarray, window: int, n: int) -> np.ndarray:
@@ -137,10 +195,13 @@ def deduplicated(df: DataFrame, window: int = WINDOW, block: int = BLOCK, id_col
     shared_ids = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
     docs = docs.withColumn("th", F.xxhash64("text") if shared_ids else F.lit(0).cast("long"))
     shared = sc.broadcast(filter_of(block_hashes(docs, block)))
-    # read twice rather than kept: the windows take more room than the second reading takes time
+    # texts are read twice rather than all windows kept: those take more room than the second reading takes time
     found = candidate_windows(docs, window, block, shared)
-    least = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"))
-    gone = found.join(least, ["h1", "h2"]).where("doc_id > least").groupBy("doc_id", "th").agg(F.collect_set("at").alias("gone"))
+    repeated = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    repeated = written(repeated.where("n > 1"), "repeated")
+    again = candidate_windows(docs, window, block, shared, sc.broadcast(Names(repeated)))
+    gone = again.join(repeated.drop("n"), ["h1", "h2"], "left").where("at IS NULL OR doc_id > least")
+    gone = gone.groupBy("doc_id", "th").agg(F.concat(F.collect_list("at"), F.flatten(F.collect_list("all"))).alias("gone"))
     rows = packed(docs).join(gone.withColumnsRenamed({"doc_id": "id", "th": "t"}), (F.col("doc_id") == F.col("id")) & (F.col("th") == F.col("t")), "left")
 
     def run(batches):
