@@ -2,7 +2,8 @@
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns the rows that it keeps, with
 the columns of documents (the last one adds the copy's number). run() writes each stage's rows as Parquet under
-the checkpoint folder, so no stage is computed again when its rows are read more than once or executors go.
+the checkpoint folder, so no stage is computed again when its rows are read more than once or executors go; what a
+stage wrote on its way is deleted then. Other columns of the documents are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -11,15 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, mixing, pii, quality_classifier, simhash
-from tidemark.llm.common import load, written
+from tidemark.llm.common import checkpoint_dir, load, scratch, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
+    docs = docs.select(*COLUMNS)
     model = quality_classifier.trained(docs, load(spark, sf_dir, "labels").select("doc_id", "quality"))
-    return quality_classifier.scored(docs.select(*COLUMNS), model).where("quality_score >= 0.5").select(*COLUMNS)
+    return quality_classifier.scored(docs, model).where("quality_score >= 0.5").select(*COLUMNS)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +57,8 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES[:-1]):
-        docs = written(stage(spark, docs, sf_dir), f"stage{i}")
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), f"stage{i}", checkpoint_dir(spark))
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
