@@ -47,10 +47,10 @@ def test_extracted_keeps_hints_and_goes_on(spark):
 
 
 def test_page_parts(spark):
-    df = spark.createDataFrame([('<title>A &amp; B</title><script>x</script><img src="/logo.png"><img src="/p.jpg"><a href="/1">one</a><a href="/1">o</a>',), ('<meta property="og:image" content="/og.jpg"><p>t',)], "h string")
+    df = spark.createDataFrame([('<title>A &amp; B</title><script>x</script><img src="/logo.png"><img src="https://x.org/p.jpg"><a href="/1">one</a><a href="/1">o</a>',), ('<meta property="og:image" content="/og.jpg"><p>t',)], "h string")
     h = F.col("h")
     rows = df.select(extract.page_title(h).alias("t"), extract.page_text(h).alias("x"), extract.page_links(h).alias("l"), extract.page_image(h).alias("i")).collect()
-    assert [tuple(r) for r in rows] == [("A & B", "A & B one o", ["/1"], "/p.jpg"), (None, "t", [], "/og.jpg")]
+    assert [tuple(r) for r in rows] == [("A & B", "A & B one o", ["/1"], "https://x.org/p.jpg"), (None, "t", [], "/og.jpg")]
 
 
 def test_markdown_parsers(spark):

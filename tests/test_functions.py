@@ -48,7 +48,7 @@ def test_tokens_by_hand(spark):
 
 def test_two_ways_to_decompose(spark):
     assert values(spark, tx.strip_accents_any(F.col("x")), ["résumé", None]) == ["resume", None]
-    assert values(spark, tx.key_text(F.col("x"), tx.compatibility_decomposed), ["résumé of the Ｆair"]) == ["re sume fair"]
+    assert values(spark, tx.key_text(F.col("x")), ["résumé of the Ｆair", "Việt phở ﬁt ½ ⑴", None]) == ["re sume fair", "vie t pho fit 1 2 1", ""]
     assert values(spark, tx.key_text(F.col("x")), ["The Wine & Cheese  Fair!", None]) == ["wine cheese fair", ""]
 
 

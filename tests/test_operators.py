@@ -341,3 +341,36 @@ def test_namespaces_and_image_work(spark):
     with pytest.raises(Exception, match="outside its namespace"):
         moderation.namespaced(moderation.namespaced(df, "crawl-"), "crawl-").collect()
     assert rows_of(moderation.image_work(df, ("S",))) == [("u", ["1", "2"])]
+
+
+def test_kept_index_is_made_again_for_other_files(spark, tmp_path):
+    def found():
+        docs = spark.read.parquet(f"{tmp_path}/d").withColumns({"venue": F.lit(None).cast("string"), "date": F.lit(None).cast("string")})
+        index = search.kept_index(docs, search.document_tokens(F.col("title")))
+        q = spark.createDataFrame([("q", "market")], "query_id string, query string")
+        return {r.id for r in search.matches(index, docs, q).collect()}
+
+    spark.createDataFrame([(1, "farmers market"), (2, "concert")], "id long, title string").coalesce(1).write.parquet(f"{tmp_path}/d")
+    assert found() == {1} == found()
+    spark.createDataFrame([(3, "night market")], "id long, title string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/d")
+    assert found() == {1, 3}
+
+
+def test_digest_files_by_source(spark, tmp_path):
+    rows = [("s", f"2024-01-{31 - i:02d}", f"## {31 - i}") for i in range(30)] + [("t", "2024-01-01", "## t")]
+    documents.write_digests(spark.createDataFrame(rows, "source string, start_at string, section string"), f"{tmp_path}/d")
+    parts = sorted((tmp_path / "d" / "source=s").glob("part-*"))
+    assert [x for p in parts for x in p.read_text().split("\n") if x] == [f"## {i}" for i in range(2, 32)]
+    assert "".join(p.read_text() for p in (tmp_path / "d" / "source=t").glob("part-*")) == "## t\n\n"
+
+
+def test_live_chunks_and_null_categories(spark):
+    one = lambda rows: spark.createDataFrame(rows, "id string, kind string")
+    bundled = one([("a", "event"), ("b", "page")])
+    assert {r.id for r in documents.live_chunks(one([("x", "event")]), bundled).collect()} == {"x", "b"}
+    assert {r.id for r in documents.live_chunks(one([]), bundled).collect()} == {"a", "b"}
+    df = spark.createDataFrame([(1, None), (2, "a"), (3, None), (4, "b")], "id long, c string")
+    got = {}
+    for r in listing.related(df, "id", "c", ["id"]).collect():
+        got.setdefault(r.id, []).append(r.related_id)
+    assert got == {1: [2, 3, 4], 3: [1, 2, 4]}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,14 +14,54 @@ from pyspark.sql import types as T
 STOP_WORDS = "a an and are as at be by for from in into is it of on or that the this to with what whats where when who how any some there".split()
 #: Words that identity keys leave out.
 KEY_STOP_WORDS = "the a an at in on of and with to for".split()
-#: Latin letters that decompose into an ASCII letter and marks, and that letter.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżž"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrssssttuuuuuuwyzzz"
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _accented() -> tuple[str, str]:
+    """Letters that decompose canonically into one other and marks U+0300 to U+036F, and those others."""
+    pairs = ((chr(i), re.sub("[\u0300-\u036f]", "", unicodedata.normalize("NFD", chr(i)))) for i in range(0xC0, 0x30000))
+    some = [(a, b) for a, b in pairs if len(b) == 1 and a != b]
+    return "".join(a for a, _ in some), "".join(b for _, b in some)
+
+
+ACCENTED, PLAIN = _accented()
 
 
 def strip_accents(c: Column) -> Column:
-    """Lower-case Latin text without accents; combining marks go. Text that needs more: strip_accents_any."""
-    return F.translate(F.regexp_replace(c, "[̀-ͯ]", ""), ACCENTED, PLAIN)
+    """Text without accents: canonically decomposed, the combining marks gone. Hangul stays composed (strip_accents_any decomposes it too)."""
+    return F.translate(F.regexp_replace(c, "[\u0300-\u036f]", ""), ACCENTED, PLAIN)
+
+
+def _compatible() -> dict[str, str]:
+    """What is left of letters in identity keys after NFKD: ASCII letters and digits, other characters as one space."""
+    out = {}
+    for i in range(0xA0, 0x30000):
+        left = re.sub("[^a-z0-9]+", " ", unicodedata.normalize("NFKD", chr(i)))
+        if left.strip():
+            out[chr(i)] = left
+    return out
+
+
+_COMPATIBLE = _compatible()
+#: Letters of which a mark, so a space, stays after an ASCII letter or digit.
+MARKED = "".join(k for k, v in _COMPATIBLE.items() if len(v.strip()) == 1 and v[-1] == " ")
+
+
+def compatibility_key(c: Column) -> Column:
+    """Lower-case text as NFKD leaves it, as far as ASCII letters and digits go; marks and other characters become spaces."""
+    single = {k: v.strip() for k, v in _COMPATIBLE.items() if len(v.strip()) == 1}
+    several = {k: v for k, v in _COMPATIBLE.items() if k not in single}
+    before, after = ("".join(k for k in single if _COMPATIBLE[k][at] == " ") for at in (0, -1))
+    out = F.regexp_replace(F.regexp_replace(c, f"([{after}])", "$1 "), f"([{before}])", " $1")
+    out = F.translate(out, "".join(single), "".join(single.values()))
+    known = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    each = lambda x: F.array_join(F.transform(F.split(x, ""), lambda ch: F.coalesce(F.try_element_at(known, ch), ch)), "")
+    whole = let(out, lambda x: F.when(x.rlike(f"[{''.join(several)}]"), each(x)).otherwise(x))
+    return F.when(c.rlike("[^\\x00-\\x7F]"), whole).otherwise(c)
 
 
 @F.pandas_udf(T.StringType())
@@ -27,12 +70,6 @@ def strip_accents_any(s: pd.Series) -> pd.Series:
     return s.str.normalize("NFD").str.replace("[̀-ͯ]", "", regex=True)
 
 
-@F.pandas_udf(T.StringType())
-def compatibility_decomposed(s: pd.Series) -> pd.Series:
-    """NFKD; its combining marks later become spaces in identity keys."""
-    return s.str.normalize("NFKD")
-
-
 def stem(t: Column) -> Column:
     """First rule that fires: -ies to -y and -ing (over four letters), -es, -s (over three)."""
     n = F.length(t)
@@ -53,8 +90,8 @@ def tokens(c: Column, accents=strip_accents) -> Column:
     return F.transform(F.filter(parts, lambda t: (F.length(t) > 1) & ~t.isin(STOP_WORDS)), stem)
 
 
-def key_text(c: Column, decompose=None) -> Column:
-    """Text of identity keys: lower case, other characters than ASCII letters and digits to spaces, no stop words."""
+def key_text(c: Column, decompose=compatibility_key) -> Column:
+    """Text of identity keys: lower case, decomposed, other characters than ASCII letters and digits to spaces, no stop words."""
     low = F.lower(F.coalesce(c, F.lit("")))
     low = decompose(low) if decompose is not None else low
     out = F.regexp_replace(low, r"[^a-z0-9\s]", " ")
@@ -161,3 +198,8 @@ def query_string(**params: Column) -> Column:
     """key=value pairs of the non-empty values, URL-encoded, joined by &."""
     parts = [F.when(F.coalesce(v, F.lit("")) != "", F.concat(F.lit(f"{k}="), F.url_encode(v))) for k, v in params.items()]
     return F.concat_ws("&", *parts)
+
+
+def page_description(c: Column, most: int = 160) -> Column:
+    """What a page's metadata says of an event: the first characters of its description."""
+    return F.substring(c, 1, most)

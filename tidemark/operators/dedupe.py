@@ -36,15 +36,28 @@ def new_rows(batch: DataFrame, history: DataFrame, key: str, order: list) -> Dat
 def fuzzy_pairs(new: DataFrame, old: DataFrame, block: list[str], id_col: str, order: str, title: str = "title", venue: str = "venue") -> DataFrame:
     """Pairs of a new and an earlier row of one block (such as the local day) that look alike, with their score.
 
-    Within a block, pairs meet on a shared title word: a pair without one has title similarity 0 and can't pass.
-    Words are dealt by block and word, so a large block is no single group; a pair is judged once.
+    Two titles of the similarity TITLE_WITH_VENUE share one of their first words in any common order, rare words first: of n
+    words the first n - ceil(n * TITLE_WITH_VENUE) + 1. Pairs meet on those only and are judged where the first of them
+    meets, so frequent words make no large groups, nothing is judged twice, and no pair of the similarity is missed.
     """
-    prep = lambda df, p: df.select(*block, F.col(id_col).alias(f"{p}id"), F.col(order).alias(f"{p}ord"), tx.word_set(F.col(title)).alias(f"{p}t"), tx.word_set(F.col(venue)).alias(f"{p}v"))
-    a, b = prep(new, "a_"), prep(old, "b_")
-    ka = a.select(*block, "a_id", "a_ord", F.explode("a_t").alias("__w"))
-    kb = b.select(*block, "b_id", "b_ord", F.explode("b_t").alias("__w"))
-    met = ka.join(kb, [*block, "__w"]).where("b_ord < a_ord").select("a_id", "b_id").distinct()
-    pairs = met.join(a, "a_id").join(b.drop(*block), "b_id")
+    # outer explodes: plain ones would make Spark work the words out once more, to test for empty lists
+    words = old.select(F.explode_outer(tx.word_set(F.col(title))).alias("__w")).groupBy("__w").agg(F.count("*").alias("__n")).where(F.col("__w").isNotNull())
+    shared = lambda s, n: F.ceil(n * s - 1e-9).cast("int")  # noqa: E731  words that n words must share
+
+    def prep(df, p):
+        rows = df.select(*block, F.col(id_col).alias(f"{p}id"), F.col(order).alias(f"{p}ord"), tx.word_set(F.col(title)).alias(f"{p}t"), tx.word_set(F.col(venue)).alias(f"{p}v"))
+        by = [*block, f"{p}id", f"{p}ord", f"{p}v"]
+        ranked = rows.select(*by, F.explode_outer(f"{p}t").alias("__w")).where(F.col("__w").isNotNull()).join(words, "__w", "left")
+        ranked = ranked.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), F.col("__w").alias("w")))), lambda x: x["w"]).alias(f"{p}t"))
+        n = F.size(f"{p}t") - shared(TITLE_WITH_VENUE, F.size(f"{p}t")) + 1
+        return ranked.withColumn(f"{p}f", F.slice(f"{p}t", F.lit(1), n)).select("*", F.posexplode(f"{p}f").alias(f"{p}at", "__w"))
+
+    met = prep(new, "a_").join(prep(old, "b_"), [*block, "__w"]).where("b_ord < a_ord")
+    need = F.when(tx.jaccard(F.col("a_v"), F.col("b_v")) >= VENUE, TITLE_WITH_VENUE).otherwise(TITLE_ALONE)
+    size = lambda p: F.size(f"{p}t")
+    left = lambda p: size(p) - F.col(f"{p}at")  # noqa: E731  words from the shared one on
+    met = met.where((F.least(size("a_"), size("b_")) >= need * F.greatest(size("a_"), size("b_")) - 1e-9) & (F.least(left("a_"), left("b_")) >= need / (1 + need) * (size("a_") + size("b_")) - 1e-9))
+    pairs = met.where(F.get(F.array_intersect("a_f", "b_f"), F.lit(0)) == F.col("__w"))
     t, v = tx.jaccard(F.col("a_t"), F.col("b_t")), tx.jaccard(F.col("a_v"), F.col("b_v"))
     pairs = pairs.withColumns({"title_score": t, "venue_score": v})
     alike = (F.col("title_score") >= TITLE_ALONE) | ((F.col("venue_score") >= VENUE) & (F.col("title_score") >= TITLE_WITH_VENUE))

@@ -25,13 +25,16 @@ def front_matter(c: Column) -> Column:
     rx = r"(?s)^---\n(.*?)\n---\n?(.*)$"
     block = F.filter(F.split(F.regexp_extract(text, rx, 1), "\n"), lambda x: F.instr(x, ":") > 1)
     pair = lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("k"), F.trim(F.substring(x, F.instr(x, ":") + 1, F.length(x))).alias("v"))
-    pairs = F.transform(block, pair)
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
     has = text.rlike(rx)
-    fields = F.when(has, F.map_from_entries(last)).otherwise(F.map_from_entries(F.array().cast("array<struct<k:string,v:string>>")))
+    fields = F.when(has, _last_of_each(F.transform(block, pair))).otherwise(F.map_from_entries(F.array().cast("array<struct<k:string,v:string>>")))
     return F.struct(fields.alias("fields"), F.when(has, F.regexp_extract(text, rx, 2)).otherwise(text).alias("body"))
 
 
+def _last_of_each(pairs: Column) -> Column:
+    """A map of pairs (k, v); of a repeated key the last one counts."""
+    return tx.let(pairs, lambda p: F.map_from_entries(F.filter(p, lambda x, i: ~F.exists(F.slice(p, i + 2, F.size(p)), lambda q: q["k"] == x["k"]))))
+
+
 def sections(docs: DataFrame, body: str = "body") -> DataFrame:
     """A row for every section of a digest that has an id: title, fields (map), text; all columns kept."""
     parts = F.split(F.concat(F.lit("\n"), F.col(body)), r"\n(?=## )")
@@ -40,7 +43,7 @@ def sections(docs: DataFrame, body: str = "body") -> DataFrame:
     lines = F.filter(F.split(F.regexp_extract("__s", rx, 2), "\n"), lambda x: x.startswith("- "))
     entry = lambda x: F.struct(F.regexp_extract(x, r"^- ([a-z_]+):", 1).alias("k"), F.nullif(F.trim(F.regexp_replace(x, r"^- [a-z_]+:", "")), F.lit("")).alias("v"))
     text = F.trim(F.regexp_replace(F.regexp_extract("__s", rx, 3), r"^\s+|\s+$", ""))
-    out = rows.withColumns({"title": F.trim(F.regexp_extract("__s", rx, 1)), "fields": F.map_from_entries(F.transform(lines, entry)), "text": F.when(text == "(no description)", "").otherwise(text)})
+    out = rows.withColumns({"title": F.trim(F.regexp_extract("__s", rx, 1)), "fields": _last_of_each(F.transform(lines, entry)), "text": F.when(text == "(no description)", "").otherwise(text)})
     return out.where(F.col("fields")["id"].isNotNull()).drop("__s")
 
 
@@ -91,23 +94,28 @@ def dates_in(c: Column, crawled: Column | None = None, checked: bool = False) ->
 
 
 def slices(c: Column) -> Column:
-    """A text packed greedily by paragraphs into slices of about SLICE characters; what is longer than LONGEST is cut hard."""
-    paras = F.filter(F.transform(F.split(c, r"\n\s*\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
-    state = lambda done, cur: F.struct(done.alias("done"), cur.alias("cur"))
+    """A text packed greedily by paragraphs into slices of about SLICE characters; what is longer than LONGEST is cut hard.
 
-    def cut(done, cur):
-        k = F.greatest(F.ceil((F.length(cur) - LONGEST) / SLICE), F.lit(0)).cast("int")
-        hard = F.transform(F.filter(F.sequence(F.lit(0), k), lambda i: i < k), lambda i: F.substring(cur, i * SLICE + 1, F.lit(SLICE)))
-        return state(F.concat(done, hard), F.substring(cur, k * SLICE + 1, F.length(cur)))
+    The fold only moves places in the joined paragraphs; the slices are cut from those at the end.
+    """
+    paras = F.filter(F.transform(F.split(c, r"\n\s*\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
+    kind = "array<struct<a:int,b:int>>"
+    piece = lambda a, b: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))
+    zero = F.struct(F.array().cast(kind).alias("done"), F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("at"))
 
-    def add(acc, p):
-        full = (acc["cur"] != "") & (F.length(acc["cur"]) + F.length(p) + 2 > SLICE)
-        done = F.when(full, F.concat(acc["done"], F.array(acc["cur"]))).otherwise(acc["done"])
-        cur = F.when(full | (acc["cur"] == ""), p).otherwise(F.concat(acc["cur"], F.lit("\n\n"), p))
-        return cut(done, cur)
+    def add(acc, n):
+        full = (acc["b"] > acc["a"]) & (acc["b"] - acc["a"] + n + 2 > SLICE)
+        fresh = full | (acc["b"] == acc["a"])
+        start = F.when(fresh, acc["at"]).otherwise(acc["a"])
+        done = F.when(full, F.concat(acc["done"], F.array(piece(acc["a"], acc["b"])))).otherwise(acc["done"])
+        end = acc["at"] + n
+        k = F.greatest(F.ceil((end - start - LONGEST) / SLICE), F.lit(0)).cast("int")
+        hard = F.transform(F.filter(F.sequence(F.lit(0), k), lambda i: i < k), lambda i: piece(start + i * SLICE, start + (i + 1) * SLICE))
+        return F.struct(F.when(k > 0, F.concat(done, hard)).otherwise(done).alias("done"), (start + k * SLICE).cast("int").alias("a"), end.cast("int").alias("b"), (end + 2).cast("int").alias("at"))
 
-    last = lambda acc: F.when(acc["cur"] != "", F.concat(acc["done"], F.array(acc["cur"]))).otherwise(acc["done"])
-    return F.aggregate(paras, state(F.array().cast("array<string>"), F.lit("")), add, last)
+    last = lambda acc: F.when(acc["b"] > acc["a"], F.concat(acc["done"], F.array(piece(acc["a"], acc["b"])))).otherwise(acc["done"])
+    both = lambda p: F.struct(F.array_join(p, "\n\n").alias("text"), F.aggregate(F.transform(p, lambda x: F.length(x)), zero, add, last).alias("at"))
+    return tx.let(tx.let(paras, both), lambda x: F.transform(x["at"], lambda s: F.substring(x["text"], s["a"] + 1, s["b"] - s["a"])))
 
 
 def city_in(c: Column, cities) -> Column:
@@ -124,15 +132,16 @@ def city_of(address: Column, venue: Column, tags: Column | None, cities, home_ta
 
 def page_chunks(pages: DataFrame, doc: str, text: str, title: Column, crawled: Column | None = None, cities=()) -> DataFrame:
     """Slices of pages as chunks; numbered after short ones are dropped, titled by part if the page had several."""
-    rows = pages.withColumns({"__title": title, "__slices": slices(clean_markdown(F.col(text)))})
-    rows = rows.withColumn("__keep", F.filter("__slices", lambda s: F.length(F.regexp_replace(s, r"\W", "")) > LEAST))
-    rows = rows.select("*", F.posexplode("__keep").alias("__i", "__text"))
+    kept = lambda s: F.struct(F.size(s).alias("n"), F.filter(s, lambda x: F.length(F.regexp_replace(x, r"\W", "")) > LEAST).alias("texts"))
+    rows = pages.withColumns({"__title": title, "__s": tx.let(slices(clean_markdown(F.col(text))), kept)})
+    # an outer explode: a plain one would make Spark work the slices out once more, to test for empty lists
+    rows = rows.select("*", F.col("__s.n").alias("__n"), F.posexplode_outer("__s.texts").alias("__i", "__text")).where(F.col("__text").isNotNull())
     dates = dates_in(F.col("__text"), crawled)
     part = F.concat(F.col("__title"), F.lit(" (part "), (F.col("__i") + 1).cast("string"), F.lit(")"))
     return rows.withColumn("__dates", dates).select(
         F.concat(F.col(doc).cast("string"), F.lit("#"), (F.col("__i") + 1).cast("string")).alias("id"),
         F.lit("page").alias("kind"), F.col(doc).alias("doc"),
-        F.when(F.size("__slices") > 1, part).otherwise(F.col("__title")).alias("title"),
+        F.when(F.col("__n") > 1, part).otherwise(F.col("__title")).alias("title"),
         F.get("__dates", F.lit(0)).alias("date"),
         F.when(F.size("__dates") > 1, F.element_at("__dates", -1)).alias("end_date"),
         city_in(F.col("__text"), cities).alias("city"), F.col("__text").alias("text"),
@@ -165,3 +174,15 @@ def event_slug(title: Column, id_: Column) -> Column:
 
 def corpus_counts(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.count_distinct("doc").alias("documents"), F.count_if(F.col("kind") == "event").alias("event_chunks"), F.count_if(F.col("kind") == "page").alias("page_chunks"))
+
+
+def live_chunks(events: DataFrame, bundled: DataFrame) -> DataFrame:
+    """The table that is searched: chunks of live events, and of the bundled ones the pages; without live events all bundled ones."""
+    return bundled if events.isEmpty() else events.unionByName(bundled.where(F.col("kind") == "page"), allowMissingColumns=True)
+
+
+def write_digests(sections_: DataFrame, path: str, source: str = "source", order: str = "start_at", text: str = "section") -> None:
+    """Sections as text files in a folder of each source, in order, one blank line after each. A large source is several files, in order too."""
+    n = int(sections_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = sections_.select(source, order, F.concat(F.col(text), F.lit("\n")).alias("value"))
+    rows.repartitionByRange(n, source, order).sortWithinPartitions(source, order).select(source, "value").write.partitionBy(source).text(path)

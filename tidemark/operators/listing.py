@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -175,21 +177,31 @@ def month_nav(df: DataFrame, month: Column, asked: str | None, current: str) ->
     return months.orderBy(rank, "month").limit(1)
 
 
-def top_per_group(df: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:
-    """The first k rows of each group, with their number `pos` and how many more the group has (`more`)."""
-    w = Window.partitionBy(*group)
-    ranked = df.withColumn("pos", F.row_number().over(w.orderBy(*order))).withColumn("more", F.greatest(F.count("*").over(w) - k, F.lit(0)))
-    return ranked.where(F.col("pos") <= k)
+def top_per_group(df: DataFrame, group: list[str], order: list[Column], k: int, more: bool = True) -> DataFrame:
+    """The first k rows of each group, with their number `pos` and, if asked for, how many more the group has (`more`).
+
+    Every task keeps only its first k of a group before the shuffle; what a group has more is counted on the side.
+    """
+    first = df.withColumn("pos", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("pos") <= k)
+    if not more:
+        return first
+    rest = df.groupBy(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)]).agg(F.greatest(F.count("*") - k, F.lit(0)).alias("more"))
+    same = [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(group)]
+    return first.join(rest, reduce(and_, same)).drop(*[f"__g{i}" for i in range(len(group))])
 
 
 def related(df: DataFrame, id_col: str, group: str, order: list[str], k: int = 3) -> DataFrame:
-    """For every row the first k other rows of its category. The k + 1 first of a category serve all its rows: no self-join of whole categories."""
+    """For every row the first k other rows of its category; for a row without one the first k others of all.
+
+    The k + 1 first of a category serve all its rows: no self-join of whole categories.
+    """
     w = Window.partitionBy(group).orderBy(*order)
-    first = df.select(id_col, group, *order).withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k + 1)
-    heads = first.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("pos", F.col(id_col).alias("id")))).alias("heads"))
-    rows = df.select(id_col, group).join(heads, group)
-    others = F.slice(F.filter("heads", lambda h: h["id"] != F.col(id_col)), 1, k)
-    return rows.select(id_col, F.posexplode(others).alias("at", "h")).select(id_col, (F.col("at") + 1).alias("rank"), F.col("h.id").alias("related_id"))
+    own = df.where(F.col(group).isNotNull()).select(id_col, group, *order).withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k + 1)
+    every = df.select(id_col, *order).orderBy(*order).limit(k + 1).select(id_col, F.lit(None).cast(df.schema[group].dataType).alias(group), F.struct(*order).alias("pos"))
+    head = lambda rows: rows.groupBy(F.col(group).alias("__g")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col(id_col).alias("id")))), lambda h: h["id"]).alias("heads"))
+    rows = df.select(id_col, group).join(head(own).unionByName(head(every)), F.col(group).eqNullSafe(F.col("__g")))
+    others = F.slice(F.filter("heads", lambda h: h != F.col(id_col)), 1, k)
+    return rows.select(id_col, F.posexplode(others).alias("at", "h")).select(id_col, (F.col("at") + 1).alias("rank"), F.col("h").alias("related_id"))
 
 
 def by_id_or_slug(df: DataFrame, key: str, id_col: str = "id", slug_col: str = "slug") -> DataFrame:

@@ -32,8 +32,8 @@ def answer_sources(answers: DataFrame, chunks: DataFrame, links: Column, id_col:
     hit = asked.join(chunks, [id_col, link]).withColumn("order", F.col("at"))
     rest = chunks.join(hit.select(id_col).distinct(), id_col, "left_anti").where("kind = 'event'").withColumn("order", F.col("ord"))
     cols = [id_col, link, "order"]
-    a = top_per_group(hit.select(*cols), [id_col], [F.col("order")], most)
-    b = top_per_group(rest.select(*cols), [id_col], [F.col("order")], otherwise)
+    a = top_per_group(hit.select(*cols), [id_col], [F.col("order")], most, more=False)
+    b = top_per_group(rest.select(*cols), [id_col], [F.col("order")], otherwise, more=False)
     return a.unionByName(b).select(id_col, link, "pos")
 
 

@@ -1,13 +1,14 @@
 """Ranked search: BM25 with prefix expansion and boosts, structured filters, facets, top-k.
 
 The index is three tables and two numbers, made over the whole corpus before any filter: postings (id, term,
-tf), lengths (id, len) and terms (term, df). A search is one plan: query terms meet the vocabulary on their
+tf, and the document's length), lengths (id, len) and terms (term, df). A search is one plan: query terms meet the vocabulary on their
 first four letters, the variants meet the postings on the term, scores sum up per document. Many queries run
 as one batch; a single query is a batch of one.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -92,7 +93,7 @@ def corpus_stats(lengths: DataFrame) -> DataFrame:
 def build_index(docs: DataFrame, tokens: Column, id_col: str = "id") -> Index:
     """Index of documents, one row each. Terms never leave Spark; two numbers do."""
     rows = docs.select(F.col(id_col).alias("id"), tokens.alias("tokens"))
-    postings = rows.select("id", F.explode("tokens").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    postings = rows.select("id", F.size("tokens").alias("len"), F.explode("tokens").alias("term")).groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
     lengths = rows.select("id", F.size("tokens").alias("len"))
     terms = postings.groupBy("term").agg(F.count("*").alias("df"))
     n, avg_len = corpus_stats(lengths).first()
@@ -115,6 +116,30 @@ def read_index(spark, path: str) -> Index:
     return Index(*[spark.read.parquet(f"{path}/{t}") for t in ("postings", "lengths", "terms")], n, avg_len)
 
 
+_kept: dict[tuple, str] = {}
+
+
+def kept_index(docs: DataFrame, tokens: Column, id_col: str = "id") -> Index:
+    """The index of documents as build_index makes it, kept for the session in the folder of checkpoints.
+
+    It is made again when the documents' files, by name, size and time of change, or the terms asked for are others. Without
+    that folder, or if the documents come from no files, it is not kept.
+    """
+    spark = docs.sparkSession
+    files, folder = sorted(docs.inputFiles()), spark.conf.get("spark.checkpoint.dir", None)
+    if not files or not folder:
+        return build_index(docs, tokens, id_col)
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    status = [hadoop.Path(f).getFileSystem(conf).getFileStatus(hadoop.Path(f)) for f in files]
+    plan = docs.select(tokens.alias("t"), id_col)._jdf.queryExecution().analyzed().canonicalized().toString()
+    key = (spark.sparkContext.applicationId, plan, tuple((f, s.getLen(), s.getModificationTime()) for f, s in zip(files, status, strict=True)))
+    if key not in _kept:
+        path = f"{folder.rstrip('/')}/index-{uuid.uuid4().hex}"
+        save_index(build_index(docs, tokens, id_col), path)
+        _kept[key] = path
+    return read_index(spark, _kept[key])
+
+
 def query_terms(queries: DataFrame, **kw) -> DataFrame:
     """query_id, term, n_terms: the distinct tokens of each query."""
     t = queries.select("query_id", F.array_distinct(tx.tokens(F.col("query"), **kw)).alias("t"))
@@ -136,7 +161,7 @@ def scores(index: Index, queries: DataFrame, **kw) -> DataFrame:
     hit = expanded(query_terms(queries, **kw), index.terms)
     idf = F.log(1 + (index.n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     hit = hit.select("query_id", "n_terms", "term", F.col("variant"), (F.col("weight") * idf).alias("w"))
-    p = index.postings.join(hit, F.col("variant") == index.postings["term"]).select("query_id", "n_terms", "id", hit["term"].alias("term"), "tf", "w").join(index.lengths, "id")
+    p = index.postings.join(hit, F.col("variant") == index.postings["term"]).select("query_id", "n_terms", "id", hit["term"].alias("term"), "tf", "len", "w")
     saturated = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(index.avg_len)))
     per_term = p.groupBy("query_id", "n_terms", "id", "term").agg(F.sum(F.col("w") * saturated).alias("s"))
     out = per_term.groupBy("query_id", "n_terms", "id").agg(F.sum("s").alias("s"), F.count("*").alias("matched"))
@@ -155,10 +180,10 @@ def matches(index: Index, docs: DataFrame, queries: DataFrame, keep: Column | No
     return hits.withColumn("score", F.round(F.col("score") * boost, 6)).where("score > 0")
 
 
-def ranked(hits: DataFrame, limit: int = DEFAULT_RESULTS, ord_col: str = "ord") -> DataFrame:
-    """The best of each query: by score, then date (none last), then corpus order."""
+def ranked(hits: DataFrame, limit: int = DEFAULT_RESULTS, ord_col: str = "ord", more: bool = True) -> DataFrame:
+    """The best of each query: by score, then date (none last), then corpus order; `more` counts the others, for a second look at the hits."""
     order = [F.col("score").desc(), F.coalesce(F.col("date"), F.lit("9999")), F.col(ord_col)]
-    return top_per_group(hits, ["query_id"], order, limit)
+    return top_per_group(hits, ["query_id"], order, limit, more)
 
 
 def browsed(docs: DataFrame, local: Column, limit: int = DEFAULT_RESULTS, ord_col: str = "ord") -> DataFrame:

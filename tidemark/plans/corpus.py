@@ -46,16 +46,16 @@ def docs_of(spark, sf_dir):
 
 
 def index_of(docs):
-    return search.build_index(docs, search.document_tokens(F.col("title"), F.col("source"), F.col("text")), "doc_id")
+    return search.kept_index(docs, search.document_tokens(F.col("title"), F.col("source"), F.col("text")), "doc_id")
 
 
 def one_query(spark, text=QUERY):
     return spark.range(1).select(F.lit("q").alias("query_id"), F.lit(text).alias("query"))
 
 
-@query("term_frequency", f"WITH {_BASE.strip()} SELECT doc_id, term, tf FROM p WHERE tf >= 3")
+@query("term_frequency", f"WITH {_BASE.strip()} SELECT doc_id, term, tf FROM p")
 def term_frequency(spark, sf_dir):
-    return index_of(docs_of(spark, sf_dir)).postings.where("tf >= 3").select(F.col("id").alias("doc_id"), "term", "tf")
+    return index_of(docs_of(spark, sf_dir)).postings.select(F.col("id").alias("doc_id"), "term", "tf")
 
 
 @query("doc_frequency", f"WITH {_BASE.strip()} SELECT term, df FROM terms")
@@ -87,19 +87,18 @@ def bm25_search(spark, sf_dir):
 def bm25_filtered(spark, sf_dir):
     docs = docs_of(spark, sf_dir)
     hits = search.matches(index_of(docs), docs, one_query(spark), keep=F.col("lang") == "fr", local=F.col("lang") == "en", id_col="doc_id")
-    return search.ranked(hits, 20).select("doc_id", "score", "pos")
+    return search.ranked(hits, 20, more=False).select("doc_id", "score", "pos")
 
 
-_BATCH = r"SELECT item_id AS query_id, array_to_string(list_slice(regexp_extract_all(text, '\S+'), 1, 4), ' ') AS query FROM benchmark"
+_BATCH = "SELECT item_id AS query_id, text AS query FROM benchmark"
 
 
 @query("batch_search", _scored(_BATCH) + " SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS pos FROM hits QUALIFY pos <= 8")
 def batch_search(spark, sf_dir):
     docs = docs_of(spark, sf_dir)
-    words = F.slice(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)), 1, 4)
-    queries = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("query"))
+    queries = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     hits = search.matches(index_of(docs), docs, queries, local=F.col("lang") == "en", id_col="doc_id")
-    return search.ranked(hits, 8).select("query_id", "doc_id", "score", "pos")
+    return search.ranked(hits, 8, more=False).select("query_id", "doc_id", "score", "pos")
 
 
 @query("search_facets", _scored(f"SELECT 'q' AS query_id, '{QUERY}' AS query") + " SELECT source AS day, count(*) AS n, count_if(hits.lang = 'en') AS in_town FROM hits JOIN documents USING (doc_id) GROUP BY 1")
@@ -201,7 +200,7 @@ def heuristic_extract(spark, sf_dir):
     return extract.extracted(pages, adapters).select("page_id", "strategy", "pos", "title", "date", "source_url", "category")
 
 
-_KEYWORDS = "list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(regexp_replace(lower({}), '[^a-z0-9\\s]', ' ', 'g'), '\\b(the|a|an|at|in|on|of|and|with|to|for)\\b', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda w: w <> ''))"
+_KEYWORDS = "list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(regexp_replace(strip_accents(regexp_replace(lower({}), '([MARKED])', '\\1 ', 'g')), '[^a-z0-9\\s]', ' ', 'g'), '\\b(the|a|an|at|in|on|of|and|with|to|for)\\b', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda w: w <> ''))".replace("MARKED", tx.MARKED)
 _PAIRS = f"""WITH d AS (SELECT doc_id, lang, {_KEYWORDS.format("split_part(text, chr(10), 1)")} AS t, {_KEYWORDS.format("source")} AS v FROM documents),
 s AS (SELECT a.doc_id AS id, b.doc_id AS other_id, CASE WHEN len(a.t) = 0 OR len(b.t) = 0 THEN 0 ELSE len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) END AS t, CASE WHEN len(a.v) = 0 OR len(b.v) = 0 THEN 0 ELSE len(list_intersect(a.v, b.v)) / len(list_distinct(list_concat(a.v, b.v))) END AS v
       FROM d a JOIN d b ON a.lang = b.lang AND b.doc_id < a.doc_id),

@@ -27,11 +27,12 @@ def moderated_update(spark, sf_dir):
     return moderation.patched(docs, patch, "doc_id", ("status", "source"))
 
 
-@query("visible_documents", "SELECT d.doc_id, d.lang FROM documents d LEFT JOIN labels l USING (doc_id) WHERE coalesce(l.toxic, 0) = 0 AND d.doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 10 = 3)")
+@query("visible_documents", "SELECT d.doc_id, d.lang FROM documents d LEFT JOIN labels l USING (doc_id) WHERE coalesce(l.toxic, 0) = 0 AND d.doc_id IN (SELECT min(doc_id) FROM documents GROUP BY text)")
 def visible_documents(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents").join(load(spark, sf_dir, "labels"), "doc_id", "left")
-    # every tenth row plays a duplicate here: the mark is part of the operator's input
-    rows = docs.withColumns({"status": F.when(F.coalesce("toxic", F.lit(0)) == 0, "approved").otherwise("hidden"), "duplicate_of": F.when(F.col("doc_id") % 10 == 3, F.lit(0))})
+    docs = load(spark, sf_dir, "documents").select("doc_id", "lang", F.sha2("text", 256).alias("digest"))
+    first = docs.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    docs = docs.join(first, docs["digest"].eqNullSafe(first["digest"])).join(load(spark, sf_dir, "labels"), "doc_id", "left")
+    rows = docs.withColumns({"status": F.when(F.coalesce("toxic", F.lit(0)) == 0, "approved").otherwise("hidden"), "duplicate_of": F.when(F.col("doc_id") != F.col("first"), F.col("first"))})
     return listing.visible(rows).select("doc_id", "lang")
 
 
@@ -89,9 +90,9 @@ def rate_limited(spark, sf_dir):
     return rates.rate_limited(load(spark, sf_dir, "events"), "user_id", "ts", "event_id", limit=3, window=600)
 
 
-@query("ndjson_export", "SELECT '{\"event_id\":' || event_id || ',\"event_type\":\"' || event_type || '\"}' AS value FROM events WHERE event_type = 'error'")
+@query("ndjson_export", "SELECT '{\"event_id\":' || event_id || ',\"event_type\":\"' || event_type || '\"}' AS value FROM events")
 def ndjson_export(spark, sf_dir):
-    return sinks.ndjson_lines(load(spark, sf_dir, "events").where("event_type = 'error'").select("event_id", "event_type"))
+    return sinks.ndjson_lines(load(spark, sf_dir, "events").select("event_id", "event_type"))
 
 
 @query(
