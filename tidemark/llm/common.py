@@ -17,9 +17,19 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that Python code handles at once.
 CHUNK_BYTES = 1 << 20
+#: Bytes of an Arrow batch, where the session sets no limit.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Limit the bytes of Arrow batches, which Spark limits only in rows by default; a limit that the session has stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -53,6 +63,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; where that is unset, one of our own, but only if there is a single machine."""
+    bound_batches(spark)
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         folder = spark.conf.get("spark.checkpoint.dir", None)
