@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: A word of the contracts: a run without ASCII white space. bytes.split() cuts at the same bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that Python code handles at once.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 #: Bytes of an Arrow batch, where the session sets no limit.
 BATCH_BYTES = 4 << 20
 
@@ -95,7 +95,7 @@ _powers: dict[str, np.ndarray] = {}
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n of the base and of its inverse, mod 2^64."""
     if len(_powers.get("b", ())) <= n:
-        size = max(n + 1, CHUNK_BYTES + (1 << 20)) if n < 4 * CHUNK_BYTES else n + 1
+        size = max(n + 1, CHUNK_BYTES + (1 << 17)) if n < 4 * CHUNK_BYTES else n + 1
         for k, base in (("b", _BASE), ("i", _INV)):
             x = np.full(size, base, np.uint64)
             x[0] = 1

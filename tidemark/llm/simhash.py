@@ -310,8 +310,10 @@ def _described(df: DataFrame, similarity: float, shingle: int, id_col: str, text
             at = w.runs(shingle)
             doc, h = _distinct(w.doc[at], w.hashes(at, shingle))
             size = np.bincount(doc, minlength=n)
-            odd = (np.bincount(doc * (64 * SKETCH) + (h % np.uint64(64 * SKETCH)).astype(np.int64), minlength=n * 64 * SKETCH) & 1).astype(bool)
-            sketch = np.packbits(odd.reshape(n, -1), axis=1).view(np.int64)
+            bit = (h % np.uint64(64 * SKETCH)).astype(np.int64)
+            sketch = np.zeros((n, 8 * SKETCH), np.uint8)
+            np.bitwise_xor.at(sketch.reshape(-1), doc * (8 * SKETCH) + (bit >> 3), (128 >> (bit & 7)).astype(np.uint8))
+            sketch = sketch.view(np.int64)
             rank = np.zeros(len(h), np.int64)
             if len(known):
                 i = np.minimum(np.searchsorted(known, h), len(known) - 1)
