@@ -358,16 +358,29 @@ def _may_reach(similarity: float, size_a, pos_a, size_b, pos_b):
     return near & (size_a - pos_a >= need) & (size_b - pos_b >= need)
 
 
+def _most_apart(similarity: float, size_a, size_b):
+    """In how many shingles sets of these sizes may differ; numpy arrays or columns alike."""
+    return (1 - similarity) / (1 + similarity) * (size_a + size_b) + 1e-9
+
+
 def _block_pairs(similarity: float):
     """mapInArrow function over rows sorted by key, ci, cj: pairs of different labels that may reach the similarity, within each cell.
 
-    A cell holds the rows of two blocks of a key, or of one; of two, only pairs across are its own.
+    A cell holds the rows of two blocks of a key, or of one; of two, only pairs across are its own. Sketches decide here
+    already, so unlike texts that share a rare shingle are compared but give no row.
     """
     names = ["key", "ci", "cj", "blk", "num", "label", "size", "pos"]
 
+    def may_be(cols, i, j):
+        """Which of the pairs of rows i, j may reach the similarity."""
+        size, pos, sketch = cols[6].astype(np.int64), cols[7], cols[8]
+        ok = _may_reach(similarity, size[i], pos[i], size[j], pos[j])
+        differ = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=-1, dtype=np.int64)
+        return ok & (differ <= _most_apart(similarity, size[i], size[j]))
+
     def of_small(cols, cuts):
         """Pairs of all cells of up to SMALL rows, by their distance in the table."""
-        key, ci, cj, blk, num, label, size, pos = cols
+        _, ci, cj, blk, num, label = cols[:6]
         run = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
         few = np.flatnonzero(np.repeat(np.diff(cuts) <= SMALL, np.diff(cuts)))
         for o in range(1, SMALL):
@@ -378,19 +391,18 @@ def _block_pairs(similarity: float):
                     break
                 continue
             i, j = i[own], j[own]
-            ok = _may_reach(similarity, size[i].astype(np.int64), pos[i], size[j].astype(np.int64), pos[j])
+            ok = may_be(cols, i, j)
             if ok.any():
                 i, j = num[i[ok]], num[j[ok]]
                 yield np.minimum(i, j), np.maximum(i, j)
 
     def of_large(cols):
-        _, ci, cj, blk, num, label, size, pos = cols
-        size, pos = size.astype(np.int64), pos.astype(np.int64)
+        _, ci, cj, blk, num, label = cols[:6]
         kinds, inverse, n = np.unique(label, return_inverse=True, return_counts=True)
         most, every = inverse == n.argmax(), np.arange(len(num))
         for i in np.flatnonzero(~most) if len(kinds) > 1 else ():
             j = every[(inverse != inverse[i]) & (most | (every > i)) & ((blk != blk[i]) | (ci[0] == cj[0]))]
-            j = j[_may_reach(similarity, size[i], pos[i], size[j], pos[j])]
+            j = j[may_be(cols, i, j)]
             if len(j):
                 yield np.minimum(num[i], num[j]), np.maximum(num[i], num[j])
 
@@ -412,6 +424,7 @@ def _block_pairs(similarity: float):
             nonlocal held
             for b in batches:
                 cols = [b.column(c).to_numpy() for c in names]
+                cols.append(np.stack([b.column(c).to_numpy() for c in _SKETCH], axis=1).view(np.uint64))
                 if held is not None:
                     cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
                 cuts = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0) | (np.diff(cols[2]) != 0)) + 1
@@ -463,7 +476,7 @@ def representatives(rows: DataFrame, texts: DataFrame, similarity: float = 0.8,
             pairs = joined(pairs, own, f"cls_{x}", hot_keys(pairs.select(f"cls_{x}"), f"cls_{x}"))
         differ = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in _SKETCH[1:]), F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))))
         near = _may_reach(similarity, F.col("size_a"), F.lit(0), F.col("size_b"), F.lit(0))
-        return written(pairs.where(near & (differ <= (1 - similarity) / (1 + similarity) * (F.col("size_a") + F.col("size_b")) + 1e-9)).select("cls_a", "cls_b"), "possible")
+        return written(pairs.where(near & (differ <= _most_apart(similarity, F.col("size_a"), F.col("size_b")))).select("cls_a", "cls_b"), "possible")
 
     def packed(batches):
         for b in chunks(batches):
@@ -522,9 +535,9 @@ def representatives(rows: DataFrame, texts: DataFrame, similarity: float = 0.8,
 
     rows_of = written(labelled(), "labelled")
     per = rows_of.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("low <> high")
-    rest = rows_of.join(per.select("key", "blocks"), "key").withColumn("blk", F.pmod(F.xxhash64("num"), F.col("blocks")).cast("int"))
+    rest = rows_of.join(per.select("key", "blocks"), "key").join(classes.select("num", *_SKETCH), "num").withColumn("blk", F.pmod(F.xxhash64("num"), F.col("blocks")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("key", F.least("blk", "other").alias("ci"), F.greatest("blk", "other").alias("cj"), "blk", "num", "label", "size", "pos")
+    rest = rest.select("key", F.least("blk", "other").alias("ci"), F.greatest("blk", "other").alias("cj"), "blk", "num", "label", "size", "pos", *_SKETCH)
     rest = rest.repartition("key", "ci", "cj").sortWithinPartitions("key", "ci", "cj").mapInArrow(_block_pairs(similarity), "na long, nb long").distinct()
     linked = linked.union(verified(rest.join(cls_of("a"), "na").join(cls_of("b"), "nb")))
 
