@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import conversation_repair, decontaminate, divergence, language_id, lm_score, mixing, pii, quality_classifier, quality_rules, simhash, substring_dedup, token_count
+from tidemark.llm import conversation_repair, decontaminate, divergence, language_id, lm_score, mixing, pii, quality_classifier, quality_rules, simhash, substring_dedup, token_count, toxicity
 
 QUERIES = {
     "op1_pii": pii.query,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_token_count": token_count.query,
     "op11_conversation_repair": conversation_repair.query,
     "op12_source_divergence": divergence.query,
+    "op13_toxicity": toxicity.query,
 }
 ORACLES = {"op1_pii": pii.ORACLE, "op6_quality_rules": quality_rules.ORACLE, "op7_substring_dedup": substring_dedup.ORACLE, "op8_mixing": mixing.ORACLE, "op12_source_divergence": divergence.ORACLE}
