@@ -116,7 +116,7 @@ def place(v) -> tuple[str | None, str | None]:
 
 
 def price_of(v) -> str | None:
-    """Price of the first offer: Free for 0, with $ for US dollars."""
+    """Price of the first offer: Free for 0 and for an empty text, with $ for US dollars."""
     v = v[0] if isinstance(v, list) and v else v
     if not isinstance(v, dict):
         return None
@@ -124,7 +124,7 @@ def price_of(v) -> str | None:
     if p is None:
         return None
     try:
-        if float(p) == 0:
+        if isinstance(p, str) and not p.strip() or float(p) == 0:
             return "Free"
     except (TypeError, ValueError):
         pass

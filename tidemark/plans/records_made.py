@@ -101,7 +101,7 @@ def page_meta(spark, sf_dir):
     f"SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'generic' ELSE 'spans' END AS method, 'Order ' || o_orderkey AS title, {_MONTH_NAME} || ' ' || day(o_orderdate) || CASE WHEN o_orderkey % 3 = 1 OR year(o_orderdate) >= 2000 THEN ', ' || year(o_orderdate) ELSE '' END AS start, CASE WHEN o_orderkey % 3 = 1 THEN {_MONTH_NAME} || ' 28, ' || year(o_orderdate) END AS end_, 'Clerk ' || {_CLERK} AS description, o_orderpriority AS source FROM orders WHERE o_orderkey % 3 < 2 AND o_orderstatus <> 'P' AND (o_orderkey % 3 = 0 OR day(o_orderdate) < 28)",
 )
 def parsed_pages(spark, sf_dir):
-    """Pages go to the parser that they name, spans inherit month and year; the rest gives nothing."""
+    """Pages go to the parser that they name, spans inherit month and year; the rest gives nothing."""
     d, k = F.col("o_orderdate"), F.col("o_orderkey") % 3
     head = F.concat(F.lit("# x\n## Order "), F.col("o_orderkey").cast("string"), F.lit("\n"))
     body = F.when(k == 0, F.concat(head, F.lit("\n"), day_text(d, "MMMM d, yyyy"), F.lit("\nClerk "), clerk())).when(
@@ -299,14 +299,14 @@ def inferred_records(spark, sf_dir):
 
 @query("slug_splits", "SELECT c_custkey, c_name AS title, c_mktsegment AS venue FROM customer")
 def slug_splits(spark, sf_dir):
-    """Title and venue of a text that runs both together, by the address's slug."""
+    """X11: title and venue of a text that runs both together, by the address's slug."""
     parts = extract.split_by_slug(F.concat("c_name", F.lit(" "), "c_mktsegment"), tx.slug(F.col("c_name"), None))
     return load(spark, sf_dir, "customer").select("c_custkey", parts.alias("p")).select("c_custkey", "p.*")
 
 
 @query("day_pages", f"SELECT o_orderkey, strftime(o_orderdate, '%A, %B %-d') AS header, lpad((o_orderkey % 12 + 1)::VARCHAR, 2, '0') AS time, {_CLERK} AS title FROM orders")
 def day_pages(spark, sf_dir):
-    """Items below headers that carry the day forward."""
+    """Items below headers that carry the day forward."""
     d = F.col("o_orderdate")
     md = F.concat(F.lit("intro\n### "), day_text(d, "EEEE, MMMM d"), F.lit("\n\n* "), F.lpad((F.col("o_orderkey") % 12 + 1).cast("string"), 2, "0"), F.lit(" pm "), clerk(), F.lit("\ntext"))
     rows = extract.dated_headers(orders(spark, sf_dir).select(F.col("o_orderkey").alias("page_id"), md.alias("md")), r"^### ", r"^\* (\d+) pm (.+)$", {"time": 1, "title": 2})
@@ -315,7 +315,7 @@ def day_pages(spark, sf_dir):
 
 @query("walked_links", "SELECT s_suppkey, 'https://x.org/e/' || s_suppkey AS url, s_name AS title FROM supplier")
 def walked_links(spark, sf_dir):
-    """The nearest title above each address."""
+    """The nearest title above each address."""
     key = F.col("s_suppkey").cast("string")
     md = F.concat(F.lit("## Other\n## "), "s_name", F.lit("\nwords\n[more](https://x.org/e/"), key, F.lit(")\n## Later\n[more](https://x.org/e/"), key, F.lit(")"))
     rows = extract.walked_back(load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("page_id"), md.alias("md")), r"https://x\.org/e/\d+", {"title": r"^## (.+)$"})
