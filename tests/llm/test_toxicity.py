@@ -85,41 +85,71 @@ def test_held_out_rows_and_passages(spark, docs_of):
     assert right >= 0.97 * len(held)
     for i, t in labels:
         if t and i in held:
-            units = [u for w in rows[i]["text"].split() for u in tx.units(w)]
-            nasty = [k for k, u in enumerate(units) if u[:4] in ("grob", "wret", "lous")]
+            nasty = [k for k, u in enumerate(tx.units(rows[i]["text"])) if u[:4] in (b"grob", b"wret", b"lous")]
             marked = {k for p in rows[i]["toxicity"]["passages"] for k in range(p["first"], p["end"])}
             assert len(marked.intersection(nasty)) >= 2 and len(marked) < 40
 
 
+def chain_of(unit):
+    """Buckets of a unit's beginnings and its own, and its hash, one unit at a time."""
+    h, levels = tx.Units([[unit]]).levels()
+    return [int(at[0]) for has, at in levels if has[0]], int(h[0])
+
+
+def plain_scores(model, text):
+    base, out, met = model.n_toxic / (model.n_toxic + model.n_clean), [], {}
+    for u in tx.units(text):
+        chain, _ = chain_of(u)
+        share = base
+        for b, longer in zip(chain, [*chain[1:], None]):
+            t, c = float(model.toxic[b]), float(model.clean[b])
+            if longer is not None:
+                t, c = max(t - float(model.toxic[longer]), 0), max(c - float(model.clean[longer]), 0)
+            share = (t + tx.STRENGTH * share) / (t + c + tx.STRENGTH)
+        s = math.log(share / (1 - share)) - math.log(base / (1 - base)) - tx.DRIFT
+        if s > 0:
+            met[u] = met.get(u, 0) + 1
+            s /= met[u]
+        out.append(s)
+    return out
+
+
 def test_scored_equals_plain_model(spark, docs_of):
     """The job's counts and scores against a plain version over the same rows."""
     docs, labels = corpus(300, seed=4)
-    docs += [(1000, None), (1001, ""), (1002, "?! ..."), (1003, docs[0][1])]
+    docs += [(1000, None), (1001, ""), (1002, "?! ..."), (1003, docs[0][1]), (1004, "Ünder “grobian” wretch! wretch, WRETCH grob" + "a" * 30)]
     lab = spark.createDataFrame([*labels, (None, 1), (5, None), (1001, 0)], "doc_id long, toxic int")
     model = tx.trained(docs_of(docs), lab)
-    back = {r[0] for r in spark.createDataFrame(docs, "id long, t string").selectExpr(f"id", f"pmod(xxhash64(id), {tx.FOLDS}) = 0 AS b").collect() if r[1]}
+    back = {r[0] for r in spark.createDataFrame(docs, "id long, t string").selectExpr("id", f"pmod(xxhash64(id), {tx.FOLDS}) = 0 AS b").collect() if r[1]}
     text, y = dict(docs), dict([*labels, (1001, 0)])
     count = [dict(), dict()]
     for i, t in y.items():
         if i not in back:
-            for b in {b for w in (text[i] or "").split() for u in tx.units(w) for b in tx.buckets(u)}:
+            for b in {b for u in tx.units(text[i] or "") for b in chain_of(u)[0]}:
                 count[t][b] = count[t].get(b, 0) + 1
     for t, got in ((0, model.clean), (1, model.toxic)):
         assert {int(b): int(got[b]) for b in np.flatnonzero(got)} == count[t]
     assert model.n_clean + model.n_toxic == len([i for i in y if i not in back])
     rows = {r["doc_id"]: r["toxicity"]["score"] for r in tx.scored(docs_of(docs), model).collect()}
-    scores = tx.Scores(model)
     for i, t in docs:
-        s, met = [], {}
-        for w in (t or "").split():
-            met[w] = met.get(w, 0) + 1
-            s += [scores._score(u) / (met[w] if scores._score(u) > 0 else 1) for u in tx.units(w)]
-        all_ = naive_fast(s)
-        evidence = tx._evidence(np.array([v for _, _, v in all_]), max(len(s), 1), model.scale, model.size)[0]
+        s = plain_scores(model, t or "")
+        evidence = tx._evidence(np.array([v for _, _, v in naive_fast(s)]), max(len(s), 1), model.scale, model.size)[0]
         assert abs(rows[i] - tx._score(model, evidence)) < 1e-6
     assert rows[1000] == rows[1001] == rows[1002] and rows[1003] == rows[0]
 
 
+def test_parts_and_units(monkeypatch):
+    model = tx.Model(np.zeros(tx.BUCKETS, np.float32), np.zeros(tx.BUCKETS, np.float32), 9, 1)
+    model.toxic[chain_of(b"wretch")[0]] = 5
+    texts = ["", "wretch and " * 30, "x", "louse wretch"]
+    whole = tx.scores(model, texts)
+    monkeypatch.setattr(tx, "PART", 16)
+    assert all(np.allclose(a, b) for a, b in zip(whole, tx.scores(model, texts), strict=True))
+    assert tx.scores(model, []) == [] and [len(s) for s in whole] == [0, 60, 1, 2]
+    assert tx.units("“Idiot” don't x_y 漢字。") == [b"idiot", b"don", b"t", b"x", b"y", "漢字".encode()]
+    assert tx.units("漢" * 25) == ["漢漢".encode()] * 24
+
+
 def naive_fast(s):
     """Maximal segments from prefix sums, quadratic."""
     c = np.concatenate([[0.0], np.cumsum(s)])

@@ -1,7 +1,7 @@
 """Toxicity: maximal-scoring segments of token log-odds, calibrated by extreme values.
 
 Log-odds. Of every unit (a run of letters and digits, lower case; longer runs than LONG_UNIT by pairs of letters) the
-labelled texts with it are counted by class, and so are those with its beginnings of 4, 5 and 6 letters, in BUCKETS by hash.
+labelled texts with it are counted by class, and so are those with its beginnings of 4, 5 and 6 bytes, in BUCKETS by hash.
 Each count has a Dirichlet prior of STRENGTH pseudo-texts: the classes' sizes for a beginning of 4, and for all longer ones
 and the unit itself the posterior of the next shorter beginning, from the texts that lack the longer one. A unit's score is its
 log-odds less DRIFT, so that ordinary text has a falling sum; the k-th time in a text, a gain is divided by k.
@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from itertools import chain
 from typing import NamedTuple
 
@@ -32,27 +31,67 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import chunks, held_out, load
+from tidemark.llm.common import Words, chunks, held_out, load
 
 BUCKETS, STRENGTH, DRIFT, SIGNIFICANT = 1 << 20, 8.0, 0.5, 0.05
 #: Labelled texts that the calibration uses at most; every FOLDS-th labelled text, by hash, is held back for it.
 MOST, FOLDS = 20_000, 4
-LONG_UNIT, REMEMBERED, LONG = 24, 150_000, 200
-_UNITS = re.compile(r"[^\W_]+")
-
-
-def units(word: str) -> list[str]:
-    """The units of a word; a run of over LONG_UNIT letters gives all its pairs of neighbours instead."""
-    out = []
-    for u in _UNITS.findall(word.lower()):
-        out += [u] if len(u) <= LONG_UNIT else map("".join, zip(u, u[1:]))
-    return out
-
-
-def buckets(unit: str) -> tuple[int, ...]:
-    """Buckets of the unit's beginnings of 4, 5 and 6 letters, as far as they are shorter, and of the unit."""
-    keys = [f"{n}{unit[:n]}" for n in (4, 5, 6) if n < len(unit)]
-    return *(zlib.crc32(k.encode()) % BUCKETS for k in keys), zlib.crc32(f"={unit}".encode()) % BUCKETS
+LONG_UNIT = 24
+MASK = BUCKETS - 1
+#: Letters that are hashed at once.
+PART = 1 << 19
+#: Marks beyond ASCII that part words.
+_MARKS = re.compile("[\x80-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf\xd7\xf7\u2000-\u206f\u2190-\u2bff\u2e00-\u2e7f\u3000-\u3003\u3008-\u3020\ufe30-\ufe6f\uff00-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
+_PARTED = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
+_MIX = np.uint64(0xFF51AFD7ED558CCD)
+
+
+def units(text: str) -> list[bytes]:
+    """The units of a text; a run of over LONG_UNIT letters gives all its pairs of neighbours instead."""
+    low = text.lower()
+    words = (low if low.isascii() else _MARKS.sub(" ", low)).encode().translate(_PARTED).split()
+    if words and max(map(len, words)) > LONG_UNIT:
+        runs = ([w] if len(w) <= LONG_UNIT or len(u := w.decode()) <= LONG_UNIT else [(x + y).encode() for x, y in zip(u, u[1:])] for w in words)
+        words = list(chain.from_iterable(runs))
+    return words
+
+
+class Units(Words):
+    """The units of texts, their hashes and buckets."""
+
+    def hashed(self, size: np.ndarray, level: int) -> np.ndarray:
+        """A 64-bit hash of the first `size` bytes of each unit, other ones for each level."""
+        h = (self._sum[self.start + size] - self._sum[self.start]) * self._inv[self.start]
+        h = (h ^ np.uint64(level)) * _MIX
+        h ^= h >> np.uint64(32)
+        return h * _MIX
+
+    def levels(self) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Hashes of the units; and per beginning of 4, 5 and 6 bytes, then for the units, which have it and the buckets of all."""
+        size, out = self.end - self.start, []
+        for k in (4, 5, 6):
+            out.append((size > k, (self.hashed(np.minimum(size, k), k) >> np.uint64(40)).astype(np.int64) & MASK))
+        whole = self.hashed(size, 0)
+        return whole, [*out, (np.ones(len(size), bool), (whole >> np.uint64(40)).astype(np.int64) & MASK)]
+
+
+def parts(texts: list[str]) -> list[tuple[list[int], list[str]]]:
+    """Numbers and texts in groups of about PART letters; a longer text is cut at white space."""
+    out, held, size = [], ([], []), 0
+    for i, t in enumerate(texts):
+        at = 0
+        while at < len(t) or not at:
+            to = min(len(t), at + PART)
+            while to < len(t) and not t[to].isspace():
+                to += 1
+            held[0].append(i)
+            held[1].append(t[at:to])
+            size += to - at
+            at = to or 1
+            if size >= PART:
+                out.append(held)
+                held, size = ([], []), 0
+    return [*out, held] if held[0] else out
 
 
 class Model(NamedTuple):
@@ -69,30 +108,34 @@ class Model(NamedTuple):
     constant: float | None = None
 
 
-class Scores(dict):
-    """Word -> scores of its units, for the words of up to LONG letters met of late."""
-
-    def __init__(self, model: Model):
-        self.model = model
-
-    def __missing__(self, word: str) -> tuple[float, ...]:
-        out = tuple(map(self._score, units(word)))
-        if len(self) > REMEMBERED:
-            self.clear()
-        if len(word) <= LONG:
-            self[word] = out
-        return out
-
-    def _score(self, unit: str) -> float:
-        m = self.model
-        share = base = m.n_toxic / (m.n_toxic + m.n_clean)
-        at = buckets(unit)
-        for b, then in zip(at, (*at[1:], None)):  # each text is evidence once: at the longest beginning that it has
-            toxic, clean = float(m.toxic[b]), float(m.clean[b])
-            if then is not None:
-                toxic, clean = max(0.0, toxic - float(m.toxic[then])), max(0.0, clean - float(m.clean[then]))
-            share = (toxic + STRENGTH * share) / (toxic + clean + STRENGTH)
-        return math.log(share / (1 - share)) - math.log(base / (1 - base)) - DRIFT
+def scores(model: Model, texts: list[str]) -> list[np.ndarray]:
+    """The scores of each text's units; a unit's gains count less each time it comes back."""
+    doc, total, whole = [], [], []
+    base = model.n_toxic / max(1, model.n_toxic + model.n_clean)
+    offset = DRIFT + math.log(base / (1 - base)) if 0 < base < 1 else DRIFT
+    for numbers, group in parts(texts):
+        w = Units([units(t) for t in group])
+        h, levels = w.levels()
+        counts = [(model.toxic[b].astype(np.float64), model.clean[b].astype(np.float64)) for _, b in levels]
+        share = np.full(len(h), base)
+        for k, (has, _) in enumerate(levels):
+            toxic, clean = counts[k]
+            for j in range(k + 1, len(levels)):  # each text is evidence once: at the longest beginning that it has
+                then = levels[j][0] & ~np.any([levels[i][0] for i in range(k + 1, j)], axis=0) if j > k + 1 else levels[j][0]
+                toxic, clean = (np.where(then, np.maximum(own - longer, 0), own) for own, longer in zip((toxic, clean), counts[j]))
+            share = np.where(has, (toxic + STRENGTH * share) / (toxic + clean + STRENGTH), share)
+        doc.append(np.array(numbers, np.int64)[w.doc])
+        whole.append(h)
+        total.append(np.log(share / (1 - share)) - offset)
+    if not doc:
+        return []
+    doc, s, h = np.concatenate(doc), np.concatenate(total), np.concatenate(whole)
+    gain = np.flatnonzero(s > 0)
+    order = gain[np.lexsort((gain, h[gain], doc[gain]))]
+    new = np.concatenate([[True], (h[order[1:]] != h[order[:-1]]) | (doc[order[1:]] != doc[order[:-1]])]) if len(order) else np.zeros(0, bool)
+    run = np.cumsum(new) - 1
+    s[order] /= np.arange(len(order)) - np.flatnonzero(new)[run] + 1 if len(order) else 1
+    return np.split(s, np.cumsum(np.bincount(doc, minlength=len(texts)))[:-1])
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -148,36 +191,14 @@ def _evidence(sums: np.ndarray, n: int, scale: float, size: float) -> tuple[floa
     return float(chance.max()), good
 
 
-def found(scores: Scores, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
-    """The text's evidence and its significant segments as (first unit, end, sum)."""
-    s = _of(scores, text)
-    all_ = segments(s)
-    evidence, good = _evidence(np.array([x[2] for x in all_]), max(len(s), 1), scores.model.scale, scores.model.size)
-    return evidence, [x for x, g in zip(all_, good) if g]
-
-
-def _of(scores: Scores, text: str | None) -> np.ndarray:
-    """Scores of the text's units; a word's gains count less each time it comes back."""
-    parts, at, text, met = [], 0, text or "", {}
-    while at < len(text):  # a very long text is split a part at a time
-        to = at + (1 << 20)
-        while to < len(text) and not text[to].isspace():
-            to += 1
-        words = text[at:to].split()
-        each = list(map(scores.__getitem__, words))
-        n = np.fromiter(map(len, each), np.int64, len(each))
-        s = np.fromiter(chain.from_iterable(each), np.float64, int(n.sum()))
-        of = np.repeat(np.arange(len(each)), n)
-        last, k = -1, 1
-        for i in np.flatnonzero(s > 0).tolist():
-            if of[i] != last:
-                last = int(of[i])
-                k = met[words[last]] = met.get(words[last], 0) + 1
-            if k > 1:
-                s[i] /= k
-        parts.append(s)
-        at = to
-    return np.concatenate(parts) if parts else np.zeros(0)
+def found(model: Model, texts: list[str]) -> list[tuple[float, list[tuple[int, int, float]]]]:
+    """The texts' evidence and their significant segments as (first unit, end, sum)."""
+    out = []
+    for s in scores(model, texts):
+        all_ = segments(s)
+        evidence, good = _evidence(np.array([x[2] for x in all_]), max(len(s), 1), model.scale, model.size)
+        out.append((evidence, [x for x, g in zip(all_, good) if g]))
+    return out
 
 
 def law(greatest: np.ndarray, n: np.ndarray) -> tuple[float, float]:
@@ -212,38 +233,47 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.column_stack([least, most]).ravel(), np.repeat(values, 2)
 
 
-def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """id, y, back (held back for the calibration), text."""
-    per = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("y")).withColumnRenamed("doc_id", "id")
-    rows = docs.select("doc_id", "text").join(per, F.col("doc_id") == F.col("id"))
-    return rows.select("id", "y", (F.pmod(F.xxhash64("id"), F.lit(FOLDS)) == 0).alias("back"), F.coalesce("text", F.lit("")).alias("text"))
+def _labels(labels: DataFrame) -> DataFrame:
+    """id, y, back (held back for the calibration)."""
+    per = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").alias("id")).agg((F.avg("toxic") >= 0.5).cast("int").alias("y"))
+    return per.withColumn("back", F.pmod(F.xxhash64("id"), F.lit(FOLDS)) == 0)
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """id, n (bytes), z (the text, compressed), for the way to where the labels are."""
+
+    def run(batches):
+        for b in chunks(batches):
+            texts = b.column("text").to_pylist()
+            z = [pa.compress(t, codec="zstd", asbytes=True) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(map(len, texts), pa.int64()), pa.array(z, pa.binary())], names=["id", "n", "z"])
+
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n long, z binary")
 
 
 def _counted(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """Texts by class and bucket, from all rows (y, text); the last bucket and one more hold the texts of the classes."""
+    """Texts by class and bucket, from all rows (y, n, z), and the numbers of the classes' texts."""
 
     def run(batches):
         total = np.zeros((2, BUCKETS + 1), np.int64)
-        remembered: dict[str, tuple[int, ...]] = {}
-        for b in chunks(batches):
-            for y, text in zip(b.column("y").to_pylist(), b.column("text").to_pylist()):
-                own: set[int] = set()
-                for w in set(text.split()):
-                    if (got := remembered.get(w)) is None:
-                        got = tuple(x for u in units(w) for x in buckets(u))
-                        if len(remembered) > REMEMBERED:
-                            remembered.clear()
-                        if len(w) <= LONG:
-                            remembered[w] = got
-                    own.update(got)
-                total[y, np.fromiter(own, np.int64, len(own))] += 1
-                total[y, BUCKETS] += 1
+        for b in batches:
+            texts = [pa.decompress(z, n, codec="zstd", asbytes=True).decode() for n, z in zip(b.column("n").to_pylist(), b.column("z").to_pylist())]
+            y, met = b.column("y").to_numpy(), []
+            for numbers, group in parts(texts):
+                w = Units([units(t) for t in group])
+                doc = np.array(numbers, np.int64)[w.doc]
+                met += [np.unique((doc * BUCKETS + at)[has]) for has, at in w.levels()[1]]
+            met = np.unique(np.concatenate(met)) if met else np.zeros(0, np.int64)
+            for k in (0, 1):
+                total[k, :BUCKETS] += np.bincount(met[y[met // BUCKETS] == k] % BUCKETS, minlength=BUCKETS)
+                total[k, BUCKETS] += int((y == k).sum())
         at = np.flatnonzero(total.any(axis=0))
         for i in range(0, len(at), 50_000):
             part = at[i : i + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(total[0, part]), pa.array(total[1, part])], names=["bucket", "clean", "toxic"])
 
-    sums = rows.select("y", "text").mapInArrow(run, "bucket int, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
+    sums = rows.select("y", "n", "z").mapInArrow(run, "bucket int, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
     out = np.zeros((2, BUCKETS + 1), np.int64)
     at = sums.column("bucket").to_numpy()
     out[0, at], out[1, at] = sums.column("clean").to_numpy(), sums.column("toxic").to_numpy()
@@ -252,24 +282,24 @@ def _counted(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
 
 def trained(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
     """The model from all documents with a label (doc_id, toxic)."""
-    rows = _labelled(docs, labels)
-    clean, toxic, n_clean, n_toxic = _counted(rows.where("NOT back"))
+    per = _labels(labels)
+    # always a shuffled join: labels grow with the documents
+    clean, toxic, n_clean, n_toxic = _counted(_packed(docs.select("doc_id", "text")).join(per.where("NOT back").hint("merge"), "id"))
     if not n_clean or not n_toxic:
-        y = rows.agg(F.avg("y")).first()[0]
-        return Model(clean, toxic, n_clean, n_toxic, constant=0.5 if y is None else float(y))
+        return Model(clean, toxic, n_clean, n_toxic, constant=float(n_toxic > 0) if n_clean or n_toxic else 0.5)
     model = Model(clean, toxic, n_clean, n_toxic)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        scores = Scores(shared.value)
         for b in chunks(batches):
-            s = [_of(scores, t) for t in b.column("text").to_pylist()]
+            s = scores(shared.value, b.column("text").to_pylist())
             best = [sorted((x[2] for x in segments(v)), reverse=True)[:20] for v in s]
-            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array([len(v) for v in s], pa.int64()), pa.array(best, pa.list_(pa.float64()))], names=["y", "n", "best"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), pa.array([len(v) for v in s], pa.int64()), pa.array(best, pa.list_(pa.float64()))], names=["id", "y", "n", "best"])
 
-    some = rows.where("back").select("id", "y").distinct().orderBy(F.xxhash64("id"), "id").limit(most).select(F.col("id").alias("i"))
-    sample = rows.where("back").join(F.broadcast(some), F.col("id") == F.col("i"))  # `most` ids at the most
-    got = sample.select("y", "text").mapInArrow(run, "y int, n long, best array<double>").orderBy("y", "n", "best").limit(4 * most).collect()
+    some = F.broadcast(per.where("back").orderBy(F.xxhash64("id"), "id").limit(most).select("id", "y"))  # `most` rows of two numbers at the most
+    sample = docs.select("doc_id", "text").join(some, F.col("doc_id") == F.col("id")).select("id", "y", F.coalesce("text", F.lit("")).alias("text"))
+    got = sample.mapInArrow(run, f"id {sample.schema['id'].dataType.simpleString()}, y int, n long, best array<double>").orderBy(F.xxhash64("id"), "id", "n", "best").limit(most).collect()
+    got = [r[1:] for r in got]
     y, n = np.array([r[0] for r in got], float), [max(r[1], 1) for r in got]
     if not len(y) or y.min() == y.max():
         return model
@@ -292,16 +322,15 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of every row and `toxicity`: struct of score and the significant passages (first unit, end, sum)."""
     docs = docs.drop("toxicity")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    name = docs.schema.names.index("text")
+    name = "text"
     kind = pa.struct([("score", pa.float64()), ("passages", pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64()), ("sum", pa.float64())])))])
 
     def run(batches):
-        scores = Scores(shared.value)
-        for b in chunks(batches):
-            out = []
-            for text in b.column(name).to_pylist():
-                evidence, passages = (0.0, []) if scores.model.constant is not None else found(scores, text)
-                out.append({"score": _score(scores.model, evidence), "passages": [{"first": f, "end": e, "sum": s} for f, e, s in passages]})
+        model = shared.value
+        for b in chunks(batches, name):
+            texts = [t or "" for t in b.column(name).to_pylist()]
+            each = [(0.0, [])] * len(texts) if model.constant is not None else found(model, texts)
+            out = [{"score": _score(model, evidence), "passages": [{"first": f, "end": e, "sum": s} for f, e, s in passages]} for evidence, passages in each]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, kind)], names=[*b.schema.names, "toxicity"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
