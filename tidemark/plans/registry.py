@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from tidemark.plans import corpus, lists, parsed, records, records_made  # noqa: E402, F401  they register their queries
+from tidemark.plans import corpus, kept, lists, parsed, records, records_made  # noqa: E402, F401  they register their queries
