@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed, load, partitions, scratch, small, text_or_empty, written
+from tidemark.llm.common import checkpointed, chunks, load, partitions, scratch, small, text_or_empty, written
 
 LEAST, TOP, ONE, MORE = 30, 50, 1_000_000_000, 5
 #: Sources in a side of a block of pairs.
@@ -55,9 +55,10 @@ def terms(text: bytes) -> Counter:
 
 
 def _collapsed(df: DataFrame) -> DataFrame:
-    """lang, digest, source, n, text: copies in a task are one row a source; the text is null but for the first."""
+    """lang, digest, source, n, size, z: copies in a task are one row a source; the text, compressed, is null but for the first."""
     rows = df.select(*(text_or_empty(c).alias(c) for c in ("lang", "source", "text"))).withColumn("digest", F.unhex(F.sha2("text", 256)))
-    names = ["lang", "digest", "source", "n", "text"]
+    rows = rows.withColumn("text", F.col("text").cast("binary"))
+    names = ["lang", "digest", "source", "n", "size", "z"]
 
     def run(batches):
         seen: set = set()
@@ -65,11 +66,11 @@ def _collapsed(df: DataFrame) -> DataFrame:
 
         def copies():
             keys = list(more)
-            yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.binary(), pa.string()))), pa.array(list(more.values()), pa.int64()), pa.nulls(len(keys), pa.string())], names=names)
+            yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.binary(), pa.string()))), pa.array(list(more.values()), pa.int64()), pa.nulls(len(keys), pa.int64()), pa.nulls(len(keys), pa.binary())], names=names)
             seen.clear()
             more.clear()
 
-        for b in batches:
+        for b in chunks(batches):
             lang, source, digest = (b.column(n).to_pylist() for n in ("lang", "source", "digest"))
             new = []
             for i, key in enumerate(zip(lang, digest)):
@@ -79,17 +80,19 @@ def _collapsed(df: DataFrame) -> DataFrame:
                     seen.add(key)
                     new.append(i)
             b = b.take(pa.array(new, pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("digest"), b.column("source"), pa.array(np.ones(len(new), np.int64)), b.column("text")], names=names)
+            texts = b.column("text").to_pylist()
+            z = pa.array([pa.compress(t, codec="zstd", asbytes=True) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("digest"), b.column("source"), pa.array(np.ones(len(new), np.int64)), pa.array(map(len, texts), pa.int64()), z], names=names)
             if len(seen) + len(more) > REMEMBERED:
                 yield from copies()
         yield from copies()
 
-    return rows.mapInArrow(run, "lang string, digest binary, source string, n long, text string")
+    return rows.mapInArrow(run, "lang string, digest binary, source string, n long, size long, z binary")
 
 
 def term_counts(df: DataFrame) -> DataFrame:
     """lang, source, term, df, count over all rows; and a row with a null term for each lang and source."""
-    rows = _collapsed(df).repartition("lang", "digest").withColumn("copy", F.col("text").isNull()).sortWithinPartitions("lang", "digest", "copy")
+    rows = _collapsed(df).repartition("lang", "digest").withColumn("copy", F.col("z").isNull()).sortWithinPartitions("lang", "digest", "copy")
 
     def run(batches):
         tables: dict[tuple[str, str], dict] = {}
@@ -118,14 +121,14 @@ def term_counts(df: DataFrame) -> DataFrame:
 
         last, found, copies = None, Counter(), Counter()
         for b in batches:
-            texts = b.column("text")
+            texts = b.column("z")
             for i, (lang, digest, source, n) in enumerate(zip(*(b.column(c).to_pylist() for c in ("lang", "digest", "source", "n")))):
                 if (lang, digest) != last:
                     if last:
                         add(last[0], found, copies)
                         if size > ENTRIES:
                             yield from given()
-                    last, found = (lang, digest), terms(texts[i].as_py().encode())
+                    last, found = (lang, digest), terms(pa.decompress(texts[i].as_py(), b.column("size")[i].as_py(), codec="zstd", asbytes=True))
                 copies[source] += n
                 if len(copies) > 1_000:
                     add(lang, found, copies)
