@@ -246,6 +246,8 @@ def near_duplicates(df: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS,
 SKETCH = 8
 #: Rows of a shingle from which on its pairs are looked for in blocks.
 BLOCK = 2000
+#: Rows that all others of a shingle met in many groups are compared with first.
+HEADS = 4
 
 
 def shingle_set(words: list[bytes], size: int) -> np.ndarray:
@@ -455,8 +457,8 @@ def representatives(rows: DataFrame, texts: DataFrame, similarity: float = 0.8,
     1. Classes whose word sets have fingerprints within the radius are candidates, found as above. That links most of
        what is alike, however large the group.
     2. Two sets of the similarity share one of their first shingles, so classes also meet on those: first one class of each
-       group so far with the least one of the shingle, then all classes that are in no common group by then. No pair of
-       the similarity is missed, whatever the fingerprints say.
+       group so far with one of the shingle, the least or, of more than SMALL groups, HEADS by hashes of the shingle; then all
+       classes that are in no common group by then. No pair of the similarity is missed, whatever the fingerprints say.
     3. A candidate goes on if sizes, places of the shared shingle and parity sketches allow the similarity: sketches that
        differ in d bits mean that d shingles at least are in one set only. The Jaccard similarity of the sets decides.
 
@@ -528,7 +530,11 @@ def representatives(rows: DataFrame, texts: DataFrame, similarity: float = 0.8,
 
     one = labelled().groupBy("key", "label").agg(F.min(F.struct("num", "size", "pos")).alias("row"))
     one = written(one, "ones")
-    star = one.join(one.groupBy("key").agg(F.min("row").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n"), "key").where("row <> head")
+    # groups of many texts share many shingles: a few different rows for each, so that each is compared with many others
+    some = F.array_distinct(F.array(*[F.min_by("row", F.xxhash64("key", "row.num", F.lit(i))) for i in range(HEADS)]))
+    heads_of = one.groupBy("key").agg(F.when(F.count("*") > SMALL, some).otherwise(F.array(F.min("row"))).alias("heads"), F.count("*").alias("n")).where("n > 1")
+    heads_of = heads_of.select("key", F.explode("heads").alias("head"))
+    star = one.join(heads_of, "key").where("row <> head")
     star = star.where(_may_reach(similarity, F.col("row.size"), F.col("row.pos"), F.col("head.size"), F.col("head.pos")))
     star = star.select(F.col("row.num").alias("na"), F.col("head.num").alias("nb")).distinct()
     linked = linked.union(verified(star.join(cls_of("a"), "na").join(cls_of("b"), "nb")))
