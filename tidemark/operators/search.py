@@ -156,23 +156,47 @@ def expanded(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return hit.select("query_id", "n_terms", "term", "variant", "df", F.when(F.col("variant") == F.col("term"), 1.0).otherwise(COUSIN).alias("weight"))
 
 
-def scores(index: Index, queries: DataFrame, **kw) -> DataFrame:
-    """query_id, id, score (before boosts of phrase and place), matched of every hit; queries: query_id, query."""
+def weighted(index: Index, queries: DataFrame, **kw) -> DataFrame:
+    """query_id, n_terms, term, variant, w: what a query's words and their variants weigh."""
     hit = expanded(query_terms(queries, **kw), index.terms)
     idf = F.log(1 + (index.n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    hit = hit.select("query_id", "n_terms", "term", F.col("variant"), (F.col("weight") * idf).alias("w"))
-    p = index.postings.join(hit, F.col("variant") == index.postings["term"]).select("query_id", "n_terms", "id", hit["term"].alias("term"), "tf", "len", "w")
-    saturated = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(index.avg_len)))
-    per_term = p.groupBy("query_id", "n_terms", "id", "term").agg(F.sum(F.col("w") * saturated).alias("s"))
+    return hit.select("query_id", "n_terms", "term", F.col("variant"), (F.col("weight") * idf).alias("w"))
+
+
+def saturated(index: Index) -> Column:
+    """What `tf` occurrences in a document of `len` terms count; more of them never less, a longer document never more."""
+    return F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(index.avg_len)))
+
+
+def covered() -> Column:
+    """The sum `s`, more for each of the query's words that is there."""
+    return F.when(F.col("n_terms") > 1, F.col("s") * (1 + F.col("matched") / F.col("n_terms"))).otherwise(F.col("s"))
+
+
+def read_postings(index: Index, hit: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """query_id, n_terms, id, term, tf, len, w: the postings of weighted words, all of them or those of some blocks of each query."""
+    p = index.postings
+    if only is None:
+        return p.join(hit, F.col("variant") == p["term"]).select("query_id", "n_terms", "id", hit["term"].alias("term"), "tf", "len", "w")
+    hit = hit.join(only.select("query_id", F.col("block").alias("of")), "query_id")
+    return p.join(hit, (F.col("variant") == p["term"]) & (F.col("of") == p["block"])).select("query_id", "n_terms", "id", hit["term"].alias("term"), "tf", "len", "w")
+
+
+def scores(index: Index, queries: DataFrame, only: DataFrame | None = None, **kw) -> DataFrame:
+    """query_id, id, score (before boosts of phrase and place), matched of every hit; queries: query_id, query.
+
+    only: query_id, block of an index whose postings have blocks; the others are not read.
+    """
+    p = read_postings(index, weighted(index, queries, **kw), only)
+    per_term = p.groupBy("query_id", "n_terms", "id", "term").agg(F.sum(F.col("w") * saturated(index)).alias("s"))
     out = per_term.groupBy("query_id", "n_terms", "id").agg(F.sum("s").alias("s"), F.count("*").alias("matched"))
-    covered = F.when(F.col("n_terms") > 1, F.col("s") * (1 + F.col("matched") / F.col("n_terms"))).otherwise(F.col("s"))
-    return out.select("query_id", "id", covered.alias("score"), "matched")
+    return out.select("query_id", "id", covered().alias("score"), "matched")
 
 
-def matches(index: Index, docs: DataFrame, queries: DataFrame, keep: Column | None = None, local: Column | None = None, id_col: str = "id", **kw) -> DataFrame:
+def matches(index: Index, docs: DataFrame, queries: DataFrame, keep: Column | None = None, local: Column | None = None, id_col: str = "id", only: DataFrame | None = None, **kw) -> DataFrame:
     """All hits with the columns of their documents and the boosted score, rounded to 6 places so that ties are ties anywhere."""
     d = docs if keep is None else docs.where(keep)
-    hits = scores(index, queries, **kw).withColumnRenamed("id", "__id").join(d, F.col("__id") == F.col(id_col)).drop("__id").join(queries, "query_id")
+    hits = scores(index, queries, only, **kw).withColumnRenamed("id", "__id").join(d, F.col("__id") == F.col(id_col)).drop("__id").join(queries, "query_id")
     phrase = F.lower(F.trim("query"))
     boost = F.when((F.length(phrase) >= PHRASE_LENGTH) & F.contains(F.lower(F.concat_ws(" ", "title", "venue")), phrase), PHRASE_BOOST).otherwise(1.0)
     if local is not None:

@@ -6,8 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import search, segments
-from tidemark.plans.corpus import _BASE, _scored, docs_of
+from tidemark.operators import block_max, search, segments
+from tidemark.plans.corpus import _BASE, _BATCH, QUERY, _scored, docs_of, index_of, one_query
 from tidemark.plans.registry import query
 from tidemark.sources import buckets, load, statements
 from tidemark.sources.folders import delete, shared_folder
@@ -81,3 +81,20 @@ def segmented_search(spark, sf_dir):
     queries = spark.range(1).select(F.lit("q").alias("query_id"), F.lit("the whea onthe").alias("query"))
     hits = search.matches(_segmented(spark, sf_dir), docs_of(spark, sf_dir), queries, local=F.col("lang") == "en", id_col="doc_id")
     return hits.select("doc_id", "score", "matched")
+
+
+@query("block_max_top", _scored(_BATCH) + " SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS pos FROM hits QUALIFY pos <= 3")
+def block_max_top(spark, sf_dir):
+    """The best hits of every item, blocks that can hold none left unread."""
+    docs = docs_of(spark, sf_dir)
+    queries = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    hits = block_max.top(block_max.blocked(index_of(docs)), docs, queries, 3, local=F.col("lang") == "en", id_col="doc_id")
+    return hits.select("query_id", "doc_id", "score", "pos")
+
+
+@query("block_max_filtered", _scored(f"SELECT 'q' AS query_id, '{QUERY}' AS query") + " SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id)::INTEGER AS pos FROM hits WHERE lang = 'fr' QUALIFY pos <= 5")
+def block_max_filtered(spark, sf_dir):
+    """The filter counts before the hits that bound the others are chosen."""
+    docs = docs_of(spark, sf_dir)
+    hits = block_max.top(block_max.blocked(index_of(docs)), docs, one_query(spark), 5, keep=F.col("lang") == "fr", local=F.col("lang") == "en", id_col="doc_id")
+    return hits.select("doc_id", "score", "pos")
