@@ -6,7 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import block_max, search, segments
+from tidemark.functions import times as tm
+from tidemark.operators import block_max, grouped_rows, search, segments
 from tidemark.plans.corpus import _BASE, _BATCH, QUERY, _scored, docs_of, index_of, one_query
 from tidemark.plans.registry import query
 from tidemark.sources import buckets, load, statements
@@ -98,3 +99,27 @@ def block_max_filtered(spark, sf_dir):
     docs = docs_of(spark, sf_dir)
     hits = block_max.top(block_max.blocked(index_of(docs)), docs, one_query(spark), 5, keep=F.col("lang") == "fr", local=F.col("lang") == "en", id_col="doc_id")
     return hits.select("doc_id", "score", "pos")
+
+
+_LOCAL_DAY = "strftime((ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/Los_Angeles', '%Y-%m-%d')"
+
+
+@query("listing_day_rows", f"SELECT {_LOCAL_DAY} AS day, event_id, row_number() OVER (PARTITION BY {_LOCAL_DAY} ORDER BY ts, event_id) AS pos, count(*) OVER (PARTITION BY {_LOCAL_DAY}) AS size FROM events")
+def listing_day_rows(spark, sf_dir):
+    """A1: the events of each day in order, as rows with their place."""
+    ev = load(spark, sf_dir, "events").select(tm.local_day(F.col("ts")).alias("day"), "ts", "event_id")
+    return grouped_rows.positioned(ev, ["day"], ["ts", "event_id"]).select("day", "event_id", "pos", "size")
+
+
+@query(
+    "digest_lines",
+    """WITH d AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos, count(*) OVER (PARTITION BY source) AS size FROM documents)
+SELECT '# ' || coalesce(source, '') || ' (' || size || ')' AS value FROM d WHERE pos = 1 UNION ALL SELECT '## ' || pos || ': ' || doc_id || ', ' || n_chars FROM d""",
+)
+def digest_lines(spark, sf_dir):
+    """K8: digests of the sources, each headed by its name and size, as lines."""
+    d = load(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
+    rows = grouped_rows.positioned(d, ["source"], ["doc_id"])
+    text = lambda c: F.col(c).cast("string")
+    header = F.concat(F.lit("# "), F.coalesce("source", F.lit("")), F.lit(" ("), text("size"), F.lit(")"))
+    return grouped_rows.lines(rows, header, F.concat(F.lit("## "), text("pos"), F.lit(": "), text("doc_id"), F.lit(", "), text("n_chars"))).select("value")
