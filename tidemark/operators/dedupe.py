@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
+from tidemark.sources.folders import written
 
 #: Thresholds of the fuzzy match.
 TITLE_ALONE, VENUE, TITLE_WITH_VENUE = 0.6, 0.5, 0.35
@@ -33,43 +37,81 @@ def new_rows(batch: DataFrame, history: DataFrame, key: str, order: list) -> Dat
     return first_wins(batch, [key], order).join(history.select(key), key, "left_anti")
 
 
-def fuzzy_pairs(new: DataFrame, old: DataFrame, block: list[str], id_col: str, order: str, title: str = "title", venue: str = "venue") -> DataFrame:
-    """Pairs of a new and an earlier row of one block (such as the local day) that look alike, with their score.
+def _same(block: list[str], *others: str, left: str = "__", right: str = "") -> Column:
+    """Equal blocks (null ones are no blocks) and, null-safe, equal other columns; the left names have a prefix."""
+    return reduce(and_, [F.col(f"{left}{c}") == F.col(f"{right}{c}") for c in block] + [F.col(f"{left}{c}").eqNullSafe(F.col(f"{right}{c}")) for c in others])
 
-    Two titles of the similarity TITLE_WITH_VENUE share one of their first words in any common order, rare words first: of n
-    words the first n - ceil(n * TITLE_WITH_VENUE) + 1. Pairs meet on those only and are judged where the first of them
-    meets, so frequent words make no large groups, nothing is judged twice, and no pair of the similarity is missed.
-    """
-    # outer explodes: plain ones would make Spark work the words out once more, to test for empty lists
-    words = old.select(F.explode_outer(tx.word_set(F.col(title))).alias("__w")).groupBy("__w").agg(F.count("*").alias("__n")).where(F.col("__w").isNotNull())
-    shared = lambda s, n: F.ceil(n * s - 1e-9).cast("int")  # noqa: E731  words that n words must share
 
-    def prep(df, p):
-        rows = df.select(*block, F.col(id_col).alias(f"{p}id"), F.col(order).alias(f"{p}ord"), tx.word_set(F.col(title)).alias(f"{p}t"), tx.word_set(F.col(venue)).alias(f"{p}v"))
-        by = [*block, f"{p}id", f"{p}ord", f"{p}v"]
-        ranked = rows.select(*by, F.explode_outer(f"{p}t").alias("__w")).where(F.col("__w").isNotNull()).join(words, "__w", "left")
-        ranked = ranked.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), F.col("__w").alias("w")))), lambda x: x["w"]).alias(f"{p}t"))
-        n = F.size(f"{p}t") - shared(TITLE_WITH_VENUE, F.size(f"{p}t")) + 1
-        return ranked.withColumn(f"{p}f", F.slice(f"{p}t", F.lit(1), n)).select("*", F.posexplode(f"{p}f").alias(f"{p}at", "__w"))
+def _classes(df: DataFrame, block: list[str], title: str, venue: str) -> DataFrame:
+    """block, title, venue (each combination once), t, v (their words, sorted) and class: what rows of one block and the same words share."""
+    raw = df.select(*block, F.col(title).alias("__title"), F.col(venue).alias("__venue")).distinct()
+    both = F.struct(F.array_sort(tx.word_set(F.col("__title"))).alias("t"), F.array_sort(tx.word_set(F.col("__venue"))).alias("v"))
+    # through an outer explode the words are worked out once, not in every column that is made of them
+    words = raw.select("*", F.explode_outer(F.array(both)).alias("__w")).select(*block, "__title", "__venue", "__w.t", "__w.v")
+    return words.withColumn("class", F.sha1(F.concat_ws("|", F.array_join("t", " "), F.array_join("v", " ")).cast("binary")))
 
-    met = prep(new, "a_").join(prep(old, "b_"), [*block, "__w"]).where("b_ord < a_ord")
+
+def class_pairs(new: DataFrame, old: DataFrame, block: list[str], title: str = "title", venue: str = "venue") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Classes of the new and of the old rows, and pairs of them that look alike: block, a, b, title_score, venue_score.
+
+    Rows of one block with the same words are one class, so copies are compared once, whatever their number. Two titles of
+    the similarity TITLE_WITH_VENUE share one of their first words in any common order, rare words first: of n words the first
+    n - ceil(n * TITLE_WITH_VENUE) + 1. Classes meet on those only, so frequent words make no large groups, and no pair of the
+    similarity is missed; each pair is judged once.
+    """
+    shared = lambda s, n: F.ceil(n * s - 1e-9).cast("int")  # noqa: E731  words that n words must share
+    one = lambda classes: classes.groupBy(*block, "class").agg(F.first("t").alias("t"), F.first("v").alias("v"))
+    first = written(_classes(new, block, title, venue), "classes")
+    named = [first, first if old is new else written(_classes(old, block, title, venue), "classes")]
+    sides = [one(c) for c in named]
+    words = sides[1].select(F.explode_outer("t").alias("__w")).groupBy("__w").agg(F.count("*").alias("__n")).where(F.col("__w").isNotNull())
+
+    def prefixes(side: DataFrame) -> DataFrame:
+        rows = side.select(*block, "class", "v", F.explode_outer("t").alias("__w")).where(F.col("__w").isNotNull()).join(words, "__w", "left")
+        ranked = F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), F.col("__w").alias("w")))), lambda x: x["w"])
+        rows = rows.groupBy(*block, "class", "v").agg(ranked.alias("t"))
+        n = F.size("t") - shared(TITLE_WITH_VENUE, F.size("t")) + 1
+        # only numbers go with each word: a title may have thousands
+        return rows.select(*block, "class", "v", F.size("t").alias("size"), F.posexplode(F.slice("t", F.lit(1), n)).alias("at", "__w"))
+
+    left, right = (prefixes(s).withColumnsRenamed({k: f"{p}_{k}" for k in ("class", "v", "size", "at")}) for s, p in zip(sides, "ab"))
+    met = left.join(right, [*block, "__w"])
     need = F.when(tx.jaccard(F.col("a_v"), F.col("b_v")) >= VENUE, TITLE_WITH_VENUE).otherwise(TITLE_ALONE)
-    size = lambda p: F.size(f"{p}t")
-    left = lambda p: size(p) - F.col(f"{p}at")  # noqa: E731  words from the shared one on
-    met = met.where((F.least(size("a_"), size("b_")) >= need * F.greatest(size("a_"), size("b_")) - 1e-9) & (F.least(left("a_"), left("b_")) >= need / (1 + need) * (size("a_") + size("b_")) - 1e-9))
-    pairs = met.where(F.get(F.array_intersect("a_f", "b_f"), F.lit(0)) == F.col("__w"))
-    t, v = tx.jaccard(F.col("a_t"), F.col("b_t")), tx.jaccard(F.col("a_v"), F.col("b_v"))
-    pairs = pairs.withColumns({"title_score": t, "venue_score": v})
+    least, most = F.least("a_size", "b_size"), F.greatest("a_size", "b_size")
+    rest = lambda p: F.col(f"{p}_size") - F.col(f"{p}_at")  # noqa: E731  words from the shared one on
+    met = met.where((least >= need * most - 1e-9) & (F.least(rest("a"), rest("b")) >= need / (1 + need) * (F.col("a_size") + F.col("b_size")) - 1e-9))
+    pairs = met.select(*block, F.col("a_class").alias("a"), F.col("b_class").alias("b")).distinct()
+    for side, p in zip(sides, "ab"):
+        pairs = pairs.join(side.select(*block, F.col("class").alias(p), F.col("t").alias(f"{p}_t"), F.col("v").alias(f"{p}_v")), [*block, p])
+    pairs = pairs.select(*block, "a", "b", tx.jaccard(F.col("a_t"), F.col("b_t")).alias("title_score"), tx.jaccard(F.col("a_v"), F.col("b_v")).alias("venue_score"))
     alike = (F.col("title_score") >= TITLE_ALONE) | ((F.col("venue_score") >= VENUE) & (F.col("title_score") >= TITLE_WITH_VENUE))
+    return named[0], named[1], pairs.where(alike)
+
+
+def _members(df: DataFrame, classes: DataFrame, block: list[str], id_col: str, order: str, title: str, venue: str) -> DataFrame:
+    """block, id, ord, class of every row with a block."""
+    rows = df.select(*[F.col(c).alias(f"__{c}") for c in block], F.col(title).alias("____title"), F.col(venue).alias("____venue"), F.col(id_col).alias("id"), F.col(order).alias("ord"))
+    return rows.join(classes.select(*block, "__title", "__venue", "class"), _same(block, "__title", "__venue")).select(*block, "id", "ord", "class")
+
+
+def fuzzy_pairs(new: DataFrame, old: DataFrame, block: list[str], id_col: str, order: str, title: str = "title", venue: str = "venue") -> DataFrame:
+    """Pairs of a new and an earlier row of one block (such as the local day) that look alike, with their score: as many rows as there are pairs."""
+    a, b, pairs = class_pairs(new, old, block, title, venue)
+    left = _members(new, a, block, id_col, order, title, venue).withColumnsRenamed({"id": "a_id", "ord": "a_ord", "class": "a"})
+    right = _members(old, b, block, id_col, order, title, venue).withColumnsRenamed({"id": "b_id", "ord": "b_ord", "class": "b"})
+    out = pairs.join(left, [*block, "a"]).join(right, [*block, "b"]).where("b_ord < a_ord")
     score = F.greatest("title_score", (F.col("title_score") + F.col("venue_score")) / 2)
     reason = F.format_string("same day, title~%.2f venue~%.2f", "title_score", "venue_score")
-    return pairs.where(alike).select(F.col("a_id").alias("id"), F.col("b_id").alias("other_id"), F.col("b_ord").alias("other_ord"), "title_score", "venue_score", score.alias("score"), reason.alias("reason"))
+    return out.select(F.col("a_id").alias("id"), F.col("b_id").alias("other_id"), F.col("b_ord").alias("other_ord"), "title_score", "venue_score", score.alias("score"), reason.alias("reason"))
 
 
-def duplicate_of(new: DataFrame, old: DataFrame, block: list[str], id_col: str, order: str, **kw) -> DataFrame:
-    """id, duplicate_of: the first earlier row that looks like it."""
-    pairs = fuzzy_pairs(new, old, block, id_col, order, **kw)
-    return pairs.groupBy("id").agg(F.min_by("other_id", "other_ord").alias("duplicate_of"))
+def duplicate_of(new: DataFrame, old: DataFrame, block: list[str], id_col: str, order: str, title: str = "title", venue: str = "venue") -> DataFrame:
+    """id, duplicate_of: the first earlier row that looks like it. Copies are never paired: the first row of each class stands for it."""
+    a, b, pairs = class_pairs(new, old, block, title, venue)
+    firsts = _members(old, b, block, id_col, order, title, venue).groupBy(*block, F.col("class").alias("b")).agg(F.min(F.struct("ord", "id")).alias("first"))
+    best = pairs.join(firsts, [*block, "b"]).groupBy(*block, F.col("a").alias("class")).agg(F.min("first").alias("first"))
+    rows = _members(new, a, block, id_col, order, title, venue)
+    return rows.join(best, [*block, "class"]).where(F.col("first.ord") < F.col("ord")).select("id", F.col("first.id").alias("duplicate_of"))
 
 
 def ordered_rejects(df: DataFrame, reasons: list[tuple[str, Column]], keys: list[str] | None = None, order: list | None = None, duplicate: str = "dupe") -> DataFrame:
