@@ -287,7 +287,7 @@ x AS (SELECT *, CASE WHEN json_type(l0) = 'ARRAY' THEN l0->'$[0]' ELSE l0 END AS
     _linked("@graph|itemListElement|item", "")
     + r"""SELECT page_id, pos, nullif(trim(name), '') AS title, e->>'$.startDate' AS date, nullif(trim(CASE WHEN json_type(loc) = 'VARCHAR' THEN loc->>'$' ELSE loc->>'$.name' END), '') AS venue,
     CASE WHEN json_type(loc->'$.address') = 'VARCHAR' THEN loc->>'$.address' ELSE nullif(concat_ws(', ', nullif(loc->>'$.address.streetAddress', ''), nullif(loc->>'$.address.addressLocality', ''), nullif(loc->>'$.address.postalCode', '')), '') END AS address,
-    CASE WHEN e->>'$.url' = '' THEN url WHEN e->>'$.url' LIKE 'https:%' THEN e->>'$.url' WHEN e->>'$.url' LIKE '/%' THEN origin || (e->>'$.url') WHEN e->>'$.url' LIKE '?%' THEN regexp_extract(url, '^[^?]*') || (e->>'$.url') ELSE regexp_extract(url, '^[^?]*/') || (e->>'$.url') END AS source_url,
+    CASE WHEN e->>'$.url' = '' THEN url WHEN e->>'$.url' LIKE 'https:%' THEN e->>'$.url' WHEN e->>'$.url' LIKE '/%' THEN origin || (e->>'$.url') WHEN e->>'$.url' LIKE '?%' THEN regexp_extract(url, '^[^?#]*') || (e->>'$.url') ELSE regexp_extract(url, '^[^?#]*/') || (e->>'$.url') END AS source_url,
     CASE WHEN trim(coalesce(offer->>'$.price', offer->>'$.lowPrice')) IN ('', '0', '0.00') THEN 'Free' ELSE CASE WHEN coalesce(offer->>'$.priceCurrency[0]', offer->>'$.priceCurrency') = 'USD' THEN '$' ELSE '' END || coalesce(offer->>'$.price', offer->>'$.lowPrice') END AS price FROM x""",
 )
 def linked_events(spark, sf_dir):
