@@ -33,7 +33,8 @@ ACCENTED, PLAIN = _accented()
 
 def strip_accents(c: Column) -> Column:
     """Text without accents: canonically decomposed, the combining marks gone. Hangul stays composed (strip_accents_any decomposes it too)."""
-    return F.translate(F.regexp_replace(c, "[\u0300-\u036f]", ""), ACCENTED, PLAIN)
+    plain = F.translate(F.regexp_replace(c, "[\u0300-\u036f]", ""), ACCENTED, PLAIN)
+    return F.when(c.rlike("[^\\x00-\\x7F]"), plain).otherwise(c)
 
 
 def _compatible() -> dict[str, str]:

@@ -16,11 +16,10 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import search
 from tidemark.operators.search import Index
+from tidemark.sources.folders import written
 
 #: Documents of a block, and blocks of each query that are scored first.
 SIZE, FIRST = 64, 8
-#: Scores are rounded, and sums may differ in their last places.
-SLACK = 1e-5
 
 
 @dataclass(frozen=True)
@@ -54,30 +53,35 @@ def read(spark, path: str) -> Blocked:
     return Blocked(search.read_index(spark, path), spark.read.parquet(f"{path}/bounds"))
 
 
-def bounded(b: Blocked, queries: DataFrame, boost: float, **kw) -> DataFrame:
+def bounded(b: Blocked, queries: DataFrame, boost: float, hit: DataFrame | None = None, **kw) -> DataFrame:
     """query_id, block, bound: no document of the block scores more. Blocks without any of the words are left out."""
-    hit = search.weighted(b.index, queries, **kw)
-    t = b.bounds.join(hit, F.col("variant") == b.bounds["term"]).select("query_id", "n_terms", "block", hit["term"].alias("word"), "tf", "len", "w")
-    per = t.groupBy("query_id", "n_terms", "block").agg(F.sum(F.col("w") * search.saturated(b.index)).alias("s"), F.count_distinct("word").alias("matched"))
+    hit = search.weighted(b.index, queries, **kw) if hit is None else hit
+    # only bounds of words that are asked for are worked out
+    asked = b.bounds.join(hit.select(F.col("variant").alias("term")).distinct(), "term", "left_semi")
+    t = asked.join(hit.withColumnRenamed("term", "word"), F.col("variant") == F.col("term")).select("query_id", "n_terms", "block", "word", "tf", "len", "w")
+    per = t.groupBy("query_id", "n_terms", "block", "word").agg(F.sum(F.col("w") * search.saturated(b.index)).alias("s"))
+    per = per.groupBy("query_id", "n_terms", "block").agg(F.sum("s").alias("s"), F.count("*").alias("matched"))
     return per.select("query_id", "block", (search.covered() * boost).alias("bound"))
 
 
-def to_read(b: Blocked, docs: DataFrame, queries: DataFrame, limit: int, keep: Column | None = None, local: Column | None = None, id_col: str = "id", first: int = FIRST, **kw) -> tuple[DataFrame, DataFrame, DataFrame]:
+def to_read(b: Blocked, docs: DataFrame, queries: DataFrame, limit: int, keep: Column | None = None, local: Column | None = None, id_col: str = "id", first: int = FIRST, hit: DataFrame | None = None, **kw) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The blocks that are scored first, the best hits there, and the other blocks that may hold better ones; each as query_id and block, or hits."""
     boost = search.PHRASE_BOOST * (search.LOCAL_BOOST if local is not None else 1.0)
-    bounds = bounded(b, queries, boost, **kw)
+    hit = search.weighted(b.index, queries, **kw) if hit is None else hit
+    bounds = written(bounded(b, queries, boost, hit), "bounds")
     order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "block"))
     placed = bounds.withColumn("place", order)
     one = placed.where(F.col("place") <= first).select("query_id", "block")
-    hits = search.ranked(search.matches(b.index, docs, queries, keep, local, id_col, one, **kw), limit, more=False)
+    hits = written(search.best(b.index, docs, queries, limit, keep, local, id_col, only=one, hit=hit), "hits")
     least = hits.groupBy(F.col("query_id").alias("q")).agg(F.when(F.count("*") >= limit, F.min("score")).alias("least"))
-    rest = placed.where(F.col("place") > first).join(least, F.col("query_id") == F.col("q"), "left").where(F.col("bound") >= F.coalesce("least", F.lit(0.0)) - SLACK)
+    rest = placed.where(F.col("place") > first).join(least, F.col("query_id") == F.col("q"), "left").where(F.col("bound") >= F.coalesce("least", F.lit(0.0)) - search.SLACK)
     return one, hits, rest.select("query_id", "block")
 
 
 def top(b: Blocked, docs: DataFrame, queries: DataFrame, limit: int = search.DEFAULT_RESULTS, keep: Column | None = None, local: Column | None = None, id_col: str = "id", ord_col: str = "ord", first: int = FIRST, **kw) -> DataFrame:
     """The best `limit` hits of each query that `keep` lets through, with pos."""
-    _, hits, rest = to_read(b, docs, queries, limit, keep, local, id_col, first, **kw)
-    more = search.matches(b.index, docs, queries, keep, local, id_col, rest, **kw)
+    hit = search.weighted(b.index, queries, **kw)
+    _, hits, rest = to_read(b, docs, queries, limit, keep, local, id_col, first, hit)
+    more = search.best(b.index, docs, queries, limit, keep, local, id_col, ord_col, rest, hit)
     both = hits.select(*more.columns).unionByName(more)
     return search.ranked(both, limit, ord_col, more=False)

@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.search import Index, corpus_stats
+from tidemark.operators.search import Index, corpus_stats, postings_of, term_counts
 from tidemark.sources import folders
 
 #: Segments from which on all are merged, and the part of a segment's files whose loss makes it be merged.
@@ -64,8 +64,8 @@ def files_of(spark: SparkSession, folder: str, suffix: str = ".parquet") -> dict
 def _write(postings: DataFrame, lengths: DataFrame, path: str) -> str:
     """Writes a segment, sorted by term inside its files; its id."""
     spark, name = postings.sparkSession, uuid.uuid4().hex
-    n, at = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{path}/segments/{name}"
-    postings.repartitionByRange(n, "term", "id").sortWithinPartitions("term", "id").write.parquet(f"{at}/postings")
+    at = f"{path}/segments/{name}"
+    postings.sortWithinPartitions("term", "id").write.parquet(f"{at}/postings")
     spark.read.parquet(f"{at}/postings").groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{at}/terms")
     lengths.write.parquet(f"{at}/lengths")
     return name
@@ -89,10 +89,8 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 def _built(spark: SparkSession, path: str, files: list[str], read: Callable[[list[str]], DataFrame], tokens: Column, id_col: str) -> Segment:
     """A segment of files, each document split once."""
     number = F.create_map(*[F.lit(x) for i, f in enumerate(files) for x in (f, i)])
-    rows = read(files).select(F.try_element_at(number, F.col("_metadata.file_path")).alias("file"), F.col(id_col).alias("id"), tokens.alias("tokens"))
-    lengths = rows.select("file", "id", F.size("tokens").alias("len"))
-    postings = rows.select("file", "id", F.size("tokens").alias("len"), F.explode("tokens").alias("term")).groupBy("file", "id", "len", "term").agg(F.count("*").alias("tf"))
-    return Segment(_write(postings, lengths, path), files, files)
+    counts = term_counts(read(files), tokens, F.try_element_at(number, F.col("_metadata.file_path")).alias("file"), F.col(id_col).alias("id"))
+    return Segment(_write(postings_of(counts), counts.select("file", "id", "len"), path), files, files)
 
 
 def _merged(spark: SparkSession, path: str, some: list[Segment]) -> Segment:

@@ -86,8 +86,8 @@ def bm25_search(spark, sf_dir):
 @query("bm25_filtered", _scored(f"SELECT 'q' AS query_id, '{QUERY}' AS query") + " SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id)::INTEGER AS pos FROM hits WHERE lang = 'fr' QUALIFY pos <= 20")
 def bm25_filtered(spark, sf_dir):
     docs = docs_of(spark, sf_dir)
-    hits = search.matches(index_of(docs), docs, one_query(spark), keep=F.col("lang") == "fr", local=F.col("lang") == "en", id_col="doc_id")
-    return search.ranked(hits, 20, more=False).select("doc_id", "score", "pos")
+    hits = search.best(index_of(docs), docs, one_query(spark), 20, keep=F.col("lang") == "fr", local=F.col("lang") == "en", id_col="doc_id")
+    return hits.select("doc_id", "score", "pos")
 
 
 _BATCH = "SELECT item_id AS query_id, text AS query FROM benchmark"
@@ -97,14 +97,14 @@ _BATCH = "SELECT item_id AS query_id, text AS query FROM benchmark"
 def batch_search(spark, sf_dir):
     docs = docs_of(spark, sf_dir)
     queries = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    hits = search.matches(index_of(docs), docs, queries, local=F.col("lang") == "en", id_col="doc_id")
-    return search.ranked(hits, 8, more=False).select("query_id", "doc_id", "score", "pos")
+    hits = search.best(index_of(docs), docs, queries, 8, local=F.col("lang") == "en", id_col="doc_id")
+    return hits.select("query_id", "doc_id", "score", "pos")
 
 
 @query("search_facets", _scored(f"SELECT 'q' AS query_id, '{QUERY}' AS query") + " SELECT source AS day, count(*) AS n, count_if(hits.lang = 'en') AS in_town FROM hits JOIN documents USING (doc_id) GROUP BY 1")
 def search_facets(spark, sf_dir):
-    docs = docs_of(spark, sf_dir).withColumn("date", F.col("source"))
-    hits = search.matches(index_of(docs), docs, one_query(spark), local=F.col("lang") == "en", id_col="doc_id")
+    docs = docs_of(spark, sf_dir)
+    hits = search.matches(index_of(docs), docs.withColumn("date", F.col("source")), one_query(spark), local=F.col("lang") == "en", id_col="doc_id")
     return search.facets(hits, F.col("lang") == "en").select("day", "n", "in_town")
 
 
