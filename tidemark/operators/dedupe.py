@@ -54,38 +54,61 @@ def _classes(df: DataFrame, block: list[str], title: str, venue: str) -> DataFra
 def class_pairs(new: DataFrame, old: DataFrame, block: list[str], title: str = "title", venue: str = "venue") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Classes of the new and of the old rows, and pairs of them that look alike: block, a, b, title_score, venue_score.
 
-    Rows of one block with the same words are one class, so copies are compared once, whatever their number. Two titles of
-    the similarity TITLE_WITH_VENUE share one of their first words in any common order, rare words first: of n words the first
-    n - ceil(n * TITLE_WITH_VENUE) + 1. Classes meet on those only, so frequent words make no large groups, and no pair of the
-    similarity is missed; each pair is judged once.
+    Rows of one block with the same words are one class, so copies are compared once, whatever their number, and a class with
+    itself not at all. Two titles that share `need` of their words share one of their first words in any common order, rare words
+    first: of n words the first n - ceil(n * need) + 1. Titles alike by themselves meet on few of them (TITLE_ALONE); those that
+    need their venues too (TITLE_WITH_VENUE) meet on more, but only where a venue's first word is the same as well. So no pair of the
+    similarity is missed; each is judged once, and where old is new one way round.
     """
-    shared = lambda s, n: F.ceil(n * s - 1e-9).cast("int")  # noqa: E731  words that n words must share
-    one = lambda classes: classes.groupBy(*block, "class").agg(F.first("t").alias("t"), F.first("v").alias("v"))
     first = written(_classes(new, block, title, venue), "classes")
     named = [first, first if old is new else written(_classes(old, block, title, venue), "classes")]
-    sides = [one(c) for c in named]
-    words = sides[1].select(F.explode_outer("t").alias("__w")).groupBy("__w").agg(F.count("*").alias("__n")).where(F.col("__w").isNotNull())
-
-    def prefixes(side: DataFrame) -> DataFrame:
-        rows = side.select(*block, "class", "v", F.explode_outer("t").alias("__w")).where(F.col("__w").isNotNull()).join(words, "__w", "left")
-        ranked = F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), F.col("__w").alias("w")))), lambda x: x["w"])
-        rows = rows.groupBy(*block, "class", "v").agg(ranked.alias("t"))
-        n = F.size("t") - shared(TITLE_WITH_VENUE, F.size("t")) + 1
-        # only numbers go with each word: a title may have thousands
-        return rows.select(*block, "class", "v", F.size("t").alias("size"), F.posexplode(F.slice("t", F.lit(1), n)).alias("at", "__w"))
-
-    left, right = (prefixes(s).withColumnsRenamed({k: f"{p}_{k}" for k in ("class", "v", "size", "at")}) for s, p in zip(sides, "ab"))
-    met = left.join(right, [*block, "__w"])
-    need = F.when(tx.jaccard(F.col("a_v"), F.col("b_v")) >= VENUE, TITLE_WITH_VENUE).otherwise(TITLE_ALONE)
-    least, most = F.least("a_size", "b_size"), F.greatest("a_size", "b_size")
-    rest = lambda p: F.col(f"{p}_size") - F.col(f"{p}_at")  # noqa: E731  words from the shared one on
-    met = met.where((least >= need * most - 1e-9) & (F.least(rest("a"), rest("b")) >= need / (1 + need) * (F.col("a_size") + F.col("b_size")) - 1e-9))
-    pairs = met.select(*block, F.col("a_class").alias("a"), F.col("b_class").alias("b")).distinct()
-    for side, p in zip(sides, "ab"):
-        pairs = pairs.join(side.select(*block, F.col("class").alias(p), F.col("t").alias(f"{p}_t"), F.col("v").alias(f"{p}_v")), [*block, p])
-    pairs = pairs.select(*block, "a", "b", tx.jaccard(F.col("a_t"), F.col("b_t")).alias("title_score"), tx.jaccard(F.col("a_v"), F.col("b_v")).alias("venue_score"))
+    counts = named[1].select(*block, "class", F.explode(F.array_distinct("t")).alias("__w")).distinct().groupBy("__w").agg(F.count("*").alias("__n"))
+    side = _ranked(named[0], counts, block)
+    sides = [side, side if old is new else _ranked(named[1], counts, block)]
+    names = ("__no", "size", "at", "v")
+    met = []
+    for need, keys in ((TITLE_ALONE, []), (TITLE_WITH_VENUE, ["__v"])):
+        left, right = (_prefixes(s, block, need, keys).withColumnsRenamed({k: f"{p}_{k}" for k in names}) for s, p in zip(sides, "ab"))
+        least, most = F.least("a_size", "b_size"), F.greatest("a_size", "b_size")
+        rest = F.least(F.col("a_size") - F.col("a_at"), F.col("b_size") - F.col("b_at"))  # words from the shared one on
+        may = (least >= need * most - 1e-9) & (rest >= need / (1 + need) * (F.col("a_size") + F.col("b_size")) - 1e-9)
+        if keys:
+            may = may & (F.least("a_v", "b_v") >= VENUE * F.greatest("a_v", "b_v") - 1e-9)
+        if old is new:
+            may = may & (F.col("a___no") < F.col("b___no"))
+        met.append(left.join(right, [*block, "__w", *keys]).where(may).select(F.col("a___no").alias("a_no"), F.col("b___no").alias("b_no")))
+    pairs = met[0].unionByName(met[1]).distinct()
+    for s, p in zip(sides, "ab"):
+        known = [F.col(c).alias(f"__{c}") for c in block] if p == "a" else []
+        pairs = pairs.join(s.select(*known, F.col("__no").alias(f"{p}_no"), F.col("class").alias(p), F.col("t").alias(f"{p}_t"), F.col("v").alias(f"{p}_v")), f"{p}_no")
+    pairs = pairs.select(*[F.col(f"__{c}").alias(c) for c in block], "a", "b", tx.jaccard(F.col("a_t"), F.col("b_t")).alias("title_score"), tx.jaccard(F.col("a_v"), F.col("b_v")).alias("venue_score"))
     alike = (F.col("title_score") >= TITLE_ALONE) | ((F.col("venue_score") >= VENUE) & (F.col("title_score") >= TITLE_WITH_VENUE))
-    return named[0], named[1], pairs.where(alike)
+    pairs = pairs.where(alike)
+    if old is new:
+        pairs = written(pairs, "pairs")
+        turned = pairs.select(*block, F.col("b").alias("a"), F.col("a").alias("b"), "title_score", "venue_score")
+        whole = reduce(and_, [F.col(c).isNotNull() for c in block], F.size("t") > 0)
+        own = side.where(whole).select(*block, F.col("class").alias("a"), F.col("class").alias("b"), F.lit(1.0).alias("title_score"), F.when(F.size("v") > 0, 1.0).otherwise(0.0).alias("venue_score"))
+        pairs = pairs.unionByName(turned).unionByName(own)
+    return named[0], named[1], pairs
+
+
+def _ranked(classes: DataFrame, counts: DataFrame, block: list[str]) -> DataFrame:
+    """A row for each class: block, class, t (rare words first), v, and a number that stands for both."""
+    one = classes.groupBy(*block, "class").agg(F.first("t").alias("t"), F.first("v").alias("v"))
+    rows = one.select(*block, "class", "v", F.explode("t").alias("__w")).join(counts, "__w", "left")
+    order = F.array_sort(F.collect_list(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), F.col("__w").alias("w"))))
+    rows = rows.groupBy(*block, "class", "v").agg(F.transform(order, lambda x: x["w"]).alias("t"))
+    return written(rows.select("*", F.monotonically_increasing_id().alias("__no")), "ranked")
+
+
+def _prefixes(side: DataFrame, block: list[str], need: float, keys: list[str]) -> DataFrame:
+    """A row for each first word of a title, with keys for each first word of its venue too. Only numbers go with each: a title may have thousands."""
+    cut = lambda c, part: F.slice(c, F.lit(1), F.size(c) - F.ceil(F.size(c) * part - 1e-9).cast("int") + 1)
+    rows = side.where(F.size("t") > 0)
+    if keys:
+        rows = rows.where(F.size("v") > 0).select("*", F.explode(cut("v", VENUE)).alias("__v"))
+    return rows.select(*block, *keys, "__no", F.size("t").alias("size"), F.size("v").alias("v"), F.posexplode(cut("t", need)).alias("at", "__w"))
 
 
 def _members(df: DataFrame, classes: DataFrame, block: list[str], id_col: str, order: str, title: str, venue: str) -> DataFrame:
