@@ -115,6 +115,19 @@ def slug(c: Column, cut: int | None = 80) -> Column:
     return F.substring(out, 1, cut) if cut else out
 
 
+def slug_end(x: Column, wanted: Column) -> Column:
+    """Length of the shortest start of four letters or more whose slug is the given one; null if there is none.
+
+    A start with the slug ends where the slug's words end, so one start is tried, not all; only where lower case has another length, all are.
+    """
+    same = lambda i: slug(F.substring(x, F.lit(1), i), None) == wanted
+    words = F.concat(F.lit("^[^a-z0-9]*+"), F.replace(wanted, F.lit("-"), F.lit("[^a-z0-9]++")))
+    end = let(F.length(F.regexp_substr(F.lower(x), words)), lambda e: F.when(wanted == "", 4).when(e.isNotNull(), F.greatest(F.lit(4), e)))
+    one = F.when(wanted.rlike("^(?:[a-z0-9]+(?:-[a-z0-9]+)*+)?$"), let(end, lambda i: F.when(same(i), i)))
+    every = F.get(F.filter(F.sequence(F.lit(4), F.greatest(F.length(x), F.lit(4))), same), F.lit(0))
+    return F.when(F.length(F.lower(x)) == F.length(x), one).otherwise(every)
+
+
 def title_key(c: Column, cut: int = 60) -> Column:
     return F.substring(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", ""), 1, cut)
 

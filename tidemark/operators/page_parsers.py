@@ -283,7 +283,7 @@ def walked_back(page: Page, sites: Sites) -> Column:
 
             def step(acc: Column, x: Column) -> Column:
                 now = lambda **new: F.struct(*[new.get(k, acc[k]).alias(k) for k in ("venue", "start", "end", "title")])
-                time = group(x, HEADING_TIME, 1)
+                time = F.when(x.startswith("##"), group(x, HEADING_TIME, 1))
                 is_end = x.rlike(r"^[# ]*-") & acc["end"].isNull()
                 name = clean_html(F.regexp_extract(x, r"^##\s+(.{3,180})$", 1))
                 is_name = F.coalesce(acc["venue"].isNotNull() & ~F.lower(name).isin("featured", "featured events"), F.lit(False))
@@ -313,16 +313,21 @@ def dated_links(page: Page, sites: Sites) -> Column:
     rest = r"/(\d{8})/[^)]+"
     rx = rf"(?s)\[(.{{5,900}}?)\]\(({quoted(sites.local_site)}{rest})\)"
 
+    place = r"^(.{5,120}?,\s*(?:CA|California))\b"
+
+    # what several fields are made of is worked out once
     def of(m: Column) -> Column:
-        said = F.regexp_replace(F.regexp_extract(m, rx, 1), PICTURE, " ")
-        title = clean_html(F.regexp_replace(F.regexp_extract(said, TITLE_DAY, 1), r"^[#*\s>]+", ""))
-        more = clean_html(F.regexp_extract(said, TITLE_DAY, 3))
-        place = r"^(.{5,120}?,\s*(?:CA|California))\b"
-        address = group(more, place, 1)
-        words = F.when(address.isNotNull(), F.substring(more, F.length(address) + 1, F.length(more))).otherwise(more)
-        day = F.regexp_replace(F.regexp_extract(m, rx, 3), r"(\d{4})(\d{2})(\d{2})", "$1-$2-$3")
-        made = record(title=title, start=day, time=group(said, TITLE_DAY, 2), address=address, description=clean_html(words), url=F.regexp_extract(m, rx, 2))
-        return F.when(F.coalesce(said.rlike(TITLE_DAY) & (F.length(title) >= 4), F.lit(False)), made)
+        def with_text(said: Column) -> Column:
+            title = clean_html(F.regexp_replace(F.regexp_extract(said, TITLE_DAY, 1), r"^[#*\s>]+", ""))
+            more = clean_html(F.regexp_extract(said, TITLE_DAY, 3))
+            return let(title, lambda t: F.when(F.coalesce(said.rlike(TITLE_DAY) & (F.length(t) >= 4), F.lit(False)), let(more, lambda x: let(group(x, place, 1), lambda a: made(said, t, x, a)))))
+
+        def made(said: Column, title: Column, more: Column, address: Column) -> Column:
+            words = F.when(address.isNotNull(), F.substring(more, F.length(address) + 1, F.length(more))).otherwise(more)
+            day = F.regexp_replace(F.regexp_extract(m, rx, 3), r"(\d{4})(\d{2})(\d{2})", "$1-$2-$3")
+            return record(title=title, start=day, time=group(said, TITLE_DAY, 2), address=address, description=clean_html(words), url=F.regexp_extract(m, rx, 2))
+
+        return let(F.regexp_replace(F.regexp_extract(m, rx, 1), PICTURE, " "), with_text)
 
     # a text of a link may hold pictures, so links are found without ] where the text has none
     return _records(F.transform(_links(page.md, "(?s:.{5,900}?)", f"({quoted(sites.local_site)}", rest + ")"), of))
@@ -355,17 +360,14 @@ def slugged_links(page: Page, sites: Sites) -> Column:
 def split_by_slug(head: Column, slug: Column) -> Column:
     """struct(title, venue): the shortest start of four letters or more with the slug; without one all, or half if it says all twice."""
 
-    def of(x: Column) -> Column:
-        # a start has the slug only if it has as many letters and digits, so only starts from there to the next such are tried
-        n, need = F.length(x), F.length(F.regexp_replace(slug, "[^a-z0-9]+", ""))
-        ends = F.when(n >= 4, F.filter(F.sequence(F.least(F.greatest(F.lit(4), need), n), n), lambda i: tx.slug(F.substring(x, F.lit(1), i), None) == slug))
-        at = F.get(ends, F.lit(0))
+    def of(x: Column, at: Column) -> Column:
+        n = F.length(x)
         half = F.floor(n / 2).cast("int")
         twice = F.substring(x, F.lit(1), half)
         title = F.when(at.isNotNull(), F.substring(x, F.lit(1), at)).when((half > 0) & (F.substring(x, half + 1, half) == twice), twice).otherwise(x)
         return F.struct(clean_html(title).alias("title"), F.when(at.isNotNull(), clean_html(F.substring(x, at + 1, n))).alias("venue"))
 
-    return let(head, of)
+    return let(head, lambda x: let(slug, lambda s: let(F.when(F.length(x) >= 4, tx.slug_end(x, s)), lambda at: of(x, at))))
 
 
 def day_links(page: Page, sites: Sites) -> Column:
