@@ -246,8 +246,10 @@ def near_duplicates(df: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS,
 SKETCH = 8
 #: Rows of a shingle from which on its pairs are looked for in blocks.
 BLOCK = 2000
-#: Rows that all others of a shingle met in many groups are compared with first.
-HEADS = 4
+#: Rows of a shingle among which each group looks for the likeliest other one.
+NEAR = 512
+#: Links that one task joins up at once.
+LINKS = 100_000
 
 
 def shingle_set(words: list[bytes], size: int) -> np.ndarray:
@@ -365,90 +367,192 @@ def _most_apart(similarity: float, size_a, size_b):
     return (1 - similarity) / (1 + similarity) * (size_a + size_b) + 1e-9
 
 
+def _cells(batches):
+    """From rows sorted by key, ci, cj: complete cells as columns (num, label, size, pos, sketch, blk, and whether ci = cj), and the places where cells begin and the last ends."""
+    names, held = ["key", "ci", "cj", "num", "label", "size", "pos", "blk"], None
+
+    def cells(cols, cuts):
+        key, ci, cj, num, label, size, pos, blk, sketch = cols
+        return (num, label, size.astype(np.int64), pos, sketch, blk, ci == cj), cuts
+
+    for b in batches:
+        cols = [b.column(c).to_numpy() for c in names]
+        cols.append(np.stack([b.column(c).to_numpy() for c in _SKETCH], axis=1).view(np.uint64))
+        if held is not None:
+            cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+        cuts = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0) | (np.diff(cols[2]) != 0)) + 1
+        if len(cuts):
+            yield cells([c[: cuts[-1]] for c in cols], np.concatenate([[0], cuts]))
+        held = [c[cuts[-1] :] for c in cols] if len(cuts) else cols
+    if held is not None and len(held[0]):
+        yield cells(held, np.array([0, len(held[0])]))
+
+
+def _room(similarity: float, size, pos, sketch, i, j):
+    """By how many shingles rows i, j are nearer, as their sketches say, than the similarity asks for; below 0: they can't reach it."""
+    differ = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=-1, dtype=np.int64)
+    return np.where(_may_reach(similarity, size[i], pos[i], size[j], pos[j]), _most_apart(similarity, size[i], size[j]) - differ, -1.0)
+
+
+def _by_distance(cuts: np.ndarray):
+    """Rows i, j of all cells of up to SMALL rows, by their distance in the table."""
+    run, n = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts)), np.diff(cuts)
+    few = np.flatnonzero(np.repeat(n <= SMALL, n))
+    for o in range(1, SMALL):
+        i, j = few[:-o], few[o:]
+        same = run[i] == run[j]
+        if not same.any():
+            break
+        yield i[same], j[same]
+
+
+def _pairs_out(found):
+    """mapInArrow rows of pairs (one array each), those of some 500,000 at a time without repeats."""
+
+    def out(some):
+        a, b = (np.concatenate(x) for x in zip(*some, strict=True))
+        both = np.unique(np.rec.fromarrays([np.minimum(a, b), np.maximum(a, b)]))
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[f])) for f in ("f0", "f1")], names=["na", "nb"])
+
+    some, total = [], 0
+    for pair in found:
+        some.append(pair)
+        total += len(pair[0])
+        if total > 500_000:
+            yield out(some)
+            some, total = [], 0
+    if some:
+        yield out(some)
+
+
+def _nearest_pairs(similarity: float):
+    """mapInArrow function over rows sorted by key, ci, cj: of each label in a cell, the pair with another label that is likeliest to be similar.
+
+    So a cell gives a row for a label at the most, however many of its rows are alike.
+    """
+
+    def pairs_of(cols, cuts):
+        num, label, size, pos, sketch, *_ = cols
+        room, other = np.full(len(num), -1.0), np.zeros(len(num), np.int64)
+
+        def better(i, j, r):
+            """Row i takes j where that is nearer; no row is twice in i."""
+            up = r > room[i]
+            room[i[up]], other[i[up]] = r[up], j[up]
+
+        for i, j in _by_distance(cuts):
+            i, j = i[label[i] != label[j]], j[label[i] != label[j]]
+            r = _room(similarity, size, pos, sketch, i, j)
+            better(i, j, r)
+            better(j, i, r)
+        for k in np.flatnonzero(np.diff(cuts) > SMALL):
+            every = np.arange(cuts[k], cuts[k + 1])
+            for at in range(cuts[k], cuts[k + 1], 64):
+                i = np.arange(at, min(at + 64, cuts[k + 1]))
+                r = np.where(label[i][:, None] != label[every], _room(similarity, size, pos, sketch, i[:, None], every), -1.0)
+                most = r.argmax(axis=1)
+                better(i, every[most], r[np.arange(len(i)), most])
+        i = np.flatnonzero(room >= 0)
+        run = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))[i]
+        i = i[np.lexsort((-room[i], label[i], run))]
+        run = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))[i]
+        first = np.concatenate([[True], (np.diff(run) != 0) | (np.diff(label[i]) != 0)]) if len(i) else np.zeros(0, bool)
+        i = i[first]
+        if len(i):
+            yield num[i], num[other[i]]
+
+    def run(batches):
+        yield from _pairs_out(pair for cols, cuts in _cells(batches) for pair in pairs_of(cols, cuts))
+
+    return run
+
+
 def _block_pairs(similarity: float):
     """mapInArrow function over rows sorted by key, ci, cj: pairs of different labels that may reach the similarity, within each cell.
 
     A cell holds the rows of two blocks of a key, or of one; of two, only pairs across are its own. Sketches decide here
     already, so unlike texts that share a rare shingle are compared but give no row.
     """
-    names = ["key", "ci", "cj", "blk", "num", "label", "size", "pos"]
-
-    def may_be(cols, i, j):
-        """Which of the pairs of rows i, j may reach the similarity."""
-        size, pos, sketch = cols[6].astype(np.int64), cols[7], cols[8]
-        ok = _may_reach(similarity, size[i], pos[i], size[j], pos[j])
-        differ = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=-1, dtype=np.int64)
-        return ok & (differ <= _most_apart(similarity, size[i], size[j]))
 
     def of_small(cols, cuts):
-        """Pairs of all cells of up to SMALL rows, by their distance in the table."""
-        _, ci, cj, blk, num, label = cols[:6]
-        run = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
-        few = np.flatnonzero(np.repeat(np.diff(cuts) <= SMALL, np.diff(cuts)))
-        for o in range(1, SMALL):
-            i, j = few[:-o], few[o:]
-            own = (run[i] == run[j]) & (label[i] != label[j]) & ((blk[i] != blk[j]) | (ci[i] == cj[i]))
-            if not own.any():
-                if not (run[i] == run[j]).any():
-                    break
-                continue
+        num, label, size, pos, sketch, blk, one = cols
+        for i, j in _by_distance(cuts):
+            own = (label[i] != label[j]) & ((blk[i] != blk[j]) | one[i])
             i, j = i[own], j[own]
-            ok = may_be(cols, i, j)
+            ok = _room(similarity, size, pos, sketch, i, j) >= 0
             if ok.any():
-                i, j = num[i[ok]], num[j[ok]]
-                yield np.minimum(i, j), np.maximum(i, j)
+                yield num[i[ok]], num[j[ok]]
 
     def of_large(cols):
-        _, ci, cj, blk, num, label = cols[:6]
+        num, label, size, pos, sketch, blk, one = cols
         kinds, inverse, n = np.unique(label, return_inverse=True, return_counts=True)
         most, every = inverse == n.argmax(), np.arange(len(num))
         for i in np.flatnonzero(~most) if len(kinds) > 1 else ():
-            j = every[(inverse != inverse[i]) & (most | (every > i)) & ((blk != blk[i]) | (ci[0] == cj[0]))]
-            j = j[may_be(cols, i, j)]
+            j = every[(inverse != inverse[i]) & (most | (every > i)) & ((blk != blk[i]) | one[0])]
+            j = j[_room(similarity, size, pos, sketch, i, j) >= 0]
             if len(j):
-                yield np.minimum(num[i], num[j]), np.maximum(num[i], num[j])
+                yield np.full(len(j), num[i]), num[j]
 
     def pairs_of(cols, cuts):
         yield from of_small(cols, cuts)
         for k in np.flatnonzero(np.diff(cuts) > SMALL):
             yield from of_large([c[cuts[k] : cuts[k + 1]] for c in cols])
 
-    def out(found):
-        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-        both = np.unique(np.rec.fromarrays([a, b]))
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[f])) for f in ("f0", "f1")], names=["na", "nb"])
-
     def run(batches):
-        held, found, total = None, [], 0
-
-        def whole():
-            """The complete cells of the rows, as columns and the places where cells begin and the last ends."""
-            nonlocal held
-            for b in batches:
-                cols = [b.column(c).to_numpy() for c in names]
-                cols.append(np.stack([b.column(c).to_numpy() for c in _SKETCH], axis=1).view(np.uint64))
-                if held is not None:
-                    cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
-                cuts = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0) | (np.diff(cols[2]) != 0)) + 1
-                if len(cuts):
-                    yield [c[: cuts[-1]] for c in cols], np.concatenate([[0], cuts])
-                held = [c[cuts[-1] :] for c in cols] if len(cuts) else cols
-            if held is not None and len(held[0]):
-                yield held, np.array([0, len(held[0])])
-
-        for cols, cuts in whole():
-            for pair in pairs_of(cols, cuts):
-                found.append(pair)
-                total += len(pair[0])
-                if total > 500_000:
-                    yield out(found)
-                    found, total = [], 0
-        if found:
-            yield out(found)
+        yield from _pairs_out(pair for cols, cuts in _cells(batches) for pair in pairs_of(cols, cuts))
 
     return run
 
 
+def _tied(batches):
+    """mapInArrow function over links a, b: what LINKS of them connect, each with the least of it (the least one too)."""
+
+    def out(some):
+        a, b = (np.concatenate(x) for x in zip(*some, strict=True))
+        nodes, code = np.unique(np.concatenate([a, b]), return_inverse=True)
+        parent = list(range(len(nodes)))
+
+        def find(x):
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for x, y in zip(code[: len(a)].tolist(), code[len(a) :].tolist(), strict=True):
+            x, y = find(x), find(y)
+            parent[max(x, y)] = min(x, y)
+        root = np.array([find(x) for x in range(len(nodes))], np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], names=["a", "b"])
+
+    some, total = [], 0
+    for batch in batches:
+        some.append([batch.column(c).to_numpy(zero_copy_only=False) for c in "ab"])
+        total += batch.num_rows
+        if total >= LINKS:
+            yield out(some)
+            some, total = [], 0
+    if total:
+        yield out(some)
+
+
+def merged(labels: DataFrame | None, more: DataFrame) -> DataFrame:
+    """node, root of all that has a link: labels (None: none yet), joined up by more links a, b.
+
+    Links are taken between roots, and tasks join up LINKS at a time, so that rounds over all of them remain only where there are more.
+    """
+    if labels is not None:
+        for x in "ab":
+            more = more.join(small(labels).toDF(x, "root"), x, "left").withColumn(x, F.coalesce("root", x)).drop("root")
+    more = written(more.where("a <> b").select("a", "b").distinct(), "edges")
+    tasks = max(1, -(-more.count() // LINKS))
+    kind = more.schema["a"].dataType.simpleString()
+    up = more.coalesce(tasks).mapInArrow(_tied, f"a {kind}, b {kind}")
+    up = written(up.toDF("node", "root") if tasks == 1 else components(up), "up")
+    if labels is None:
+        return up
+    moved = labels.join(small(up).toDF("root", "top"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return written(moved.union(up.join(small(labels.select("node")), "node", "left_anti").select("node", "root")), "labels")
+
+
 def representatives(rows: DataFrame, texts: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = RADIUS) -> DataFrame:
     """doc_id, th (xxhash64 of the text) of the row that stands for each group of similar texts.
 
@@ -456,9 +560,10 @@ def representatives(rows: DataFrame, texts: DataFrame, similarity: float = 0.8,
 
     1. Classes whose word sets have fingerprints within the radius are candidates, found as above. That links most of
        what is alike, however large the group.
-    2. Two sets of the similarity share one of their first shingles, so classes also meet on those: first one class of each
-       group so far with one of the shingle, the least or, of more than SMALL groups, HEADS by hashes of the shingle; then all
-       classes that are in no common group by then. No pair of the similarity is missed, whatever the fingerprints say.
+    2. Two sets of the similarity share one of their first shingles, so classes also meet on those: first each group so far,
+       with the likeliest class of another group among NEAR of a shingle, which joins up large groups by about as many pairs
+       as they have rows; then all classes that are in no common group by then. No pair of the similarity is missed, whatever
+       the fingerprints say.
     3. A candidate goes on if sizes, places of the shared shingle and parity sketches allow the similarity: sketches that
        differ in d bits mean that d shingles at least are in one set only. The Jaccard similarity of the sets decides.
 
@@ -523,31 +628,28 @@ def representatives(rows: DataFrame, texts: DataFrame, similarity: float = 0.8,
     met = written(met.repartition("key").sortWithinPartitions("key").mapInArrow(_met, "key long, num long, size int, pos int"), "met")
     cls_of = lambda c: classes.select(F.col("num").alias(f"n{c}"), F.col("cls").alias(f"cls_{c}"))
 
-    def labelled() -> DataFrame:
-        """The rows of shingles that are met in several groups, with the groups' labels."""
-        labels = components(linked).join(classes.select(F.col("cls").alias("node"), "num"), "node").groupBy("num").agg(F.min(F.xxhash64("root")).alias("label"))
-        return met.join(small(labels), "num", "left").select("key", "num", F.coalesce("label", "num").alias("label"), "size", "pos")
-
-    one = labelled().groupBy("key", "label").agg(F.min(F.struct("num", "size", "pos")).alias("row"))
-    one = written(one, "ones")
-    # groups of many texts share many shingles: a few different rows for each, so that each is compared with many others
-    some = F.array_distinct(F.array(*[F.min_by("row", F.xxhash64("key", "row.num", F.lit(i))) for i in range(HEADS)]))
-    heads_of = one.groupBy("key").agg(F.when(F.count("*") > SMALL, some).otherwise(F.array(F.min("row"))).alias("heads"), F.count("*").alias("n")).where("n > 1")
-    heads_of = heads_of.select("key", F.explode("heads").alias("head"))
-    star = one.join(heads_of, "key").where("row <> head")
-    star = star.where(_may_reach(similarity, F.col("row.size"), F.col("row.pos"), F.col("head.size"), F.col("head.pos")))
-    star = star.select(F.col("row.num").alias("na"), F.col("head.num").alias("nb")).distinct()
-    linked = linked.union(verified(star.join(cls_of("a"), "na").join(cls_of("b"), "nb")))
-
-    rows_of = written(labelled(), "labelled")
-    per = rows_of.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("low <> high")
-    rest = rows_of.join(per.select("key", "blocks"), "key").join(classes.select("num", *_SKETCH), "num").withColumn("blk", F.pmod(F.xxhash64("num"), F.col("blocks")).cast("int"))
+    def met_again(labels: DataFrame, most: int) -> DataFrame:
+        """The rows of shingles that are met in several groups, with the groups' labels, sketches and `blocks` of up to about `most` rows."""
+        own = labels.join(classes.select(F.col("cls").alias("node"), "num"), "node").groupBy("num").agg(F.min(F.xxhash64("root")).alias("label"))
+        rows_of = written(met.join(small(own), "num", "left").select("key", "num", F.coalesce("label", "num").alias("label"), "size", "pos"), "labelled")
+        per = rows_of.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.count("*") / most).cast("int").alias("blocks")).where("low <> high")
+        return rows_of.join(per.select("key", "blocks"), "key").join(classes.select("num", *_SKETCH), "num")
+
+    def linked_in(cells: DataFrame, pairs) -> DataFrame:
+        """a, b of the pairs of a function over cells that reach the similarity."""
+        cells = cells.select("key", "ci", "cj", "blk", "num", "label", "size", "pos", *_SKETCH)
+        found = cells.repartition("key", "ci", "cj").sortWithinPartitions("key", "ci", "cj", "num").mapInArrow(pairs, "na long, nb long").distinct()
+        return verified(found.join(cls_of("a"), "na").join(cls_of("b"), "nb"))
+
+    labels = merged(None, linked)
+    near = met_again(labels, NEAR).withColumn("blk", F.pmod(F.xxhash64("num", "key"), F.col("blocks")).cast("int"))
+    labels = merged(labels, linked_in(near.withColumn("ci", F.col("blk")).withColumn("cj", F.col("blk")), _nearest_pairs(similarity)))
+    rest = met_again(labels, BLOCK).withColumn("blk", F.pmod(F.xxhash64("num"), F.col("blocks")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("key", F.least("blk", "other").alias("ci"), F.greatest("blk", "other").alias("cj"), "blk", "num", "label", "size", "pos", *_SKETCH)
-    rest = rest.repartition("key", "ci", "cj").sortWithinPartitions("key", "ci", "cj").mapInArrow(_block_pairs(similarity), "na long, nb long").distinct()
-    linked = linked.union(verified(rest.join(cls_of("a"), "na").join(cls_of("b"), "nb")))
+    rest = rest.withColumn("ci", F.least("blk", "other")).withColumn("cj", F.greatest("blk", "other"))
+    labels = merged(labels, linked_in(rest, _block_pairs(similarity)))
 
-    groups = classes.select("cls", "first").join(components(linked).withColumnRenamed("node", "cls"), "cls", "left")
+    groups = classes.select("cls", "first").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
     return groups.groupBy(F.coalesce("root", "cls").alias("root")).agg(F.min("first").alias("first")).select("first.doc_id", "first.th")
 
 
