@@ -159,9 +159,31 @@ def summary(c: Column, most: int = 400, back: int = 40) -> Column:
     return F.when(F.length(clean) <= most, clean).otherwise(F.concat(cut, F.lit("…")))
 
 
+def any_of(patterns) -> str | None:
+    r"""One pattern that matches where any of the patterns \b(a|b|...)\b does, alternatives by their first letter; None if one has another form."""
+    by: dict[str, list[str]] = {}
+    for p in patterns:
+        whole = re.fullmatch(r"\\b\((.*)\)\\b", p)
+        parts, depth = [""], 0
+        for x in re.findall(r"\\.|[^\\]", whole[1], re.DOTALL) if whole else "[":
+            depth += (x == "(") - (x == ")")
+            if x == "[" or depth < 0:
+                return None
+            if x == "|" and not depth:
+                parts.append("")
+            else:
+                parts[-1] += x
+        if not all(re.match("[a-z0-9](?![?*+{])", x) for x in parts):
+            return None
+        for x in parts:
+            by.setdefault(x[0], []).append(x[1:])
+    return rf"\b(?:{'|'.join(f'{c}(?:{"|".join(rest)})' for c, rest in by.items())})\b" if by else None
+
+
 def classify(c: Column, rules, default: str = "other") -> Column:
-    """Name of the first rule (name, pattern) that matches the text."""
-    text, out = F.lower(F.coalesce(c, F.lit(""))), None
+    """Name of the first rule (name, pattern) that matches the text. Where one pattern can say so, texts that match none are read once, not once a rule."""
+    text, some = F.lower(F.coalesce(c, F.lit(""))), any_of([p for _, p in rules])
+    out = F.when(~text.rlike(some), F.lit(default)) if some else None
     for name, pattern in rules:
         out = F.when(text.rlike(pattern), F.lit(name)) if out is None else out.when(text.rlike(pattern), F.lit(name))
     return out.otherwise(F.lit(default)) if out is not None else F.lit(default)
