@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import and_
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions import text as tx
+from tidemark.operators import title_cells
 from tidemark.sources.folders import written
 
 #: Thresholds of the fuzzy match.
 TITLE_ALONE, VENUE, TITLE_WITH_VENUE = 0.6, 0.5, 0.35
+#: Copies that one entry stands for; bytes of words in a part of a block; parts that smaller blocks have so that all tasks get some, and their bytes.
+ENTRY_ROWS, PART_BYTES, EVEN_PARTS, EVEN_BYTES = 1000, 1 << 24, 8, 1 << 19
 
 
 def identity_hash(title: Column, day: Column, venue: Column, **kw) -> Column:
@@ -37,69 +43,55 @@ def new_rows(batch: DataFrame, history: DataFrame, key: str, order: list) -> Dat
     return first_wins(batch, [key], order).join(history.select(key), key, "left_anti")
 
 
-def _same(block: list[str], *others: str, left: str = "__", right: str = "") -> Column:
-    """Equal blocks (null ones are no blocks) and, null-safe, equal other columns; the left names have a prefix."""
-    return reduce(and_, [F.col(f"{left}{c}") == F.col(f"{right}{c}") for c in block] + [F.col(f"{left}{c}").eqNullSafe(F.col(f"{right}{c}")) for c in others])
-
-
-def _classes(df: DataFrame, block: list[str], title: str, venue: str) -> DataFrame:
-    """block, title, venue (each combination once), t, v (their words, sorted) and class: what rows of one block and the same words share."""
-    raw = df.select(*block, F.col(title).alias("__title"), F.col(venue).alias("__venue")).distinct()
-    both = F.struct(F.array_sort(tx.word_set(F.col("__title"))).alias("t"), F.array_sort(tx.word_set(F.col("__venue"))).alias("v"))
-    # through an outer explode the words are worked out once, not in every column that is made of them
-    words = raw.select("*", F.explode_outer(F.array(both)).alias("__w")).select(*block, "__title", "__venue", "__w.t", "__w.v")
-    return words.withColumn("class", F.sha1(F.concat_ws("|", F.array_join("t", " "), F.array_join("v", " ")).cast("binary")))
-
-
-def class_pairs(new: DataFrame, old: DataFrame, block: list[str], title: str = "title", venue: str = "venue") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Classes of the new and of the old rows, and pairs of them that look alike: block, a, b, title_score, venue_score.
-
-    Rows of one block with the same words are one class, so copies are compared once, whatever their number, and a class with
-    itself not at all. Two titles that share `need` of their words share one of their first words in any common order, rare words
-    first: of n words the first n - ceil(n * need) + 1. Titles alike by themselves meet on few of them (TITLE_ALONE); those that
-    need their venues too (TITLE_WITH_VENUE) meet on more, but only where a venue's first word is the same as well. So no pair of the
-    similarity is missed; each is judged once, and where old is new one way round.
-    """
-    first = written(_classes(new, block, title, venue), "classes")
-    named = [first, first if old is new else written(_classes(old, block, title, venue), "classes")]
-    counts = named[1].select(*block, "class", F.explode(F.array_distinct("t")).alias("__w")).distinct().groupBy("__w").agg(F.count("*").alias("__n"))
-    side = _ranked(named[0], counts, block)
-    sides = [side, side if old is new else _ranked(named[1], counts, block)]
-    names = ("__no", "size", "at", "v")
-    met = []
-    for need, keys in ((TITLE_ALONE, []), (TITLE_WITH_VENUE, ["__v"])):
-        left, right = (_prefixes(s, block, need, keys).withColumnsRenamed({k: f"{p}_{k}" for k in names}) for s, p in zip(sides, "ab"))
-        least, most = F.least("a_size", "b_size"), F.greatest("a_size", "b_size")
-        rest = F.least(F.col("a_size") - F.col("a_at"), F.col("b_size") - F.col("b_at"))  # words from the shared one on
-        may = (least >= need * most - 1e-9) & (rest >= need / (1 + need) * (F.col("a_size") + F.col("b_size")) - 1e-9)
-        if keys:
-            may = may & (F.least("a_v", "b_v") >= VENUE * F.greatest("a_v", "b_v") - 1e-9)
-        if old is new:
-            may = may & (F.col("a___no") < F.col("b___no"))
-        met.append(left.join(right, [*block, "__w", *keys]).where(may).select(F.col("a___no").alias("a_no"), F.col("b___no").alias("b_no")))
-    pairs = met[0].unionByName(met[1]).distinct()
-    for s, p in zip(sides, "ab"):
-        known = [F.col(c).alias(f"__{c}") for c in block] if p == "a" else []
-        pairs = pairs.join(s.select(*known, F.col("__no").alias(f"{p}_no"), F.col("class").alias(p), F.col("t").alias(f"{p}_t"), F.col("v").alias(f"{p}_v")), f"{p}_no")
-    pairs = pairs.select(*[F.col(f"__{c}").alias(c) for c in block], "a", "b", tx.jaccard(F.col("a_t"), F.col("b_t")).alias("title_score"), tx.jaccard(F.col("a_v"), F.col("b_v")).alias("venue_score"))
-    alike = (F.col("title_score") >= TITLE_ALONE) | ((F.col("venue_score") >= VENUE) & (F.col("title_score") >= TITLE_WITH_VENUE))
-    pairs = pairs.where(alike)
-    if old is new:
-        pairs = written(pairs, "pairs")
-        turned = pairs.select(*block, F.col("b").alias("a"), F.col("a").alias("b"), "title_score", "venue_score")
-        whole = reduce(and_, [F.col(c).isNotNull() for c in block], F.size("t") > 0)
-        own = side.where(whole).select(*block, F.col("class").alias("a"), F.col("class").alias("b"), F.lit(1.0).alias("title_score"), F.when(F.size("v") > 0, 1.0).otherwise(0.0).alias("venue_score"))
-        pairs = pairs.unionByName(turned).unionByName(own)
-    return named[0], named[1], pairs
-
-
-def _ranked(classes: DataFrame, counts: DataFrame, block: list[str]) -> DataFrame:
-    """A row for each class: block, class, t (rare words first), v, and a number that stands for both."""
-    one = classes.groupBy(*block, "class").agg(F.first("t").alias("t"), F.first("v").alias("v"))
-    rows = one.select(*block, "class", "v", F.explode("t").alias("__w")).join(counts, "__w", "left")
-    order = F.array_sort(F.collect_list(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), F.col("__w").alias("w"))))
-    rows = rows.groupBy(*block, "class", "v").agg(F.transform(order, lambda x: x["w"]).alias("t"))
-    return written(rows.select("*", F.monotonically_increasing_id().alias("__no")), "ranked")
+def _words(df: DataFrame, block: list[str], id_col: str, order: str, title: str, venue: str) -> DataFrame:
+    """Block (__0, __1, ...), id, ord, t and v (words of title and venue, sorted) of every row that can be in a pair: null blocks and places are in none."""
+    words = lambda c: F.array_join(F.array_sort(tx.word_set(F.col(c))), " ")
+    rows = df.where(reduce(and_, [F.col(c).isNotNull() for c in [*block, order]]))
+    rows = rows.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(block)], F.col(id_col).alias("id"), F.col(order).alias("ord"), words(title).alias("t"), words(venue).alias("v"))
+    return written(rows, "words").where("t <> ''")  # written first, so that the words are worked out once
+
+
+def _entries(words: DataFrame, keys: list[str]) -> DataFrame:
+    """A row for the rows of one block and the same words, with their (ord, id): copies are compared once. Of many copies, one for each thousand or so."""
+    same = F.xxhash64("t", "v").alias("__same")
+    many = words.groupBy(*keys, same).agg(F.ceil(F.count("*") / ENTRY_ROWS).alias("__many")).where("__many > 1")
+    rows = words.select("*", same).join(many, [*keys, "__same"], "left")
+    salt = F.coalesce(F.pmod(F.xxhash64("id", "ord"), "__many"), F.lit(0))
+    return rows.groupBy(*keys, "t", "v", salt.alias("no")).agg(F.collect_list(F.struct("ord", "id")).alias("members"))
+
+
+def _firsts(words: DataFrame, keys: list[str]) -> DataFrame:
+    """A row for the rows of one block and the same words, with a number and the first (ord, id)."""
+    rows = words.groupBy(*keys, "t", "v").agg(F.min(F.struct("ord", "id")).alias("members"))
+    return written(rows.select("*", F.monotonically_increasing_id().alias("no")), "firsts")
+
+
+def _in_cells(words: list[DataFrame], entries: list[DataFrame], keys: list[str], compare: Callable, schema: T.StructType) -> DataFrame:
+    """What `compare` makes of each cell. A block's entries are dealt into parts, and each two parts meet in one cell, so every pair of
+    entries is judged in one place: neither candidates nor pairs are shuffled, only the entries, as often as their block has parts."""
+    weight = F.sum(F.length("t") + F.length("v") + 16)
+    sizes = reduce(DataFrame.unionByName, [w.select(*keys, "t", "v") for w in words]).groupBy(*keys).agg(weight.alias("__w"))
+    few = F.least(F.lit(EVEN_PARTS), F.ceil(F.col("__w") / EVEN_BYTES))
+    parts = sizes.select(*keys, F.greatest(F.ceil(F.col("__w") / PART_BYTES), few).cast("int").alias("__parts"))
+    own = len(entries) == 1
+    each, sides = F.sequence(F.lit(0), F.col("__parts") - 1), []
+    for number, side in enumerate(entries):
+        part = F.pmod(F.xxhash64("t", "v", "no"), "__parts").cast("int")
+        if own:
+            cell = lambda p: lambda x: F.struct(F.least(x, p).alias("i"), F.greatest(x, p).alias("j"), (x < p).cast("int").alias("side"))
+        else:
+            cell = lambda p, n=number: lambda x: F.struct((x if n else p).alias("i"), (p if n else x).alias("j"), F.lit(n).alias("side"))
+        rows = side.join(parts, keys).withColumn("__part", part)
+        sides.append(rows.select(*keys, "t", "v", "no", "members", F.inline(F.transform(each, cell(F.col("__part"))))))
+    cells = reduce(DataFrame.unionByName, sides)
+    spark = cells.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    needs = title_cells.Needs(TITLE_ALONE, VENUE, TITLE_WITH_VENUE)
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from compare(pa.Table.from_batches(batches), own, own and key[-2] == key[-1], needs)
+
+    return cells.repartition(tasks, *keys, "i", "j").groupBy(*keys, "i", "j").applyInArrow(run, schema)
 
 
 def _prefixes(side: DataFrame, block: list[str], need: float, keys: list[str]) -> DataFrame:
@@ -111,30 +103,33 @@ def _prefixes(side: DataFrame, block: list[str], need: float, keys: list[str]) -
     return rows.select(*block, *keys, "__no", F.size("t").alias("size"), F.size("v").alias("v"), F.posexplode(cut("t", need)).alias("at", "__w"))
 
 
-def _members(df: DataFrame, classes: DataFrame, block: list[str], id_col: str, order: str, title: str, venue: str) -> DataFrame:
-    """block, id, ord, class of every row with a block."""
-    rows = df.select(*[F.col(c).alias(f"__{c}") for c in block], F.col(title).alias("____title"), F.col(venue).alias("____venue"), F.col(id_col).alias("id"), F.col(order).alias("ord"))
-    return rows.join(classes.select(*block, "__title", "__venue", "class"), _same(block, "__title", "__venue")).select(*block, "id", "ord", "class")
+def _compared(new: DataFrame, old: DataFrame, block: list[str], id_col: str, order: str, title: str, venue: str, entries: Callable, compare: Callable, schema: Callable) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]:
+    """Words and entries of the new rows, and what `compare` makes of all cells."""
+    keys = [f"__{i}" for i in range(len(block))]
+    words = [_words(df, block, id_col, order, title, venue) for df in ([new] if old is new else [new, old])]
+    made = [entries(w, keys) for w in words]
+    kinds = {f.name: f.dataType for f in words[-1].schema}
+    return words[0], made[0], _in_cells(words, made, keys, compare, schema(kinds)), keys
 
 
 def fuzzy_pairs(new: DataFrame, old: DataFrame, block: list[str], id_col: str, order: str, title: str = "title", venue: str = "venue") -> DataFrame:
     """Pairs of a new and an earlier row of one block (such as the local day) that look alike, with their score: as many rows as there are pairs."""
-    a, b, pairs = class_pairs(new, old, block, title, venue)
-    left = _members(new, a, block, id_col, order, title, venue).withColumnsRenamed({"id": "a_id", "ord": "a_ord", "class": "a"})
-    right = _members(old, b, block, id_col, order, title, venue).withColumnsRenamed({"id": "b_id", "ord": "b_ord", "class": "b"})
-    out = pairs.join(left, [*block, "a"]).join(right, [*block, "b"]).where("b_ord < a_ord")
+    schema = lambda kinds: T.StructType([T.StructField(n, k) for n, k in [("id", kinds["id"]), ("other_id", kinds["id"]), ("other_ord", kinds["ord"]), ("title_score", T.DoubleType()), ("venue_score", T.DoubleType())]])
+    _, _, out, _ = _compared(new, old, block, id_col, order, title, venue, _entries, title_cells.links, schema)
     score = F.greatest("title_score", (F.col("title_score") + F.col("venue_score")) / 2)
     reason = F.format_string("same day, title~%.2f venue~%.2f", "title_score", "venue_score")
-    return out.select(F.col("a_id").alias("id"), F.col("b_id").alias("other_id"), F.col("b_ord").alias("other_ord"), "title_score", "venue_score", score.alias("score"), reason.alias("reason"))
+    return out.select("*", score.alias("score"), reason.alias("reason"))
 
 
 def duplicate_of(new: DataFrame, old: DataFrame, block: list[str], id_col: str, order: str, title: str = "title", venue: str = "venue") -> DataFrame:
     """id, duplicate_of: the first earlier row that looks like it. Copies are never paired: the first row of each class stands for it."""
-    a, b, pairs = class_pairs(new, old, block, title, venue)
-    firsts = _members(old, b, block, id_col, order, title, venue).groupBy(*block, F.col("class").alias("b")).agg(F.min(F.struct("ord", "id")).alias("first"))
-    best = pairs.join(firsts, [*block, "b"]).groupBy(*block, F.col("a").alias("class")).agg(F.min("first").alias("first"))
-    rows = _members(new, a, block, id_col, order, title, venue)
-    return rows.join(best, [*block, "class"]).where(F.col("first.ord") < F.col("ord")).select("id", F.col("first.id").alias("duplicate_of"))
+    schema = lambda kinds: T.StructType([T.StructField("no", T.LongType()), T.StructField("ord", kinds["ord"]), T.StructField("id", kinds["id"])])
+    words, entries, out, keys = _compared(new, old, block, id_col, order, title, venue, _firsts, title_cells.firsts, schema)
+    best = out.groupBy("no").agg(F.min(F.struct("ord", "id")).alias("__best"))
+    named = entries.join(best, "no", "left")
+    first = F.least("__best", "members") if old is new else F.col("__best")  # a null one is left out
+    rows = words.join(named.select(*keys, "t", "v", first.alias("first")), [*keys, "t", "v"])
+    return rows.where(F.col("first.ord") < F.col("ord")).select("id", F.col("first.id").alias("duplicate_of"))
 
 
 def ordered_rejects(df: DataFrame, reasons: list[tuple[str, Column]], keys: list[str] | None = None, order: list | None = None, duplicate: str = "dupe") -> DataFrame:
