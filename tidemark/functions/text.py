@@ -57,11 +57,12 @@ def compatibility_key(c: Column) -> Column:
     single = {k: v.strip() for k, v in _COMPATIBLE.items() if len(v.strip()) == 1}
     several = {k: v for k, v in _COMPATIBLE.items() if k not in single}
     before, after = ("".join(k for k in single if _COMPATIBLE[k][at] == " ") for at in (0, -1))
-    out = F.regexp_replace(F.regexp_replace(c, f"([{after}])", "$1 "), f"([{before}])", " $1")
+    far = r"(?=[^\x00-\x7F])"  # none of the letters is ASCII: long classes are tried on the others only
+    out = F.regexp_replace(F.regexp_replace(c, f"{far}([{after}])", "$1 "), f"{far}([{before}])", " $1")
     out = F.translate(out, "".join(single), "".join(single.values()))
     known = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
     each = lambda x: F.array_join(F.transform(F.split(x, ""), lambda ch: F.coalesce(F.try_element_at(known, ch), ch)), "")
-    whole = let(out, lambda x: F.when(x.rlike(f"[{''.join(several)}]"), each(x)).otherwise(x))
+    whole = let(out, lambda x: F.when(x.rlike(f"{far}[{''.join(several)}]"), each(x)).otherwise(x))
     return F.when(c.rlike("[^\\x00-\\x7F]"), whole).otherwise(c)
 
 

@@ -112,13 +112,18 @@ def _compared(new: DataFrame, old: DataFrame, block: list[str], id_col: str, ord
     return words[0], made[0], _in_cells(words, made, keys, compare, schema(kinds)), keys
 
 
-def fuzzy_pairs(new: DataFrame, old: DataFrame, block: list[str], id_col: str, order: str, title: str = "title", venue: str = "venue") -> DataFrame:
-    """Pairs of a new and an earlier row of one block (such as the local day) that look alike, with their score: as many rows as there are pairs."""
-    schema = lambda kinds: T.StructType([T.StructField(n, k) for n, k in [("id", kinds["id"]), ("other_id", kinds["id"]), ("other_ord", kinds["ord"]), ("title_score", T.DoubleType()), ("venue_score", T.DoubleType())]])
+def fuzzy_pairs(new: DataFrame, old: DataFrame, block: list[str], id_col: str, order: str, title: str = "title", venue: str = "venue", digits: int | None = None) -> DataFrame:
+    """Pairs of a new and an earlier row of one block (such as the local day) that look alike, with their score: as many rows as there are pairs.
+
+    Scores are worked out, and rounded to digits, once for a row and all copies that it is like; those become rows last."""
+    member = lambda kinds: T.ArrayType(T.StructType([T.StructField("ord", kinds["ord"]), T.StructField("id", kinds["id"])]))
+    schema = lambda kinds: T.StructType([T.StructField("id", kinds["id"]), T.StructField("title_score", T.DoubleType()), T.StructField("venue_score", T.DoubleType()), T.StructField("others", member(kinds))])
     _, _, out, _ = _compared(new, old, block, id_col, order, title, venue, _entries, title_cells.links, schema)
     score = F.greatest("title_score", (F.col("title_score") + F.col("venue_score")) / 2)
     reason = F.format_string("same day, title~%.2f venue~%.2f", "title_score", "venue_score")
-    return out.select("*", score.alias("score"), reason.alias("reason"))
+    shown = lambda c: c if digits is None else F.round(c, digits)
+    out = out.select("id", "others", *[shown(F.col(c)).alias(c) for c in ("title_score", "venue_score")], shown(score).alias("score"), reason.alias("reason"))
+    return out.select("*", F.explode("others").alias("__other")).select("id", F.col("__other.id").alias("other_id"), F.col("__other.ord").alias("other_ord"), "title_score", "venue_score", "score", "reason")
 
 
 def duplicate_of(new: DataFrame, old: DataFrame, block: list[str], id_col: str, order: str, title: str = "title", venue: str = "venue") -> DataFrame:

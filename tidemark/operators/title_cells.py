@@ -152,35 +152,37 @@ def alike(table: pa.Table, within: bool, needs: Needs) -> Iterator[tuple[np.ndar
 
 
 def links(table: pa.Table, own: bool, within: bool, needs: Needs) -> Iterator[pa.RecordBatch]:
-    """Members of entries alike: id, other_id, other_ord, title_score, venue_score, the other one earlier. own: both sides are of the same rows."""
+    """id of a member, title_score and venue_score of an entry alike, and that entry's earlier members. own: both sides are of the same rows."""
     members = table["members"].combine_chunks()
     n = pc.list_value_length(members).to_numpy(zero_copy_only=False).astype(np.int64)
-    start = np.cumsum(n) - n
-    ords, ids = members.flatten().flatten()
-    rank = pc.rank(ords, sort_keys="ascending", tiebreaker="dense").to_numpy(zero_copy_only=False).astype(np.int64)
-
-    def expanded(x, y, title, venue, turn: bool) -> Iterator[pa.RecordBatch]:
+    start, entry = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
+    rank = pc.rank(members.flatten().field("ord"), sort_keys="ascending", tiebreaker="dense").to_numpy(zero_copy_only=False).astype(np.int64)
+    order = np.lexsort((rank, entry))
+    rows, rank = members.flatten().take(pa.array(order)), rank[order]
+    step = rank.max() + 1
+    places = entry * step + rank
+
+    def expanded(x: np.ndarray, y: np.ndarray, title: np.ndarray, venue: np.ndarray) -> Iterator[pa.RecordBatch]:
         for some in _slices(n[x]):
             new = _ranges(start[x[some]], n[x[some]])
             pair = np.repeat(np.arange(len(x))[some], n[x[some]])
-            for part in _slices(n[y[pair]]):
+            first = start[y[pair]]
+            k = np.searchsorted(places, y[pair] * step + rank[new]) - first  # members earlier than the new one
+            new, pair, first, k = (c[k > 0] for c in (new, pair, first, k))
+            for part in _slices(k):
+                others = rows.take(pa.array(_ranges(first[part], k[part])))
+                ends = pa.array(np.concatenate([[0], np.cumsum(k[part])]).astype(np.int32))
                 p = pair[part]
-                of, k = n[y[p]], _ranges(start[y[p]], n[y[p]])
-                a, p = np.repeat(new[part], of), np.repeat(p, of)
-                if turn:
-                    later = rank[a] > rank[k]
-                    a, k, ok = np.where(later, a, k), np.where(later, k, a), rank[a] != rank[k]
-                else:
-                    ok = rank[k] < rank[a]
-                a, k, p = a[ok], k[ok], p[ok]
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(k)), ords.take(pa.array(k)), pa.array(title[p]), pa.array(venue[p])], names=["id", "other_id", "other_ord", "title_score", "venue_score"])
+                yield pa.RecordBatch.from_arrays([rows.field("id").take(pa.array(new[part])), pa.array(title[p]), pa.array(venue[p]), pa.ListArray.from_arrays(ends, others)], names=["id", "title_score", "venue_score", "others"])
 
     if own and within:
         x = np.flatnonzero(n > 1)
         venue = pc.not_equal(table["v"], "").to_numpy().astype(float)
-        yield from expanded(x, x, np.ones(len(x)), venue[x], False)
+        yield from expanded(x, x, np.ones(len(x)), venue[x])
     for x, y, title, venue in alike(table, within, needs):
-        yield from expanded(x, y, title, venue, own)
+        yield from expanded(x, y, title, venue)
+        if own:
+            yield from expanded(y, x, title, venue)
 
 
 def firsts(table: pa.Table, own: bool, within: bool, needs: Needs) -> Iterator[pa.RecordBatch]:

@@ -214,7 +214,7 @@ def _titled(spark, sf_dir):
 @query("fuzzy_duplicates", f"{_PAIRS} SELECT * FROM p")
 def fuzzy_duplicates(spark, sf_dir):
     d = _titled(spark, sf_dir)
-    return dedupe.fuzzy_pairs(d, d, ["lang"], "doc_id", "ord").select("id", "other_id", F.round("title_score", 6).alias("title_score"), F.round("score", 6).alias("score"))
+    return dedupe.fuzzy_pairs(d, d, ["lang"], "doc_id", "ord", digits=6).select("id", "other_id", "title_score", "score")
 
 
 @query("duplicate_of", f"{_PAIRS} SELECT id, min(other_id) AS duplicate_of FROM p GROUP BY 1")
