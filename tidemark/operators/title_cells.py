@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Rows worked on at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Bits of a sketch, in words of 64.
 SKETCH = 8
 
